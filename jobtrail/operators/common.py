@@ -1,0 +1,20 @@
+"""Small shared helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Row bound under which a dimension-like side is broadcast.
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast ``df`` only when it has at most ``max_rows`` rows.
+
+    The check reads at most ``max_rows + 1`` rows. Beyond the bound the plain
+    DataFrame is returned and Spark shuffles (AQE may still pick a broadcast
+    from runtime sizes, and splits skewed partitions).
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jobtrail.plans import q_extract  # noqa: F401
+from jobtrail.plans import q_extract, q_search, q_sources  # noqa: F401
 from jobtrail.plans.registry import ORACLES, QUERIES
 
 
