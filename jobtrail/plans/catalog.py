@@ -1,8 +1,14 @@
-"""All registered queries (importing the query modules fills the registry)."""
+"""All registered queries (importing the query modules fills the registry).
+
+Order matters: later modules reuse oracle views defined by earlier ones.
+"""
 
 from __future__ import annotations
 
-from jobtrail.plans import q_extract, q_search, q_sources  # noqa: F401
+from jobtrail.plans import q_extract  # noqa: F401  isort: skip
+from jobtrail.plans import q_sources  # noqa: F401  isort: skip
+from jobtrail.plans import q_search  # noqa: F401  isort: skip
+from jobtrail.plans import q_cycle  # noqa: F401  isort: skip
 from jobtrail.plans.registry import ORACLES, QUERIES
 
 
