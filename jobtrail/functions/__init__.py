@@ -16,4 +16,5 @@ from jobtrail.functions.urls import (  # noqa: F401
     url_host,
     url_origin,
     url_path,
+    with_canonical_url,
 )

@@ -29,10 +29,11 @@ def keyword_table(keywords=None) -> Column:
 
 
 def tag_text(text: Column, keywords=None, limit: int = MAX_TAGS) -> Column:
-    """Display forms of the keywords contained in ``lower(text)``, list order, first ``limit``.
+    """Display forms of the keywords contained in ``text`` (already lower-cased), list order, first ``limit``.
 
-    ``text`` should already be lower-cased by the caller when it is reused
-    (``lower`` inside the lambda would run once per keyword).
+    One flat ``contains`` test per keyword, outside any lambda: Catalyst evaluates
+    the lower-cased text once per row (a lambda would re-evaluate it per keyword).
     """
-    hits = F.filter(keyword_table(keywords), lambda k: F.contains(text, k["kw"]))
-    return F.transform(F.slice(hits, 1, limit), lambda k: k["display"])
+    kws = TECH_KEYWORDS if keywords is None else keywords
+    hits = F.array(*[F.when(F.contains(text, F.lit(k.lower())), F.lit(display_form(k))) for k in kws])
+    return F.slice(F.filter(hits, lambda x: x.isNotNull()), 1, limit)

@@ -9,7 +9,7 @@ a lower-cased scheme.  A string that is not an absolute URL gives NULL.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtrail.functions.text import trim_js
@@ -54,38 +54,43 @@ def _resolve_dots(path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(F.aggregate(indexed, empty, step), "/"))
 
 
-def canonical_url(col: Column | str) -> Column:
-    s = F.regexp_replace(trim_js(_c(col)), r"[\t\n\r]", "")
-    s = F.regexp_replace(s, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
-    raw_scheme = F.regexp_extract(s, _SCHEME_RE, 1)
-    scheme = F.lower(raw_scheme)
-    rest = F.regexp_extract(s, r"(?s)^[A-Za-z][A-Za-z0-9+.\-]*:(.*)$", 1)
+def _steps(col: Column):
+    """Named intermediate expressions of the serializer, in dependency order."""
+    return [
+        ("s", F.regexp_replace(F.regexp_replace(trim_js(col), r"[\t\n\r]", ""), r"^[\x00-\x20]+|[\x00-\x20]+$", "")),
+        ("raw_scheme", lambda c: F.regexp_extract(c("s"), _SCHEME_RE, 1)),
+        ("rest", lambda c: F.regexp_extract(c("s"), r"(?s)^[A-Za-z][A-Za-z0-9+.\-]*:(.*)$", 1)),
+        ("r", lambda c: F.regexp_replace(F.replace(c("rest"), F.lit("\\"), F.lit("/")), "^/*", "")),
+        ("authority", lambda c: F.regexp_extract(c("r"), r"^([^/?#]*)", 1)),
+        ("tail", lambda c: F.substring(c("r"), F.length(c("authority")) + 1, 1 << 30)),
+        ("hostport", lambda c: F.regexp_extract(c("authority"), r"([^@]*)$", 1)),
+        ("parts", lambda c: F.struct(
+            F.lower(c("raw_scheme")).alias("scheme"),
+            F.regexp_extract(c("authority"), r"^(.*)@", 1).alias("userinfo"),
+            F.lower(F.regexp_extract(c("hostport"), r"^(\[[^\]]*\]|[^:]*)", 1)).alias("host"),
+            F.regexp_extract(c("hostport"), r"^(?:\[[^\]]*\]|[^:]*):(.*)$", 1).alias("port"),
+            F.regexp_extract(c("tail"), r"^([^?#]*)", 1).alias("path"),
+            F.regexp_extract(c("tail"), r"(?s)^[^?#]*(\?[^#]*)", 1).alias("query"),
+            F.regexp_extract(c("tail"), r"(?s)(#.*)$", 1).alias("fragment"))),
+    ]
+
+
+def _serialize(raw_scheme: Column, rest: Column, p: Column) -> Column:
+    scheme, host, port, path = p["scheme"], p["host"], p["port"], p["path"]
     special = scheme.isin(*DEFAULT_PORTS)
-
-    r = F.regexp_replace(F.replace(rest, F.lit("\\"), F.lit("/")), "^/*", "")
-    authority = F.regexp_extract(r, r"^([^/?#]*)", 1)
-    tail = F.regexp_extract(r, r"(?s)^[^/?#]*(.*)$", 1)
-    userinfo = F.regexp_extract(authority, r"^(.*)@", 1)
-    hostport = F.regexp_extract(authority, r"([^@]*)$", 1)
-    host = F.lower(F.regexp_extract(hostport, r"^(\[[^\]]*\]|[^:]*)", 1))
-    port = F.regexp_extract(hostport, r"^(?:\[[^\]]*\]|[^:]*):(.*)$", 1)
     port_num = F.when(port.rlike("^[0-9]{1,5}$"), port.cast("int"))
     default_port = F.create_map(*[x for k, v in DEFAULT_PORTS.items() for x in (F.lit(k), F.lit(v))])[scheme]
     port_ok = (port == "") | (port_num.isNotNull() & (port_num <= 65535))
     host_ok = (host != "") & (host.rlike(r"^\[[0-9a-f:.]+\]$") | ~host.rlike(r"[\x00-\x20#%/:<>?@\[\\\]^|]"))
     port_out = F.when((port == "") | (port_num == default_port), F.lit("")).otherwise(
         F.concat(F.lit(":"), port_num.cast("string")))
-
-    path = F.regexp_extract(tail, r"^([^?#]*)", 1)
-    query = F.regexp_extract(tail, r"(?s)^[^?#]*(\?[^#]*)", 1)
-    fragment = F.regexp_extract(tail, r"(?s)(#.*)$", 1)
-    path_out = F.when(path == "", F.lit("/")).otherwise(_resolve_dots(path))
-
+    has_dots = path.rlike(r"(?i)(^|/)(\.|%2e){1,2}(/|$)")
+    path_out = F.when(path == "", F.lit("/")).when(has_dots, _resolve_dots(path)).otherwise(path)
     special_url = F.concat(
         scheme, F.lit("://"),
-        F.when(userinfo != "", F.concat(userinfo, F.lit("@"))).otherwise(F.lit("")),
+        F.when(p["userinfo"] != "", F.concat(p["userinfo"], F.lit("@"))).otherwise(F.lit("")),
         host, port_out,
-        _encode(path_out, _PATH_ENC), _encode(query, _QUERY_ENC), _encode(fragment, _FRAG_ENC),
+        _encode(path_out, _PATH_ENC), _encode(p["query"], _QUERY_ENC), _encode(p["fragment"], _FRAG_ENC),
     )
     return (F.when(raw_scheme == "", F.lit(None).cast("string"))
             .when(special & host_ok & port_ok, special_url)
@@ -93,6 +98,25 @@ def canonical_url(col: Column | str) -> Column:
             .otherwise(F.concat(scheme, F.lit(":"), rest)))
 
 
+def canonical_url(col: Column | str) -> Column:
+    """Canonical URL as a single expression (fine for a column used once; see ``with_canonical_url``)."""
+    env: dict[str, Column] = {}
+    for name, f in _steps(_c(col)):
+        env[name] = f if isinstance(f, Column) else f(env.__getitem__)
+    return _serialize(env["raw_scheme"], env["rest"], env["parts"])
+
+
+def with_canonical_url(df: DataFrame, col: str, out: str = "canonical_url") -> DataFrame:
+    """Add ``out`` = canonical URL of ``col``, one projection per step, so every intermediate
+    string is computed once per row (Catalyst keeps expensive shared expressions un-inlined)."""
+    steps = _steps(F.col(col))
+    tmp = {name: f"_cu_{name}" for name, _ in steps}
+    for name, f in steps:
+        df = df.withColumn(tmp[name], f if isinstance(f, Column) else f(lambda n: F.col(tmp[n])))
+    df = df.withColumn(out, _serialize(F.col(tmp["raw_scheme"]), F.col(tmp["rest"]), F.col(tmp["parts"])))
+    return df.drop(*tmp.values())
+
+
 def is_absolute_url(col: Column | str) -> Column:
     return canonical_url(col).isNotNull()
 

@@ -9,12 +9,22 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 1_000_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when it has at most ``max_rows`` rows.
+def within(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows; reads at most ``max_rows + 1`` of them.
 
-    The check reads at most ``max_rows + 1`` rows. Beyond the bound the plain
-    DataFrame is returned and Spark shuffles (AQE may still pick a broadcast
-    from runtime sizes, and splits skewed partitions).
+    Check an *input* once (a source table, a request batch) and use the answer for
+    every side derived from it that cannot have more rows (distinct keys, semi-join
+    results, one row per origin), instead of counting each derived side.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if(df: DataFrame, small: bool) -> DataFrame:
+    """Broadcast hint only when the size bound was proven; else Spark shuffles
+    (and AQE may still switch to a broadcast from runtime sizes, or split skewed partitions)."""
+    return F.broadcast(df) if small else df
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast ``df`` only when it has at most ``max_rows`` rows (checks ``df`` itself)."""
+    return broadcast_if(df, within(df, max_rows))

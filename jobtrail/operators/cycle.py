@@ -16,9 +16,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobtrail.functions.urls import canonical_url
+from jobtrail.functions.urls import with_canonical_url
 from jobtrail.operators.clean import MAX_PAGE_CHARS, clean_pages
-from jobtrail.operators.common import bounded_broadcast
+from jobtrail.operators.common import broadcast_if, within
 from jobtrail.operators.dedupe import insert_new
 from jobtrail.operators.extract import extract_postings
 from jobtrail.operators.robots import ROBOTS_REASON, robots_gate, robots_rules
@@ -49,7 +49,7 @@ def classify_fetch(df: DataFrame) -> DataFrame:
     """``status`` and ``reason`` per source, checks in the order the fetch makes them:
     URL parse -> robots -> snapshot present -> fetch error -> HTTP status (static route only)."""
     ok_status = F.col("http_status").between(200, 299)
-    reason = (F.when(canonical_url(F.col("url")).isNull(), F.lit(INVALID_URL))
+    reason = (F.when(F.col("canonical_url").isNull(), F.lit(INVALID_URL))
                .when(~F.col("robots_allowed"), F.lit(ROBOTS_REASON))
                .when(~F.col("has_snapshot"), F.lit(UNKNOWN_ERROR))
                .when(F.col("error").isNotNull(), F.col("error"))
@@ -59,9 +59,11 @@ def classify_fetch(df: DataFrame) -> DataFrame:
         "status", F.when(F.col("reason").isNull(), F.lit("success")).otherwise(F.lit("failed")))
 
 
-def source_outcomes(sources: DataFrame, snaps: DataFrame, robots: DataFrame) -> DataFrame:
+def source_outcomes(sources: DataFrame, snaps: DataFrame, robots: DataFrame, small_robots: bool | None = None) -> DataFrame:
     """One row per source: id, url, added_at, route, final_url, status, reason."""
-    gated = robots_gate(route_sources(sources), robots_rules(robots))
+    src = with_canonical_url(route_sources(sources), "url", "canonical_url")
+    small = within(robots) if small_robots is None else small_robots
+    gated = robots_gate(src, robots_rules(robots), canon_col="canonical_url", small_rules=small)
     return classify_fetch(cycle_pages(gated, snaps)).select(
         "id", "url", "label", "source_type", "added_at", "route", "final_url", "status", "reason")
 
@@ -115,12 +117,14 @@ class CycleResult:
     sources_after: DataFrame
 
 
-def successful_pages(snaps: DataFrame, outcomes: DataFrame, max_chars: int = MAX_PAGE_CHARS) -> DataFrame:
+def successful_pages(snaps: DataFrame, outcomes: DataFrame, max_chars: int = MAX_PAGE_CHARS,
+                     small_sources: bool | None = None) -> DataFrame:
     """Snapshots of successful sources, cleaned once. The per-source side is broadcast when its
     size is checked, so the HTML side is never shuffled; beyond the bound Spark shuffles both."""
     ok = outcomes.where(F.col("status") == "success").select(
         F.col("id").alias("tracked_url_id"), "added_at", F.col("url").alias("tracked_url"))
-    j = snaps.join(bounded_broadcast(ok), "tracked_url_id")
+    small = within(outcomes) if small_sources is None else small_sources
+    j = snaps.join(broadcast_if(ok, small), "tracked_url_id")
     j = j.withColumn("source_url", F.coalesce(F.col("final_url"), F.col("tracked_url")))
     return clean_pages(j.select("tracked_url_id", "source_url", "added_at", "html"), max_chars=max_chars)
 
@@ -130,7 +134,7 @@ def run_cycle(sources: DataFrame, snaps: DataFrame, robots: DataFrame, replies:
     """The whole cycle as lazy DataFrames. The caller writes ``new_rows`` (S7) first,
     then ``sources_after`` (S8) and the digest (S9); a replay adds nothing."""
     outcomes = source_outcomes(sources, snaps, robots)
-    pages = successful_pages(snaps, outcomes)
+    pages = successful_pages(snaps, outcomes, small_sources=within(sources))  # outcomes: one row per source
     postings = extract_postings(pages, replies)
     new_rows = insert_new(postings, stored, PAGE_ORDER, cycle_id, now)
     return CycleResult(outcomes, pages, postings, new_rows, apply_status(sources, outcomes, now))

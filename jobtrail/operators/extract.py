@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from jobtrail.functions.keywords import tag_text
 from jobtrail.functions.text import capitalize_words, collapse_ws, trim_js
-from jobtrail.functions.urls import canonical_url, url_host
 
 MAX_CANDIDATES = 20
 MAX_STACK = 20
@@ -71,9 +70,13 @@ def fallback_title(text: Column) -> Column:
     return F.coalesce(F.try_element_at(ok, F.lit(1)), F.lit(UNKNOWN_ROLE))
 
 
+# host of an absolute URL: after the scheme, slashes and userinfo, up to port or path
+_HOST_RE = r"^[A-Za-z][A-Za-z0-9+.\-]*:[/\\]*(?:[^/\\?#@]*@)?(\[[^\]]*\]|[^/\\?#:]*)"
+
+
 def company_guess(source_url: Column) -> Column:
     """First label of the host without a leading ``www.``, words capitalized."""
-    host = F.regexp_replace(url_host(canonical_url(source_url)), r"^www\.", "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(trim_js(source_url), _HOST_RE, 1)), r"^www\.", "")
     label = F.substring_index(host, ".", 1)
     return F.when(F.coalesce(label, F.lit("")) == "", F.lit(UNKNOWN_COMPANY)).otherwise(capitalize_words(label))
 
@@ -121,7 +124,9 @@ def _string_field(e: Column, name: str) -> Column:
     return F.when(F.schema_of_variant(f) == "STRING", collapse_ws(F.try_variant_get(f, "$", "string"))).otherwise(F.lit(""))
 
 
-def normalize_candidate(e: Column, source_url: Column, fb_tech: Column, fb_summary: Column) -> Column:
+def normalize_candidate(e: Column, source_url: Column, fb_tech: Column | None, fb_summary: Column | None) -> Column:
+    """One candidate -> struct(valid, fields). With ``fb_tech``/``fb_summary`` None the page
+    fallbacks are not applied here (the caller applies them outside the lambda)."""
     title = _string_field(e, "job_title")
     company = _string_field(e, "company_name")
     salary = _string_field(e, "salary")
@@ -137,8 +142,8 @@ def normalize_candidate(e: Column, source_url: Column, fb_tech: Column, fb_summa
         title.alias("job_title"),
         company.alias("company_name"),
         F.nullif(salary, F.lit("")).alias("salary"),
-        F.when(F.size(stack) > 0, stack).otherwise(fb_tech).alias("tech_stack"),
-        F.when(summary != "", summary).otherwise(fb_summary).alias("requirements_summary"),
+        (stack if fb_tech is None else F.when(F.size(stack) > 0, stack).otherwise(fb_tech)).alias("tech_stack"),
+        (summary if fb_summary is None else F.when(summary != "", summary).otherwise(fb_summary)).alias("requirements_summary"),
         F.when(url != "", url).otherwise(source_url).alias("job_url"),
     )
 
@@ -176,12 +181,21 @@ def extract_postings(pages: DataFrame, replies: DataFrame | None = None, text_co
         d = pages.withColumn("candidates", F.lit(None).cast("array<variant>"))
     else:
         d = reply_candidates(pages_with_replies(pages, replies, key))
-    d = normalize_candidates(d, "candidates", text_col, url_col, "_valid")
-    d = d.withColumn("_fb", fallback_struct(F.col(text_col), F.col(url_col), tag_text(F.lower(F.col(text_col)))))
-    chosen = F.when(F.size("_valid") > 0, F.col("_valid")).otherwise(F.array(F.col("_fb")))
-    drop = [c for c in ("candidates", "raw_content", "_valid", "_fb") if c in d.columns]
-    return (d.select("*", F.posexplode(chosen).alias("pos", "posting")).drop(*drop)
-             .select("*", "posting.*").drop("posting"))
+    # page-level fallbacks are computed once per page, before the explode
+    d = tag_keywords(d, text_col, "_fb_tech").withColumn("_fb_summary", fallback_summary(F.col(text_col)))
+    d = d.withColumn("_fb", fallback_struct(F.col(text_col), F.col(url_col), F.col("_fb_tech")))
+    norm = F.transform(F.col("candidates"), lambda e: normalize_candidate(e, F.col(url_col), None, None))
+    valid = F.slice(F.filter(norm, lambda p: p["valid"]), 1, MAX_CANDIDATES)
+    valid = F.transform(valid, lambda p: F.struct(*[p[f].alias(f) for f in POSTING_FIELDS]))
+    chosen = F.when(F.size(valid) > 0, valid).otherwise(F.array(F.col("_fb")))
+    drop = [c for c in ("candidates", "raw_content", "_fb") if c in d.columns]
+    e = d.select("*", F.posexplode(chosen).alias("pos", "posting")).drop(*drop).select("*", "posting.*").drop("posting")
+    e = e.withColumns({
+        "tech_stack": F.when(F.size("tech_stack") > 0, F.col("tech_stack")).otherwise(F.col("_fb_tech")),
+        "requirements_summary": F.when(F.col("requirements_summary") != "", F.col("requirements_summary"))
+                                 .otherwise(F.col("_fb_summary")),
+    })
+    return e.drop("_fb_tech", "_fb_summary")
 
 
 # ---------------------------------------------------------------- P14

@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtrail.functions.text import null_if_blank, trim_js
-from jobtrail.functions.urls import canonical_url
-from jobtrail.operators.common import bounded_broadcast
+from jobtrail.functions.urls import with_canonical_url
+from jobtrail.operators.common import broadcast_if, within
 from jobtrail.schemas import SOURCE_TYPES
 
 # Rejection reasons.
@@ -38,9 +38,9 @@ def validate_submissions(subs: DataFrame) -> DataFrame:
     """Add ``canonical_url``, ``source_type`` (given or inferred), ``label`` (trimmed or NULL) and ``reason``."""
     url = F.col("url")
     blank = F.coalesce(trim_js(url), F.lit("")) == ""
-    canon = canonical_url(url)
-    st = infer_source_type(canon, F.col("source_type"))
-    d = subs.withColumns({"canonical_url": canon, "source_type": st, "label": null_if_blank("label")})
+    d = with_canonical_url(subs, "url", "canonical_url")
+    st = infer_source_type(F.col("canonical_url"), F.col("source_type"))
+    d = d.withColumns({"source_type": st, "label": null_if_blank("label")})
     reason = (F.when(blank, F.lit(URL_REQUIRED))
                .when(F.col("canonical_url").isNull(), F.lit(URL_INVALID))
                .when(~F.col("source_type").isin(*SOURCE_TYPES), F.lit(BAD_SOURCE_TYPE)))
@@ -62,14 +62,15 @@ def new_source_rows(accepted: DataFrame, now: datetime) -> DataFrame:
 
 def register_sources(sources: DataFrame, subs: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
     """Returns ``(new_sources_table, outcomes)``; outcome = created | rejected with a reason."""
+    small = within(subs)  # the batch bounds its distinct URLs and the existing ones it finds
     v = validate_submissions(subs)
     ok = v.where(F.col("reason").isNull())
     firsts = ok.groupBy("canonical_url").agg(F.min("submit_no").alias("submit_no")).withColumn("_first", F.lit(True))
-    batch_urls = bounded_broadcast(ok.select(F.col("canonical_url").alias("url")).distinct())
+    batch_urls = broadcast_if(ok.select(F.col("canonical_url").alias("url")).distinct(), small)
     existing = sources.select("url").join(batch_urls, "url", "left_semi").select(
         F.col("url").alias("canonical_url"), F.lit(True).alias("_exists")).distinct()
     marked = (v.join(firsts, ["canonical_url", "submit_no"], "left")
-               .join(bounded_broadcast(existing), "canonical_url", "left"))
+               .join(broadcast_if(existing, small), "canonical_url", "left"))
     reason = F.coalesce(F.col("reason"),
                         F.when(F.col("_first").isNull() | F.col("_exists").isNotNull(), F.lit(URL_EXISTS)))
     outcomes = marked.withColumn("reason", reason).select(
@@ -86,10 +87,10 @@ def remove_sources(sources: DataFrame, requests: DataFrame, id_col: str = "id")
                         F.when(F.col("_id") == "", F.lit("rejected")).otherwise(F.lit("removed")).alias("status"),
                         F.when(F.col("_id") == "", F.lit(ID_REQUIRED)).alias("reason"))
     ids = r.where(F.col("_id") != "").select(F.col("_id").alias("id")).distinct()
-    return sources.join(bounded_broadcast(ids), "id", "left_anti"), outcomes
+    return sources.join(broadcast_if(ids, within(requests)), "id", "left_anti"), outcomes
 
 
 def cascade_postings(postings: DataFrame, removed_ids: DataFrame, id_col: str = "id") -> DataFrame:
     """Postings whose source was removed are dropped (FK ``on delete cascade``)."""
     ids = removed_ids.select(F.col(id_col).alias("tracked_url_id")).distinct()
-    return postings.join(bounded_broadcast(ids), "tracked_url_id", "left_anti")
+    return postings.join(broadcast_if(ids, within(removed_ids)), "tracked_url_id", "left_anti")

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobtrail.functions.text import trim_js
-from jobtrail.functions.urls import canonical_url, url_origin, url_path
-from jobtrail.operators.common import bounded_broadcast
+from jobtrail.functions.urls import url_origin, url_path, with_canonical_url
+from jobtrail.operators.common import broadcast_if, within
 
 # Fixed value: failure text when robots.txt forbids the path.
 ROBOTS_REASON = "Scrape skipped because robots.txt disallows this path for user-agent '*'"
@@ -54,17 +54,22 @@ def _longest(rules, path, kind):
     return F.coalesce(F.array_max(F.transform(hits, lambda r: F.length(r["prefix"]))), F.lit(-1))
 
 
-def robots_gate(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
+def robots_gate(urls: DataFrame, rules: DataFrame, url_col: str = "url", canon_col: str | None = None,
+                small_rules: bool | None = None) -> DataFrame:
     """Add ``allow_len``, ``disallow_len`` and ``robots_allowed`` to every URL row.
 
     Allowed iff no disallow rule matches or the longest allow >= the longest disallow;
     an origin without rules (no file, non-2xx, error) allows everything.
     """
-    canon = canonical_url(F.col(url_col))
+    if canon_col is None:
+        urls, canon_col = with_canonical_url(urls, url_col, "_canon"), "_canon"
+    canon = F.col(canon_col)
     u = urls.withColumn("_origin", url_origin(canon)).withColumn("_path", url_path(canon))
-    ro = bounded_broadcast(rules_by_origin(rules).withColumnRenamed("origin", "_origin"))
+    ro = rules_by_origin(rules).withColumnRenamed("origin", "_origin")
+    # one row per origin: pass small_rules from a check of the robots table, else it is checked here
+    ro = broadcast_if(ro, within(ro) if small_rules is None else small_rules)
     j = u.join(ro, "_origin", "left").withColumn("rules", F.coalesce("rules", F.array().cast("array<struct<kind:string,prefix:string>>")))
     j = j.withColumn("allow_len", _longest(F.col("rules"), F.col("_path"), "allow")) \
          .withColumn("disallow_len", _longest(F.col("rules"), F.col("_path"), "disallow"))
     return j.withColumn("robots_allowed", (F.col("disallow_len") == -1) | (F.col("allow_len") >= F.col("disallow_len"))) \
-            .drop("_origin", "_path", "rules")
+            .drop("_origin", "_path", "rules", "_canon")

@@ -14,9 +14,20 @@ from pyspark.sql import functions as F
 from jobtrail import schemas
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin a scan that has fewer splits than the cluster has task slots.
+
+    A file with a single row group is one split, so everything before the first
+    shuffle would run in one task. Large inputs have many splits and pass through
+    unchanged (the check only plans the scan; it runs no job).
+    """
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given test tables, e.g. ``pages`` or ``lineitem``."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One of the given test tables, e.g. ``pages`` or ``lineitem``, spread over the task slots."""
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
