@@ -1,6 +1,6 @@
 """One scrape cycle over all sources as one plan: P6, P7, J3, C1-C5.
 
-The reference walks sources one at a time and isolates failures with try/catch.
+A row-at-a-time loop over sources would isolate failures with try/catch.
 Here every source gets an outcome column instead of an exception, so one plan
 covers all sources: route (P6) -> robots gate (R2) -> snapshot metadata (J3) ->
 outcome (P7/C1). Successful pages are cleaned once, extracted, and go through
