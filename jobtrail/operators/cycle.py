@@ -22,6 +22,7 @@ from jobtrail.operators.common import broadcast_if, within
 from jobtrail.operators.dedupe import insert_new
 from jobtrail.operators.extract import extract_postings
 from jobtrail.operators.robots import ROBOTS_REASON, robots_gate, robots_rules
+from jobtrail.session import checkpoint_dir
 
 # Failure reasons.
 INVALID_URL = "Invalid URL"
@@ -130,10 +131,18 @@ def successful_pages(snaps: DataFrame, outcomes: DataFrame, max_chars: int = MAX
 
 
 def run_cycle(sources: DataFrame, snaps: DataFrame, robots: DataFrame, replies: DataFrame | None,
-              stored: DataFrame, cycle_id: str, now: datetime) -> CycleResult:
+              stored: DataFrame, cycle_id: str, now: datetime, checkpoint_outcomes: bool = False) -> CycleResult:
     """The whole cycle as lazy DataFrames. The caller writes ``new_rows`` (S7) first,
-    then ``sources_after`` (S8) and the digest (S9); a replay adds nothing."""
+    then ``sources_after`` (S8) and the digest (S9); a replay adds nothing.
+
+    ``checkpoint_outcomes`` writes the per-source outcomes once to the shared checkpoint
+    folder (``spark.checkpoint.dir``): the pages, the status table and the summary then
+    read them instead of re-running the robots gate, and the lineage is cut there.
+    """
     outcomes = source_outcomes(sources, snaps, robots)
+    if checkpoint_outcomes:
+        checkpoint_dir(sources.sparkSession)
+        outcomes = outcomes.checkpoint(eager=True)
     pages = successful_pages(snaps, outcomes, small_sources=within(sources))  # outcomes: one row per source
     postings = extract_postings(pages, replies)
     new_rows = insert_new(postings, stored, PAGE_ORDER, cycle_id, now)

@@ -14,20 +14,31 @@ from pyspark.sql import functions as F
 from jobtrail import schemas
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+_SPLITS: dict[tuple[str, str, tuple[str, ...]], int] = {}
+
+
+def spread(df: DataFrame, min_partitions: int | None = None, key: str | None = None) -> DataFrame:
     """Round-robin a scan that has fewer splits than the cluster has task slots.
 
     A file with a single row group is one split, so everything before the first
     shuffle would run in one task. Large inputs have many splits and pass through
-    unchanged (the check only plans the scan; it runs no job).
+    unchanged (the check only plans the scan; it runs no job). ``key`` (a path)
+    memoizes the split count for the session.
     """
     n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    memo = (df.sparkSession.sparkContext.applicationId, key, tuple(df.inputFiles())) if key else None
+    splits = _SPLITS.get(memo) if memo else None
+    if splits is None:
+        splits = df.rdd.getNumPartitions()
+        if memo:
+            _SPLITS[memo] = splits
+    return df.repartition(n) if splits < n else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given test tables, e.g. ``pages`` or ``lineitem``, spread over the task slots."""
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    return spread(spark.read.parquet(path), key=path)
 
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
