@@ -68,3 +68,8 @@ def leading_int(col: Column | str) -> Column:
     """``Number.parseInt(s, 10)``: the leading (signed) integer of a string, else NULL."""
     digits = F.regexp_extract(_c(col), r"^" + JS_WS_CLASS + r"*([+-]?[0-9]+)", 1)
     return F.when(digits != "", digits.try_cast("long"))
+
+
+def ts_lit(value) -> Column:
+    """A ``timestamp_ntz`` literal from a naive (UTC) ``datetime``, independent of any time zone setting."""
+    return F.lit(value.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")

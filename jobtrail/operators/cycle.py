@@ -16,6 +16,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobtrail.functions.text import ts_lit
 from jobtrail.functions.urls import with_canonical_url
 from jobtrail.operators.clean import MAX_PAGE_CHARS, clean_pages
 from jobtrail.operators.common import broadcast_if, within
@@ -80,7 +81,7 @@ def apply_status(sources: DataFrame, outcomes: DataFrame, now: datetime) -> Data
     j = sources.join(o, "id", "left")
     return j.select(
         "id", "url", "label", "source_type", "added_at",
-        F.when(F.col("_status").isNotNull(), F.lit(now).cast("timestamp_ntz")).otherwise(F.col("last_scraped_at")).alias("last_scraped_at"),
+        F.when(F.col("_status").isNotNull(), ts_lit(now)).otherwise(F.col("last_scraped_at")).alias("last_scraped_at"),
         F.coalesce(F.col("_status"), F.col("last_scrape_status")).alias("last_scrape_status"))
 
 
@@ -103,8 +104,8 @@ def cycle_summary(outcomes: DataFrame, new_rows: DataFrame, started_at: datetime
         F.count_if(F.col("k") == "failed").alias("failed_count"),
     )
     return agg.select(
-        F.lit(started_at).cast("timestamp_ntz").alias("started_at"),
-        F.lit(finished_at).cast("timestamp_ntz").alias("finished_at"),
+        ts_lit(started_at).alias("started_at"),
+        ts_lit(finished_at).alias("finished_at"),
         "scanned_count", "new_jobs_count", "failed_count",
         (F.col("new_jobs_count") > 0).alias("digest_sent"))
 

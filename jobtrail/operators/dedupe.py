@@ -14,7 +14,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobtrail.functions.text import collapse_ws, null_if_blank, trim_js
+from jobtrail.functions.text import collapse_ws, null_if_blank, trim_js, ts_lit
 
 MAX_SUMMARY = 1200
 MAX_RAW_TEXT = 14000
@@ -69,6 +69,6 @@ def insert_new(cand: DataFrame, stored: DataFrame, order: list[str], cycle_id: s
     rows = posting_rows(fresh, raw_text_col)
     return rows.select(
         F.col("content_hash").alias("id"), "*",
-        F.lit(now).cast("timestamp_ntz").alias("first_seen_at"),
+        ts_lit(now).alias("first_seen_at"),
         F.lit(cycle_id).alias("cycle_id"),
     )

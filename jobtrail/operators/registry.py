@@ -15,7 +15,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobtrail.functions.text import null_if_blank, trim_js
+from jobtrail.functions.text import null_if_blank, trim_js, ts_lit
 from jobtrail.functions.urls import with_canonical_url
 from jobtrail.operators.common import broadcast_if, within
 from jobtrail.schemas import SOURCE_TYPES
@@ -56,7 +56,7 @@ def new_source_rows(accepted: DataFrame, now: datetime) -> DataFrame:
     """Rows of the sources table for accepted submissions (P5 defaults)."""
     return accepted.select(
         source_id(F.col("canonical_url")).alias("id"), F.col("canonical_url").alias("url"), "label", "source_type",
-        F.lit(now).cast("timestamp_ntz").alias("added_at"), F.lit(None).cast("timestamp_ntz").alias("last_scraped_at"),
+        ts_lit(now).alias("added_at"), F.lit(None).cast("timestamp_ntz").alias("last_scraped_at"),
         F.lit("pending").alias("last_scrape_status"))
 
 

@@ -15,6 +15,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobtrail.functions.text import ts_lit
+
 from jobtrail.operators.common import bounded_broadcast
 
 DEFAULT_LIMIT = 500
@@ -65,11 +67,11 @@ def day_end(raw: str | None) -> datetime | None:
 def date_range(df: DataFrame, start: str | None = None, end: str | None = None, col: str = "first_seen_at") -> DataFrame:
     lo, hi = day_start(start), day_end(end)
     if lo is not None:
-        df = df.where(F.col(col) >= F.lit(lo).cast("timestamp_ntz"))
+        df = df.where(F.col(col) >= ts_lit(lo))
         if "first_seen_date" in df.columns:
             df = df.where(F.col("first_seen_date") >= F.lit(lo.date()))
     if hi is not None:
-        df = df.where(F.col(col) <= F.lit(hi).cast("timestamp_ntz"))
+        df = df.where(F.col(col) <= ts_lit(hi))
         if "first_seen_date" in df.columns:
             df = df.where(F.col("first_seen_date") <= F.lit(hi.date()))
     return df
