@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from jobtrail.functions.text import ts_lit
 
 from jobtrail.operators.common import bounded_broadcast
+from jobtrail.session import checkpoint_dir
 
 DEFAULT_LIMIT = 500
 MAX_LIMIT = 2000
@@ -152,9 +153,11 @@ def search(jobs: DataFrame, sources: DataFrame, tech: str | None = None, company
     base = date_range(jobs.select(*cols, *[c for c in ("first_seen_date",) if c in jobs.columns]), start_date, end_date)
     if filter_first:
         base = tech_filter(base, tech)
-    top = newest(base, n)
-    # the top-N side is bounded by MAX_LIMIT rows: broadcast its keys to cut the sources
-    # down to the ones it references, then broadcast those (<= MAX_LIMIT rows) into the join
+    # The top-N rows (<= MAX_LIMIT) are used twice below; materialize them once in the shared
+    # checkpoint folder so the postings are scanned and sorted once. Then broadcast their keys
+    # to cut the sources down to the ones referenced and broadcast those (<= MAX_LIMIT rows).
+    checkpoint_dir(jobs.sparkSession)
+    top = newest(base, n).checkpoint(eager=True)
     keys = F.broadcast(top.select(F.col("tracked_url_id").alias("id")).distinct())
     used = sources.join(keys, "id", "left_semi")
     out = normalize_result(with_source(top, F.broadcast(used), broadcast_sources=False))
