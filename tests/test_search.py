@@ -72,8 +72,11 @@ def test_date_filter_reaches_the_scan(spark, scratch):
     df = jobs(spark, rows).withColumn("id", F.col("content_hash"))
     write_postings(df, scratch + "/postings")
     stored = spark.read.parquet(scratch + "/postings")
-    q = search(stored, srcs(spark), start_date="2024-05-01", columns=["content_hash", "tracked_url_id", "first_seen_at",
-                                                                       "tech_stack", "job_title", "company_name", "salary"])
-    plan = q._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(first_seen_date" in plan and "raw_text" not in plan
+    cols = ["content_hash", "tracked_url_id", "first_seen_at", "tech_stack", "job_title", "company_name", "salary"]
+    # the plan that feeds the materialized top-N: partition filter, pushed filter, no raw_text
+    top = newest(date_range(stored.select(*cols, "first_seen_date"), "2024-05-01"), 10)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(first_seen_date" in plan and "PushedFilters: [IsNotNull(first_seen_at)" in plan
+    assert "raw_text" not in plan
+    q = search(stored, srcs(spark), start_date="2024-05-01", columns=cols)
     assert [r.content_hash for r in q.collect()] == ["b"]
