@@ -132,19 +132,20 @@ def successful_pages(snaps: DataFrame, outcomes: DataFrame, max_chars: int = MAX
 
 
 def run_cycle(sources: DataFrame, snaps: DataFrame, robots: DataFrame, replies: DataFrame | None,
-              stored: DataFrame, cycle_id: str, now: datetime, checkpoint_outcomes: bool = False) -> CycleResult:
+              stored: DataFrame, cycle_id: str, now: datetime, materialize: bool = False) -> CycleResult:
     """The whole cycle as lazy DataFrames. The caller writes ``new_rows`` (S7) first,
     then ``sources_after`` (S8) and the digest (S9); a replay adds nothing.
 
-    ``checkpoint_outcomes`` writes the per-source outcomes once to the shared checkpoint
-    folder (``spark.checkpoint.dir``): the pages, the status table and the summary then
-    read them instead of re-running the robots gate, and the lineage is cut there.
+    ``materialize`` writes the per-source outcomes and the keep-first candidates once to the
+    shared checkpoint folder (``spark.checkpoint.dir``): the pages, the status table and the
+    summary read the outcomes instead of re-running the robots gate, the history is probed by
+    broadcast batch keys (see ``dedupe.only_unseen``), and the lineage is cut at both points.
     """
     outcomes = source_outcomes(sources, snaps, robots)
-    if checkpoint_outcomes:
+    if materialize:
         checkpoint_dir(sources.sparkSession)
         outcomes = outcomes.checkpoint(eager=True)
     pages = successful_pages(snaps, outcomes, small_sources=within(sources))  # outcomes: one row per source
     postings = extract_postings(pages, replies)
-    new_rows = insert_new(postings, stored, PAGE_ORDER, cycle_id, now)
+    new_rows = insert_new(postings, stored, PAGE_ORDER, cycle_id, now, materialize=materialize)
     return CycleResult(outcomes, pages, postings, new_rows, apply_status(sources, outcomes, now))
