@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from jobtrail import fixtures
 from jobtrail.operators.clean import clean_pages
+from jobtrail.operators.common import broadcast_if, within
 from jobtrail.operators.dedupe import content_key, insert_new, keep_first, only_unseen, posting_rows
 from jobtrail.operators.extract import (SYSTEM_PROMPT, extract_postings, extraction_requests, fallback_postings,
                                         normalize_candidates, reply_candidates, tag_keywords)
@@ -30,8 +31,10 @@ def _joined(col: str, alias: str | None = None):
 def snapshot_pages(spark: SparkSession, d: str) -> DataFrame:
     """Snapshots with their source's URL and order key, HTML cleaned once."""
     s = fixtures.snapshots(spark, d)
-    t = fixtures.tracked(spark, d).select(F.col("id").alias("tracked_url_id"), F.col("url").alias("tracked_url"), "added_at")
-    j = s.join(t, "tracked_url_id").withColumn("source_url", F.coalesce("final_url", "tracked_url"))
+    src = fixtures.tracked(spark, d)
+    t = src.select(F.col("id").alias("tracked_url_id"), F.col("url").alias("tracked_url"), "added_at")
+    # the per-source side is broadcast behind a size check, so the HTML side is never shuffled
+    j = s.join(broadcast_if(t, within(src)), "tracked_url_id").withColumn("source_url", F.coalesce("final_url", "tracked_url"))
     return clean_pages(j.select("tracked_url_id", "page_id", "source_url", "added_at", "html"))
 
 
