@@ -174,6 +174,6 @@ from o_digest
 union all
 select cycle_id, 2 as part, null as tracked_url_id, null as pos, {_lit(dg.FOOT)} as html from o_digest group by cycle_id""")
 def q_digest_html(spark, d):
-    h = dg.digest_html(_digest_rows(spark, d), TRIGGER)
+    h = dg.digest_html(_digest_rows(spark, d), TRIGGER, materialize=True)
     return h.select("cycle_id", F.col("part").cast("long").alias("part"), "tracked_url_id",
                     F.col("pos").cast("long").alias("pos"), "html")
