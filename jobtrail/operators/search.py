@@ -19,6 +19,7 @@ from jobtrail.functions.text import ts_lit
 
 from jobtrail.operators.common import bounded_broadcast
 from jobtrail.session import checkpoint_dir
+from jobtrail.sources.tables import POSTING_COLUMNS, scan_postings
 
 DEFAULT_LIMIT = 500
 MAX_LIMIT = 2000
@@ -29,8 +30,6 @@ UNKNOWN_SOURCE = "Unknown source"
 NOT_SPECIFIED = "Not specified"
 SALARY_NOT_SPECIFIED = "Salary not specified"
 
-POSTING_COLUMNS = ["id", "tracked_url_id", "job_title", "company_name", "salary", "tech_stack",
-                   "requirements_summary", "job_url", "raw_text", "content_hash", "first_seen_at"]
 
 # Fixed value: the ECMAScript whitespace set used by String.prototype.trim.
 _JS_WS = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -149,8 +148,7 @@ def search(jobs: DataFrame, sources: DataFrame, tech: str | None = None, company
            columns: list[str] | None = None, filter_first: bool = False) -> DataFrame:
     """The search answer, newest first. ``columns`` prunes the scan (``raw_text`` is wide)."""
     n = clamp_limit(str(limit) if limit is not None else None)
-    cols = [c for c in (columns or POSTING_COLUMNS) if c in jobs.columns]
-    base = date_range(jobs.select(*cols, *[c for c in ("first_seen_date",) if c in jobs.columns]), start_date, end_date)
+    base = date_range(scan_postings(jobs, columns), start_date, end_date)
     if filter_first:
         base = tech_filter(base, tech)
     # The top-N rows (<= MAX_LIMIT) are used twice below; materialize them once in the shared

@@ -12,6 +12,7 @@ from jobtrail.operators.registry import cascade_postings, register_sources, remo
 from jobtrail.operators.robots import robots_gate, robots_rules
 from jobtrail.plans.oracle_views import WS, add_view, trim_js, with_views
 from jobtrail.plans.registry import query
+from jobtrail.sources.tables import cycle_sources, list_sources
 
 NOW = datetime(2025, 1, 1, 12, 0, 0)
 
@@ -19,13 +20,12 @@ NOW = datetime(2025, 1, 1, 12, 0, 0)
 @query("list_sources", with_views("v_tracked") +
        "select id, url, label, source_type, added_at, last_scraped_at, last_scrape_status from v_tracked")
 def q_list_sources(spark, d):
-    return fixtures.tracked(spark, d).orderBy(F.col("added_at").desc(), F.col("id"))
+    return list_sources(fixtures.tracked(spark, d))
 
 
 @query("cycle_sources", with_views("v_tracked") + "select id, url, source_type, added_at from v_tracked")
 def q_cycle_sources(spark, d):
-    # precedence travels as the (added_at, id) key; no global sort is needed downstream
-    return fixtures.tracked(spark, d).select("id", "url", "source_type", "added_at")
+    return cycle_sources(fixtures.tracked(spark, d)).select("id", "url", "source_type", "added_at")
 
 
 @query("route_sources", with_views("v_tracked") + """

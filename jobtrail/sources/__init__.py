@@ -1,6 +1,9 @@
 """Scans and sinks."""
 
 from jobtrail.sources.tables import (  # noqa: F401
+    cycle_sources,
+    list_sources,
+    scan_postings,
     read_replies,
     read_robots,
     read_snapshots,

@@ -50,6 +50,28 @@ def read_sources(spark: SparkSession, path: str) -> DataFrame:
     return df.join(F.broadcast(newest), df["version"] == newest["v"], "left_semi").drop("version")
 
 
+POSTING_COLUMNS = ["id", "tracked_url_id", "job_title", "company_name", "salary", "tech_stack",
+                   "requirements_summary", "job_url", "raw_text", "content_hash", "first_seen_at"]
+
+
+def list_sources(sources: DataFrame) -> DataFrame:
+    """All sources, newest first (ties by id)."""
+    return sources.orderBy(F.col("added_at").desc(), F.col("id").asc())
+
+
+def cycle_sources(sources: DataFrame) -> DataFrame:
+    """Sources for a cycle. Precedence travels as the ``(added_at, id)`` key on every row
+    (later steps order within their own groups); no global sort."""
+    return sources.select("id", "url", "label", "source_type", "added_at")
+
+
+def scan_postings(jobs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """S3: postings with an explicit column list, so the parquet scan reads only those columns
+    (``raw_text`` is the wide one), plus the day partition column when present."""
+    cols = [c for c in (columns or POSTING_COLUMNS) if c in jobs.columns]
+    return jobs.select(*cols, *[c for c in ("first_seen_date",) if c in jobs.columns and c not in cols])
+
+
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """Page snapshots landed by the fetcher."""
     return spark.read.schema(schemas.SNAPSHOTS).parquet(path)
