@@ -19,6 +19,7 @@ from jobtrail.functions.text import null_if_blank, trim_js, ts_lit
 from jobtrail.functions.urls import with_canonical_url
 from jobtrail.operators.common import broadcast_if, within
 from jobtrail.schemas import SOURCE_TYPES
+from jobtrail.session import checkpoint_dir
 
 # Rejection reasons.
 URL_REQUIRED = "url is required"
@@ -60,10 +61,19 @@ def new_source_rows(accepted: DataFrame, now: datetime) -> DataFrame:
         F.lit("pending").alias("last_scrape_status"))
 
 
-def register_sources(sources: DataFrame, subs: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
-    """Returns ``(new_sources_table, outcomes)``; outcome = created | rejected with a reason."""
+def register_sources(sources: DataFrame, subs: DataFrame, now: datetime,
+                     materialize: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Returns ``(new_sources_table, outcomes)``; outcome = created | rejected with a reason.
+
+    The validated batch feeds three consumers (first-per-URL aggregate, the batch's URLs,
+    the outcomes); with ``materialize`` it is written once to the shared checkpoint folder
+    instead of canonicalizing every URL three times.
+    """
     small = within(subs)  # the batch bounds its distinct URLs and the existing ones it finds
     v = validate_submissions(subs)
+    if materialize:
+        checkpoint_dir(subs.sparkSession)
+        v = v.checkpoint(eager=True)
     ok = v.where(F.col("reason").isNull())
     firsts = ok.groupBy("canonical_url").agg(F.min("submit_no").alias("submit_no")).withColumn("_first", F.lit(True))
     batch_urls = broadcast_if(ok.select(F.col("canonical_url").alias("url")).distinct(), small)
