@@ -83,8 +83,8 @@ def replies(spark: SparkSession, d: str) -> DataFrame:
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     li = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
-    pa = read_table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_size", "p_brand")
-    su = read_table(spark, d, "supplier").select("s_suppkey", "s_name")
+    pa = read_table(spark, d, "part", spread_splits=False).select("p_partkey", "p_name", "p_type", "p_size", "p_brand")
+    su = read_table(spark, d, "supplier", spread_splits=False).select("s_suppkey", "s_name")
     j = li.join(pa, li["l_partkey"] == pa["p_partkey"]).join(su, li["l_suppkey"] == su["s_suppkey"])
     return j.select(
         _s(F.col("l_suppkey")).alias("source_id"), F.col("l_shipdate").alias("added_at"),

@@ -35,10 +35,15 @@ def spread(df: DataFrame, min_partitions: int | None = None, key: str | None = N
     return df.repartition(n) if splits < n else df
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given test tables, e.g. ``pages`` or ``lineitem``, spread over the task slots."""
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread_splits: bool = True) -> DataFrame:
+    """One of the given test tables, e.g. ``pages`` or ``lineitem``, spread over the task slots.
+
+    ``spread_splits=False`` for dimension tables that are only broadcast: spreading them
+    would add a shuffle and buy nothing.
+    """
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    return spread(spark.read.parquet(path), key=path)
+    df = spark.read.parquet(path)
+    return spread(df, key=path) if spread_splits else df
 
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
