@@ -40,9 +40,13 @@ def route_sources(sources: DataFrame) -> DataFrame:
 
 
 def cycle_pages(sources: DataFrame, snaps: DataFrame) -> DataFrame:
-    """Every source with its snapshot's metadata (left join; the HTML is not carried)."""
+    """Every source with its snapshot's metadata (left join; the HTML is not carried).
+
+    Input contract: one snapshot per source per cycle. Exact copies are removed (combined
+    map-side) so a repeated delivery does not multiply the source's outcome.
+    """
     meta = snaps.select(F.col("tracked_url_id").alias("id"), "final_url", "http_status", "error",
-                        F.lit(True).alias("has_snapshot"))
+                        F.lit(True).alias("has_snapshot")).dropDuplicates()
     return (sources.join(meta, "id", "left")
                    .withColumn("has_snapshot", F.coalesce("has_snapshot", F.lit(False))))
 

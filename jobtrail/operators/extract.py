@@ -166,8 +166,12 @@ def kept_type() -> str:
 
 # ---------------------------------------------------------------- J5 + X5
 def pages_with_replies(pages: DataFrame, replies: DataFrame, key: str = "tracked_url_id") -> DataFrame:
-    """Every page with its reply; a page without one gets a NULL reply (-> fallback)."""
-    return pages.join(replies.select(key, "raw_content"), key, "left")
+    """Every page with its reply; a page without one gets a NULL reply (-> fallback).
+
+    Exact copies of a reply are removed first (combined map-side), so repeated deliveries
+    neither multiply postings nor pile up on one page's task.
+    """
+    return pages.join(replies.select(key, "raw_content").dropDuplicates([key, "raw_content"]), key, "left")
 
 
 def extract_postings(pages: DataFrame, replies: DataFrame | None = None, text_col: str = "page_text",

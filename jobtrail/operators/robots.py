@@ -26,18 +26,22 @@ def robots_rules(robots: DataFrame) -> DataFrame:
     """(origin, line_no, kind, prefix) of the allow/disallow rules that apply to agent ``*``.
 
     Only 2xx bodies count; any other status or a missing body means "no rules".
-    Empty rules are dropped (they never match).
+    Empty rules are dropped (they never match). Exact copies of a body are removed first
+    (combined map-side, so many copies of one file do not meet in one task), and the
+    carry-forward runs per body, so two versions of one origin's file never mix lines.
     """
-    ok = robots.where(F.col("http_status").between(200, 299) & F.col("body").isNotNull())
-    lines = ok.select("origin", F.posexplode(F.split("body", r"\r?\n")).alias("line_no", "raw"))
+    ok = (robots.where(F.col("http_status").between(200, 299) & F.col("body").isNotNull())
+                .select("origin", "body").dropDuplicates(["origin", "body"])
+                .withColumn("body_id", F.xxhash64("body")))
+    lines = ok.select("origin", "body_id", F.posexplode(F.split("body", r"\r?\n")).alias("line_no", "raw"))
     line = trim_js(F.substring_index(F.col("raw"), "#", 1))
     colon = F.instr(line, ":")
     parsed = lines.select(
-        "origin", "line_no",
+        "origin", "body_id", "line_no",
         F.when((colon > 1), F.lower(trim_js(F.substring_index(line, ":", 1)))).alias("key"),
         trim_js(F.substring(line, colon + 1, 1 << 30)).alias("value"),
     ).where(F.col("key").isNotNull() & (F.col("key") != ""))
-    w = Window.partitionBy("origin").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("origin", "body_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     active = F.last(F.when(F.col("key") == "user-agent", F.col("value") == "*"), ignorenulls=True).over(w)
     return (parsed.withColumn("active", F.coalesce(active, F.lit(False)))
                   .where(F.col("active") & F.col("key").isin("allow", "disallow") & (F.col("value") != ""))

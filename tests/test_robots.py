@@ -56,3 +56,12 @@ line = st.one_of(st.sampled_from(["User-agent: *", "User-agent: x", "# c", ""]),
 def test_matches_plain_restatement(spark, lines, path):
     body = "\n".join(lines)
     assert gate(spark, body, path) == plain(body, path)
+
+
+def test_copies_and_versions_of_one_file(spark):
+    rows = [("https://a.example", 200, "User-agent: *\nDisallow: /x")] * 5 + [("https://a.example", 200, "User-agent: y\nDisallow: /")]
+    r = spark.createDataFrame(rows, ROBOTS)
+    rules = robots_rules(r).collect()
+    assert [(x.kind, x.prefix) for x in rules] == [("disallow", "/x")]
+    u = spark.createDataFrame([("1", "https://a.example/x1"), ("2", "https://a.example/y")], "id string, url string")
+    assert {x.id: x.robots_allowed for x in robots_gate(u, robots_rules(r)).collect()} == {"1": False, "2": True}
