@@ -148,20 +148,24 @@ def normalize_candidate(e: Column, source_url: Column, fb_tech: Column | None, f
     )
 
 
-def normalize_candidates(df: DataFrame, cand_col: str = "candidates", text_col: str = "page_text",
-                         url_col: str = "source_url", out_col: str = "valid_postings") -> DataFrame:
-    """Normalize every candidate, drop invalid ones, keep the first 20 valid (one row per page)."""
-    d = tag_keywords(df, text_col, "_fb_tech").withColumn("_fb_summary", fallback_summary(F.col(text_col)))
-    norm = F.transform(F.col(cand_col), lambda e: normalize_candidate(e, F.col(url_col), F.col("_fb_tech"), F.col("_fb_summary")))
+POSTINGS_TYPE = ("array<struct<job_title:string,company_name:string,salary:string,tech_stack:array<string>,"
+                 "requirements_summary:string,job_url:string>>")
+
+
+def valid_postings(cands: Column, source_url: Column, fb_tech: Column | None = None,
+                   fb_summary: Column | None = None) -> Column:
+    """Normalize every candidate, drop the invalid ones, then keep the first 20 (in that order)."""
+    norm = F.transform(cands, lambda e: normalize_candidate(e, source_url, fb_tech, fb_summary))
     kept = F.slice(F.filter(norm, lambda p: p["valid"]), 1, MAX_CANDIDATES)
-    fields = [p for p in POSTING_FIELDS]
-    kept = F.transform(kept, lambda p: F.struct(*[p[f].alias(f) for f in fields]))
-    return d.withColumn(out_col, F.coalesce(kept, F.array().cast(kept_type()))).drop("_fb_tech", "_fb_summary")
+    return F.transform(kept, lambda p: F.struct(*[p[f].alias(f) for f in POSTING_FIELDS]))
 
 
-def kept_type() -> str:
-    return ("array<struct<job_title:string,company_name:string,salary:string,tech_stack:array<string>,"
-            "requirements_summary:string,job_url:string>>")
+def normalize_candidates(df: DataFrame, cand_col: str = "candidates", text_col: str = "page_text",
+                         url_col: str = "source_url", out_col: str = "valid_postings") -> DataFrame:
+    """The valid postings of every page as one array (one row per page, no shuffle)."""
+    d = tag_keywords(df, text_col, "_fb_tech").withColumn("_fb_summary", fallback_summary(F.col(text_col)))
+    kept = valid_postings(F.col(cand_col), F.col(url_col), F.col("_fb_tech"), F.col("_fb_summary"))
+    return d.withColumn(out_col, F.coalesce(kept, F.array().cast(POSTINGS_TYPE))).drop("_fb_tech", "_fb_summary")
 
 
 # ---------------------------------------------------------------- J5 + X5
@@ -188,9 +192,7 @@ def extract_postings(pages: DataFrame, replies: DataFrame | None = None, text_co
     # page-level fallbacks are computed once per page, before the explode
     d = tag_keywords(d, text_col, "_fb_tech").withColumn("_fb_summary", fallback_summary(F.col(text_col)))
     d = d.withColumn("_fb", fallback_struct(F.col(text_col), F.col(url_col), F.col("_fb_tech")))
-    norm = F.transform(F.col("candidates"), lambda e: normalize_candidate(e, F.col(url_col), None, None))
-    valid = F.slice(F.filter(norm, lambda p: p["valid"]), 1, MAX_CANDIDATES)
-    valid = F.transform(valid, lambda p: F.struct(*[p[f].alias(f) for f in POSTING_FIELDS]))
+    valid = valid_postings(F.col("candidates"), F.col(url_col))  # fallbacks applied after the explode
     chosen = F.when(F.size(valid) > 0, valid).otherwise(F.array(F.col("_fb")))
     drop = [c for c in ("candidates", "raw_content", "_fb") if c in d.columns]
     e = d.select("*", F.posexplode(chosen).alias("pos", "posting")).drop(*drop).select("*", "posting.*").drop("posting")
