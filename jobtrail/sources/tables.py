@@ -42,10 +42,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread_splits: bool
     would add a shuffle and buy nothing.
     """
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
+    df = read_parquet_cached_schema(spark, path)
     return spread(df, key=path) if spread_splits else df
 
 
+_SCHEMAS: dict[tuple[str, str], object] = {}
+
+
+def read_parquet_cached_schema(spark: SparkSession, path: str) -> DataFrame:
+    """``spark.read.parquet`` that infers a path's schema once per application and then passes it,
+    sparing a footer-reading job on every later read of the same input."""
+    memo = (spark.sparkContext.applicationId, path)
+    schema = _SCHEMAS.get(memo)
+    if schema is None:
+        df = spark.read.parquet(path)
+        _SCHEMAS[memo] = df.schema
+        return df
+    return spark.read.schema(schema).parquet(path)
+
+
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
     """Newest version of the sources table (S1/S2 scan)."""
     df = spark.read.parquet(path)
