@@ -159,12 +159,12 @@ def _lit(s: str) -> str:
 
 
 @query("digest_html", with_views("o_digest") + f"""
-select cycle_id, 0 as part, null as tracked_url_id, null as pos,
+select cycle_id, cast(0 as bigint) as part, null as tracked_url_id, null as pos,
        {_lit(dg.HEAD_1)} || {_esc(_lit(dg.DEFAULT_TITLE))} || {_lit(dg.HEAD_2)} || '{TRIGGER}' || {_lit(dg.HEAD_3)}
        || cast(count(*) as varchar) || {_lit(dg.HEAD_4)} as html
 from o_digest group by cycle_id
 union all
-select cycle_id, 1 as part, tracked_url_id, pos,
+select cycle_id, cast(1 as bigint) as part, tracked_url_id, pos,
        {_lit(dg.ROW_OPEN)} || {_esc('companyName')} || {_lit(dg.ROW_CELL)} || {_esc('jobTitle')} || {_lit(dg.ROW_CELL)}
        || {_esc("coalesce(nullif(salary, ''), 'Not specified')")} || {_lit(dg.ROW_CELL)}
        || {_esc("case when techStack = '' then 'Not specified' else replace(techStack, ',', ', ') end")} || {_lit(dg.ROW_CELL)}
@@ -172,7 +172,7 @@ select cycle_id, 1 as part, tracked_url_id, pos,
        || {_esc('jobUrl')} || {_lit(dg.ROW_CLOSE)} as html
 from o_digest
 union all
-select cycle_id, 2 as part, null as tracked_url_id, null as pos, {_lit(dg.FOOT)} as html from o_digest group by cycle_id""")
+select cycle_id, cast(2 as bigint) as part, null as tracked_url_id, null as pos, {_lit(dg.FOOT)} as html from o_digest group by cycle_id""")
 def q_digest_html(spark, d):
     h = dg.digest_html(_digest_rows(spark, d), TRIGGER, materialize=True)
     return h.select("cycle_id", F.col("part").cast("long").alias("part"), "tracked_url_id",

@@ -13,6 +13,10 @@ import __spark_entry__ as entry  # noqa: E402
 from check_oracle import TABLES, digest  # noqa: E402
 
 
+SPARK_TO_DUCK = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "boolean": "BOOLEAN",
+                 "timestamp_ntz": "TIMESTAMP", "double": "DOUBLE"}
+
+
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
@@ -31,6 +35,8 @@ def test_query_matches_oracle(spark, con, name):
     rows = [tuple(r) for r in df.collect()]
     r = con.sql(entry.oracle_sql()[name])
     assert sorted(df.columns) == sorted(r.columns)
+    duck = dict(zip(r.columns, [str(t) for t in r.types]))
+    assert {c: SPARK_TO_DUCK.get(t, t) for c, t in df.dtypes} == duck
     orows = r.fetchall()
     assert len(rows) == len(orows)
     assert digest(df.columns, rows)[0] == digest(r.columns, orows)[0]
