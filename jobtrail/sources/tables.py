@@ -122,8 +122,13 @@ def write_postings(df: DataFrame, path: str) -> None:
 
 
 def write_sources(df: DataFrame, path: str, version: int) -> None:
-    """Write the sources table after a cycle as a new version."""
-    df.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(path)
+    """Write the sources table after a cycle as a new version.
+
+    Dynamic partition overwrite replaces only ``version=<version>``: a replayed cycle rewrites
+    its own version instead of adding a second copy of it.
+    """
+    (df.withColumn("version", F.lit(version)).write.mode("overwrite")
+       .option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path))
 
 
 def write_digest(df: DataFrame, path: str) -> None:
