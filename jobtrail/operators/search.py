@@ -19,7 +19,7 @@ from jobtrail.functions.text import ts_lit
 
 from jobtrail.operators.common import bounded_broadcast
 from jobtrail.session import checkpoint_dir
-from jobtrail.sources.tables import POSTING_COLUMNS, scan_postings
+from jobtrail.sources.tables import scan_postings
 
 DEFAULT_LIMIT = 500
 MAX_LIMIT = 2000

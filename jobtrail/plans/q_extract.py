@@ -13,7 +13,7 @@ from jobtrail.operators.common import broadcast_if, within
 from jobtrail.operators.dedupe import content_key, insert_new, keep_first, only_unseen, posting_rows
 from jobtrail.operators.extract import (SYSTEM_PROMPT, extract_postings, extraction_requests, fallback_postings,
                                         normalize_candidates, reply_candidates, tag_keywords)
-from jobtrail.plans.oracle_views import WS, add_view, capitalize_dash, collapse, tags, trim_js, with_views
+from jobtrail.plans.oracle_views import add_view, capitalize_dash, collapse, tags, trim_js, with_views
 from jobtrail.plans.registry import query
 
 # Fixed parameters of the registered queries.

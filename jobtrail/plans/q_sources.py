@@ -10,7 +10,7 @@ from jobtrail import fixtures
 from jobtrail.operators.cycle import latest_status, route_sources
 from jobtrail.operators.registry import cascade_postings, register_sources, remove_sources, validate_submissions
 from jobtrail.operators.robots import robots_gate, robots_rules
-from jobtrail.plans.oracle_views import WS, add_view, trim_js, with_views
+from jobtrail.plans.oracle_views import add_view, trim_js, with_views
 from jobtrail.plans.registry import query
 from jobtrail.sources.tables import cycle_sources, list_sources
 

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from jobtrail.functions.keywords import TECH_KEYWORDS
-from jobtrail.operators.extract import (NO_SUMMARY, UNKNOWN_COMPANY, UNKNOWN_ROLE, extract_postings,
+from jobtrail.operators.extract import (NO_SUMMARY, UNKNOWN_ROLE, extract_postings,
                                         extraction_requests, fallback_postings, tag_keywords)
 
 
