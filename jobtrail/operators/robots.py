@@ -49,8 +49,12 @@ def robots_rules(robots: DataFrame) -> DataFrame:
 
 
 def rules_by_origin(rules: DataFrame) -> DataFrame:
-    """One row per origin with its rules as an array (the size of one robots file)."""
-    return rules.groupBy("origin").agg(F.collect_list(F.struct("kind", "prefix")).alias("rules"))
+    """One row per origin with its distinct rules as an array (at most the size of its robots files).
+
+    A set, built map-side, so repeated rules across versions of a file do not pile up; the
+    gate only takes maxima, so order does not matter.
+    """
+    return rules.groupBy("origin").agg(F.collect_set(F.struct("kind", "prefix")).alias("rules"))
 
 
 def _longest(rules, path, kind):
