@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobtrail.session import checkpoint_dir
-
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``. Only a local session without one (tests) gets a folder of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpus-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under ``spark.checkpoint.dir`` and read it back.
 
@@ -21,6 +31,6 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     nothing, because the folder is shared. The caller owns the folder and clears it.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

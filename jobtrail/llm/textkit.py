@@ -16,7 +16,7 @@ _rng = np.random.default_rng(20240611)
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = _U(pow(int(_BASE), -1, 1 << 64))
 #: One random odd value per byte; separators hold 0 so that they add nothing to a word.
-_BYTE_VALUES = (_rng.integers(0, 1 << 63, 256, dtype=np.uint64) << _U(1)) | _U(1)
+BYTE_VALUES = (_rng.integers(0, 1 << 63, 256, dtype=np.uint64) << _U(1)) | _U(1)
 
 #: Separator bytes of the word pattern [^\x20\x09-\x0D]+.
 WHITESPACE = np.zeros(256, bool)
@@ -78,10 +78,29 @@ def _pieces(data: np.ndarray, separator: np.ndarray):
         a = b
 
 
+def text_pieces(offsets: np.ndarray, data: np.ndarray, separator: np.ndarray):
+    """Like ``_pieces``, but cut between texts, and within a text longer than PIECE at places that depend on
+    that text alone: what is computed for a piece does not depend on the texts around it."""
+    a = int(offsets[0])
+    for i in range(len(offsets) - 1):
+        lo, hi = int(offsets[i]), int(offsets[i + 1])
+        if hi - lo > PIECE:
+            if lo > a:
+                yield a, lo
+            for x, y in _pieces(data[lo:hi], separator):
+                yield lo + x, lo + y
+            a = hi
+        elif hi - a >= PIECE:
+            yield a, hi
+            a = hi
+    if a < offsets[-1]:
+        yield a, int(offsets[-1])
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = WHITESPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (maximal runs of non-separators) with A-Z lowered, in order,
     and the ``n + 1`` positions at which each text's words begin."""
-    values = _BYTE_VALUES.copy()
+    values = BYTE_VALUES.copy()
     values[0x41:0x5B] = values[0x61:0x7B]
     values[separator] = 0
     hashes, starts = [], []
