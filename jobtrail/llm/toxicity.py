@@ -1,14 +1,14 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-Words are runs of letters and digits between boundary marks; their subwords are the runs of 3 to 5
+Words are runs of letters and digits between boundary marks; their subwords are the runs of 3 to 6
 bytes, hashed into ``BUCKETS`` embeddings. A misspelled word shares most subwords with the known one.
 A passage of ``PASSAGE`` words is the mean of its subword embeddings, the softmax scores passages, and
 a text is as toxic as its most toxic passage, so that long texts do not dilute a few words.
 
 Training reads at most ``SAMPLE`` texts of each label, chosen by a hash of the id; that bound is a
 parameter. Embeddings and softmax start on all passages with their text's label, then follow the most
-toxic passage of each text. A logistic curve on those scores, weighted by the labels' true shares over
-all labelled rows, makes them probabilities.
+toxic passage of each text. A logistic curve on the scores of sampled texts left out of that, weighted
+by the labels' true shares over all labelled rows, makes them probabilities.
 """
 
 from __future__ import annotations
@@ -22,12 +22,18 @@ from jobtrail.llm import textkit as tk
 
 BUCKETS = 1 << 17
 DIMENSIONS = 8
-LENGTHS = (3, 4, 5)
-PASSAGE = 24
+LENGTHS = (3, 4, 5, 6)
+PASSAGE = 3
 SAMPLE = 2000
+#: Every so many-th sampled text serves the calibration alone.
+CALIBRATE = 5
 ROUNDS = (3, 6)
 BATCH = 512
-RATE = 0.4
+#: Learning rates of the softmax and of the embeddings (scaled by past gradients), and the softmax's first size:
+#: a passage is a mean of dozens of subwords, so a few of them must weigh much.
+RATE = 0.2
+STEP = 0.03
+SCALE = 10.0
 SEED = 11
 
 _U = np.uint64
@@ -122,11 +128,14 @@ def _passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def train(texts: list[str], labels: np.ndarray, share: float) -> Model:
     """Model from sampled texts; ``share`` is the share of label 1 among all labelled rows."""
     rng = np.random.default_rng(SEED)
+    fitted = np.flatnonzero(np.arange(len(texts)) % CALIBRATE != 0)
+    all_texts, all_labels = texts, labels
+    texts, labels = [texts[i] for i in fitted], labels[fitted]
     buckets, begin, text = _passages(texts)
-    emb = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
-    soft = rng.normal(0, 0.1, (DIMENSIONS, 2)).astype(np.float32)
+    emb = rng.normal(0, 0.01, (BUCKETS, DIMENSIONS)).astype(np.float32)
+    soft = rng.normal(0, SCALE, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    squares = np.full(BUCKETS, 1e-6, np.float32)
+    squares = np.full(BUCKETS, 1e-10, np.float32)
     length = np.diff(begin)
 
     def step(batch):
@@ -148,7 +157,7 @@ def train(texts: list[str], labels: np.ndarray, share: float) -> Model:
         of = np.repeat(np.arange(len(batch)), n)
         grad = np.stack([np.bincount(where, to_x[of, k], len(used)) for k in range(DIMENSIONS)], 1)
         squares[used] += (grad * grad).mean(1)
-        emb[used] -= (RATE * grad / np.sqrt(squares[used])[:, None] * 0.3).astype(np.float32)
+        emb[used] -= (STEP * grad / np.sqrt(squares[used])[:, None]).astype(np.float32)
 
     everything = np.arange(len(text))
     for kind, rounds in enumerate(ROUNDS):
@@ -165,8 +174,9 @@ def train(texts: list[str], labels: np.ndarray, share: float) -> Model:
             for a in range(0, len(chosen), BATCH):
                 step(chosen[a: a + BATCH])
     model = Model((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
-    # logistic curve on the texts' scores, by Newton steps
-    x = model.logits(pa.array(texts, pa.string()))
+    # logistic curve on the scores of the texts left out, by Newton steps
+    rest = [i for i in range(0, len(all_texts), CALIBRATE)]
+    x, labels = model.logits(pa.array([all_texts[i] for i in rest], pa.string())), all_labels[rest]
     n1 = max(1, labels.sum())
     w = np.where(labels == 1, share / n1, (1 - share) / max(1, len(labels) - n1))
     a = np.column_stack([x, np.ones(len(x))])
