@@ -27,8 +27,10 @@ ORDER = 4
 MODEL_GRAMS = 2_000_000
 #: Characters handled at once; longer texts are cut before a character that is no letter.
 SEGMENT = 1 << 20
-#: A text is rejected when its scaled excess cross-entropy is above ``SLACK`` times the 99.9th percentile.
+#: A text is rejected when its cross-entropy is ``LEAST_EXCESS`` bits above the mean and its scaled excess above
+#: ``SLACK`` times the 99.9th percentile.
 SLACK = 3.0
+LEAST_EXCESS = 0.5
 SCALE_CHARS = 400
 CACHE = 1 << 20
 
@@ -202,8 +204,8 @@ def identify(docs: DataFrame, learn: str, columns: list[str]) -> DataFrame:
     """Train on the rows of ``docs (lang, text, ...)`` that satisfy ``learn``, then score all rows.
 
     Adds ``rejected``: true for texts without a letter and for those whose cross-entropy
-    exceeds the language's mean by more than ``SLACK`` times what 99.9 % of its training texts
-    do, the excess being scaled by ``sqrt(min(chars, SCALE_CHARS))`` since short texts vary more.
+    exceeds the language's mean by more than ``LEAST_EXCESS`` and by more than ``SLACK`` times what 99.9 % of its
+    training texts do, the excess being scaled by ``sqrt(min(chars, SCALE_CHARS))`` since short texts vary more.
     A null ``learn`` counts as false. Repeated rows come out as often as they come in; an empty table
     gives an empty table; without any training row every text is ``und`` and rejected.
     """
@@ -216,5 +218,5 @@ def identify(docs: DataFrame, learn: str, columns: list[str]) -> DataFrame:
     excess = (F.col("entropy") - F.col("_mean")) * F.sqrt(F.least("chars", F.lit(SCALE_CHARS)))
     limit = own.join(means, "lang_pred").groupBy("lang_pred").agg(F.max("_mean").alias("_mean"), F.percentile_approx(excess, 0.999, 10000).alias("_limit"))
     return (scored.join(F.broadcast(limit), "lang_pred", "left")
-            .withColumn("rejected", F.coalesce(excess > SLACK * F.greatest("_limit", F.lit(0.0)), F.lit(True)))
+            .withColumn("rejected", F.coalesce((excess > SLACK * F.greatest("_limit", F.lit(0.0))) & (F.col("entropy") - F.col("_mean") > LEAST_EXCESS), F.lit(True)))
             .select(*columns, "lang_pred", "score", "entropy", "chars", "rejected"))

@@ -30,7 +30,8 @@ def ascii_lower(c: Column) -> Column:
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host: behind the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lowered. Path: then up to ``?``, ``#`` or the
     end. Both empty for null or without ``://``."""
-    at = F.locate("://", F.coalesce(url, F.lit("")))
+    url = F.coalesce(url, F.lit(""))
+    at = F.locate("://", url)
     rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
     host = F.regexp_extract(rest, r"^[^/?#]*", 0)
     return ascii_lower(host), F.regexp_extract(F.substring(rest, F.length(host) + 1, F.length(url)), r"^[^?#]*", 0)

@@ -1,0 +1,55 @@
+import json
+
+from jobtrail.llm import chat, queries
+from jobtrail.llm.tables import read
+from tests.llm.helpers import SF
+
+SCHEMAS = [("f", "q", "string", True), ("f", "z", "integer", False), ("f", "b", "object", False)]
+
+
+def link(spark, rows):
+    messages = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, json string")
+    schemas = spark.createDataFrame(SCHEMAS, "tool string, param string, type string, required boolean")
+    return {(r.conv_id, r.call_id): r for r in chat.link_calls(messages, schemas).collect()}
+
+
+def call(*calls):
+    return json.dumps({"tool_calls": [dict(zip(("id", "name", "arguments", "after"), c)) for c in calls]}, ensure_ascii=False)
+
+
+def test_links_order_and_errors(spark):
+    got = link(spark, [
+        (1, 0, "assistant", call(("a", "f", {"z": 1, "b": {"y": [1, 2.5, None], "a": 'é\n"'}, "q": "x"}, []))),
+        (1, 0, "assistant", call(("a", "f", {"z": 1, "b": {"y": [1, 2.5, None], "a": 'é\n"'}, "q": "x"}, []))),  # repeated row
+        (1, 1, "tool", json.dumps({"tool_call_id": "a", "content": "first"})),
+        (1, 5, "tool", json.dumps({"tool_call_id": "a", "content": "second"})),
+        (1, 2, "assistant", call(("b", "f", {"q": 3}, ["a"]), ("c", "g", {}, ["b", "unknown"]))),
+        (1, 3, "tool", json.dumps({"tool_call_id": "zz", "content": "alone"})),
+        (1, 4, "assistant", call(("a", "f", {"q": "later call of the same id"}, []), ("d", "f", {"w": 1}, None))),
+        (2, 0, "assistant", call(("a", "f", {"q": "s"}, ["b"]), ("b", "f", None, ["a"]), ("c", "f", {"q": "s"}, ["b"]))),
+        (None, 0, "user", None), (None, 1, "assistant", "{bad"), (None, 2, "assistant", "[]"), (None, 3, "assistant", ""), (None, 4, "assistant", call(("n", "f", {"q": ""}, []))),
+        (3, None, None, None)])
+    a = got["1", "a"]
+    assert (a.status, a.level, a.position, a.turn) == ("ok", 0, 0, 0)
+    assert a.json == '{"arguments":{"b":{"a":"é\\n\\"","y":[1,2.5,null]},"q":"x","z":1},"content":"first","id":"a","name":"f"}'
+    assert (got["1", "b"].status, got["1", "b"].errors, got["1", "b"].level) == ("invalid", "type q", 1)
+    assert (got["1", "c"].errors, got["1", "c"].level, got["1", "c"].position) == ("unknown tool", 2, 3)
+    assert got["1", "d"].errors == "missing q; unknown w" and got["1", "d"].position == 1
+    assert (got["1", "zz"].status, got["1", "zz"].json, got["1", "zz"].turn) == ("no_call", None, 3)
+    assert [got["2", x].status for x in "abc"] == ["cycle"] * 3 and got["2", "b"].errors == "no object"
+    assert got["", "n"].status == "no_result"
+
+
+def test_empty(spark):
+    assert link(spark, []) == {}
+
+
+def test_conversations_hold_whole_texts(spark):
+    conversations = read(spark, SF, "conversations")
+    rows = queries.op1_tool_calls(spark, SF).filter("json is not null").collect()
+    texts = {(str(r.conv_id), f"call-{r.turn}"): r.text for r in conversations.filter("role = 'user'").collect()}
+    assert len(rows) == len(texts)
+    for r in rows:
+        parsed = json.loads(r.json)
+        assert parsed["arguments"]["query"] == texts[r.conv_id, r.call_id]
+        assert r.json == json.dumps(parsed, sort_keys=True, separators=(",", ":"), ensure_ascii=False)

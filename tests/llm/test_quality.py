@@ -1,0 +1,43 @@
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from jobtrail.llm import quality, queries
+from jobtrail.llm.tables import read
+
+
+def test_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in read(spark, sf, "labels").collect()}
+    rows = queries.op2_quality_score(spark, sf).collect()
+    assert len(rows) == read(spark, sf, "documents").count()
+    held = [r for r in rows if r.held_out and r.doc_id in labels]
+    assert len(held) > 100 and np.mean([r.predicted == labels[r.doc_id] for r in held]) > 0.93
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_isotonic_is_the_best_monotone_fit():
+    rng = np.random.default_rng(0)
+    counts = rng.integers(1, 9, 40).astype(float)
+    sums = np.array([rng.binomial(int(n), i / 40) for i, n in enumerate(counts)], float)
+    got = quality.isotonic(sums, counts)
+    mean = sums / counts
+    assert (np.diff(got) >= -1e-12).all()
+    # max-min formula
+    want = [max(min(sums[a: b + 1].sum() / counts[a: b + 1].sum() for b in range(i, 40)) for a in range(i + 1)) for i in range(40)]
+    assert got == pytest.approx(want) and len(mean) == 40
+
+
+def test_statistics_do_not_depend_on_the_batch():
+    texts = ["", None, "a a a b", "X! y\nX! y", "é ü 12 ###", "word " * 200_000]
+    whole = quality.statistics(pa.array(texts))
+    each = np.concatenate([quality.statistics(pa.array([t], pa.string())) for t in texts])
+    assert whole == pytest.approx(each) and np.isfinite(whole).all()
+
+
+def test_edges(spark):
+    docs = spark.createDataFrame([(1, "good text here", 0), (1, "good text here", 0), (None, None, 1), (2, "", 0), (3, "!! !! !!", 1)], "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (3, 0), (2, None), (None, 1)], "doc_id long, quality int")
+    assert quality.classify(docs, labels, "true").count() == 5
+    assert {r.score for r in quality.classify(docs, labels.limit(0), "true").collect()} == {0.5}
+    assert quality.classify(docs.limit(0), labels, "true").collect() == []
