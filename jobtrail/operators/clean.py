@@ -4,11 +4,17 @@ Semantics: the nine elements below are removed with their content; the text
 nodes of ``<body>`` are concatenated without separators (entities decoded, also
 legacy ones without ``;``); when the body has no text at all, the text of the
 whole document is used; JS-style whitespace runs collapse to one space; the
-result is cut to ``max_chars`` code points.
+result is cut to ``max_chars`` code points (``None``: not cut).
+
+An element ends with its end tag or when an ancestor ends, so a page that never
+closes a ``<nav>`` or ``<form>`` loses that element only, not the rest of the page.
+Which end tags may close what follows the HTML standard's scopes: a block's end
+tag closes what is open inside it, but not through a table cell; an inline end tag
+never closes a block; ``</form>`` ends the form but not the elements open in it.
 
 Only this step runs in Python: a stdlib ``html.parser`` tokenizer inside an
 Arrow-batched ``pandas_udf``. Nested removed elements and unclosed tags need a
-tokenizer with an open-element stack, which regular expressions cannot express.
+tokenizer with a stack of open elements, which regular expressions cannot express.
 """
 
 from __future__ import annotations
@@ -29,6 +35,21 @@ REMOVED_ELEMENTS = frozenset(("script", "style", "noscript", "nav", "footer", "h
 # Elements that may appear before <body> without opening it.
 _PRE_BODY = frozenset(("html", "head", "title", "meta", "link", "base", "style", "script", "noscript",
                        "template", "basefont", "bgsound"))
+# Fixed values of the HTML standard: elements without content, elements that bound a
+# scope, parts of tables, other elements that inline end tags do not close, and
+# elements that end an open <svg>.
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_SCOPE_ENDS = frozenset("applet caption html table td th marquee object template".split())
+_TABLE_PARTS = frozenset("table caption colgroup tbody tfoot thead tr td th".split())
+_BLOCKS = frozenset("""address article aside blockquote body button center dd details dialog dir div dl dt fieldset
+    figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup html iframe li listing main menu nav
+    noembed noframes noscript ol p plaintext pre script search section select style summary textarea title ul xmp""".split())
+_SPECIAL = _BLOCKS | _TABLE_PARTS | _SCOPE_ENDS
+_SVG_BREAKERS = frozenset("""b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img
+    li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var""".split())
+# A start tag on the left ends an open element on the right within the same table.
+_CELL_ENDS = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "tbody": ("tbody", "thead", "tfoot"),
+              "thead": ("tbody", "thead", "tfoot"), "tfoot": ("tbody", "thead", "tfoot")}
 _HTML_WS = " \t\n\f\r"
 # Fixed value: the ECMAScript `\s` set (same as functions.text.JS_WS_CLASS).
 _JS_WS_RUN = re.compile("[\t\n\x0b\x0c\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+")
@@ -37,36 +58,68 @@ _JS_WS_RUN = re.compile("[\t\n\x0b\x0c\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u
 class _PageText(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open_removed: list[str] = []
+        # open elements: (tag, whether its text is removed)
+        self.stack: list[tuple[str, bool]] = []
         self.in_body = False
         self.in_title = False
         self.head: list[str] = []
         self.body: list[str] = []
 
-    def _open(self, tag: str, self_closing: bool) -> None:
+    def parse_html_declaration(self, i):
+        # a marked section in HTML is a comment up to the next ">"
+        return self.parse_bogus_comment(i) if self.rawdata.startswith("<![", i) else super().parse_html_declaration(i)
+
+    def _find(self, tags, bounds) -> int:
+        """Index of the innermost open element among ``tags`` that is not behind one of ``bounds``, else -1."""
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k][0] in tags:
+                return k
+            if self.stack[k][0] in bounds:
+                return -1
+        return -1
+
+    def _pop_to(self, k: int) -> None:
+        if k >= 0:
+            del self.stack[k:]
+
+    def handle_starttag(self, tag, attrs):
         if not self.in_body and (tag == "body" or tag not in _PRE_BODY):
             self.in_body = True
         if tag == "title":
-            self.in_title = not self_closing
-        # The self-closing flag only counts on foreign elements such as <svg/>.
-        if tag in REMOVED_ELEMENTS and not (self_closing and tag == "svg"):
-            self.open_removed.append(tag)
-
-    def handle_starttag(self, tag, attrs):
-        self._open(tag, False)
+            self.in_title = True
+        if tag in _SVG_BREAKERS:
+            self._pop_to(self._find(("svg",), _SPECIAL))
+        if tag in _CELL_ENDS:
+            self._pop_to(self._find(_CELL_ENDS[tag], ("table", "template")))
+        elif tag in ("li", "dd", "dt"):
+            self._pop_to(self._find(("li",) if tag == "li" else ("dd", "dt"), _SPECIAL - {"address", "div", "p"}))
+        if tag in _VOID or tag == "form" and any(t == "form" for t, _ in self.stack) or tag in ("html", "body", "head"):
+            return
+        self.stack.append((tag, tag in REMOVED_ELEMENTS or bool(self.stack) and self.stack[-1][1]))
 
     def handle_startendtag(self, tag, attrs):
-        self._open(tag, True)
+        self.handle_starttag(tag, attrs)
+        # the self-closing flag only counts on foreign elements
+        if tag == "svg" or any(t == "svg" for t, _ in self.stack[:-1]):
+            if self.stack and self.stack[-1][0] == tag:
+                self.stack.pop()
 
     def handle_endtag(self, tag):
         if tag == "title":
             self.in_title = False
-        if tag in self.open_removed:
-            while self.open_removed.pop() != tag:
-                pass
+        if tag == "form":
+            k = self._find(("form",), _SCOPE_ENDS)
+            if k >= 0:
+                del self.stack[k]
+        elif tag in _TABLE_PARTS:
+            self._pop_to(self._find((tag,), ("table", "template")))
+        elif tag in _BLOCKS:
+            self._pop_to(self._find((tag,), _SCOPE_ENDS))
+        else:
+            self._pop_to(self._find((tag,), _SPECIAL))
 
     def handle_data(self, data):
-        if self.open_removed:
+        if self.stack and self.stack[-1][1]:
             return
         if self.in_body:
             self.body.append(data)
@@ -77,18 +130,15 @@ class _PageText(HTMLParser):
             self.body.append(data)
 
 
-def page_text(html: str | None, max_chars: int = MAX_PAGE_CHARS) -> str | None:
+def page_text(html: str | None, max_chars: int | None = MAX_PAGE_CHARS) -> str | None:
     """Clean text of one page (a small per-row helper for the UDF and for tests)."""
     if html is None:
         return None
     p = _PageText()
-    try:
-        p.feed(html)
-        p.close()
-    except Exception:  # keep the text read so far, as a lenient browser parser would
-        pass
+    p.feed(html)
+    p.close()
     body = "".join(p.body)
-    text = body if body else "".join(p.head) + body
+    text = body if body else "".join(p.head)
     return _JS_WS_RUN.sub(" ", text).strip(" ")[:max_chars]
 
 
@@ -96,7 +146,7 @@ def page_text(html: str | None, max_chars: int = MAX_PAGE_CHARS) -> str | None:
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def html_text(html: Column | str, max_chars: int = MAX_PAGE_CHARS) -> Column:
+def html_text(html: Column | str, max_chars: int | None = MAX_PAGE_CHARS) -> Column:
     """Column expression: clean text of an HTML column."""
 
     @F.pandas_udf("string")
@@ -107,7 +157,7 @@ def html_text(html: Column | str, max_chars: int = MAX_PAGE_CHARS) -> Column:
 
 
 def clean_pages(snaps: DataFrame, html_col: str = "html", out_col: str = "page_text",
-                max_chars: int = MAX_PAGE_CHARS, keep_html: bool = False) -> DataFrame:
+                max_chars: int | None = MAX_PAGE_CHARS, keep_html: bool = False) -> DataFrame:
     """Add the clean text of every page; the (wide) HTML column is dropped unless asked for."""
     out = snaps.withColumn(out_col, html_text(html_col, max_chars))
     return out if keep_html else out.drop(html_col)

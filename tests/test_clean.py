@@ -16,6 +16,17 @@ def test_edge_rows():
     assert page_text(None) is None
 
 
+def test_unclosed_and_nested_elements_lose_only_themselves():
+    assert page_text("<div><nav>menu</div><main>Senior Engineer at Acme</main>") == "Senior Engineer at Acme"
+    assert page_text("<table><tr><td><form>q</td></tr></table><p>Jobs here</p>") == "Jobs here"
+    assert page_text("<form>a<form>b</form>c</form>d") == "cd"
+    assert page_text("<form><div>a</form>b</div>c") == "c"
+    assert page_text("<b><nav>x</b>y</nav>z") == "z"
+    assert page_text("<p>a</p><![foo[x]]><p>job text</p>") == "ajob text"
+    assert page_text("<svg>a<p>b") == "b" and page_text("<svg><path/><circle>r</svg>ok<svg/>k") == "okk"
+    assert page_text("<ul><li><nav>a<li>b</ul>c") == "c" and page_text("x<br><input>y", max_chars=None) == "xy"
+
+
 def test_whitespace_only_body_is_not_empty():
     # body text "\n" is truthy: the result is "" and the title is not used
     assert page_text("<html><head><title>T</title></head><body>\n</body></html>") == ""
