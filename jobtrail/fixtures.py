@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from jobtrail.sources.tables import read_table
 
 NL = "\n"
+# When the pages, robots bodies and replies were fetched.
+FETCHED = "timestamp_ntz '2025-01-01 11:00:00'"
 
 
 def _s(c):
@@ -38,8 +40,8 @@ def tracked(spark: SparkSession, d: str) -> DataFrame:
 
 def snapshots(spark: SparkSession, d: str) -> DataFrame:
     pid = F.col("page_id")
-    return read_table(spark, d, "pages").where(pid % 29 != 28).select(
-        _s(pid).alias("tracked_url_id"), pid,
+    return read_table(spark, d, "pages").select(
+        F.concat(F.lit("s"), _s(pid)).alias("snapshot_id"), _s(pid).alias("tracked_url_id"), F.expr(FETCHED).alias("fetched_at"), pid,
         F.when(pid % 4 == 0, F.concat(F.lit("https://careers.acme-"), _s(pid % 5), F.lit(".example/jobs/"), _s(pid)))
          .otherwise(F.col("url")).alias("final_url"),
         "html",
@@ -48,6 +50,19 @@ def snapshots(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def landed_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """The snapshots of a cycle in which some sources have none."""
+    return snapshots(spark, d).where(F.col("page_id") % 29 != 28)
+
+
+def backlog_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Two visits of every source: an older one that failed, and the landed one."""
+    new = landed_snapshots(spark, d)
+    old = new.withColumns({"snapshot_id": F.concat(F.lit("old-"), F.col("snapshot_id")), "fetched_at": F.expr(FETCHED) - F.expr("interval 1 hour"),
+                           "http_status": F.lit(500), "error": F.lit("older visit")})
+    return old.unionByName(new)
+
+
 def robots(spark: SparkSession, d: str) -> DataFrame:
     o = read_table(spark, d, "pages").select(F.regexp_extract("url", r"^(https?://[^/?#]+)", 1).alias("origin")).distinct()
     k = F.length("origin") % 6
@@ -58,7 +73,7 @@ def robots(spark: SparkSession, d: str) -> DataFrame:
                                  + "disallow: /es" + NL + "allow: /es"))
              .when(k == 4, F.lit("User-agent: *" + NL + "Disallow: /"))
              .otherwise(F.lit("User-agent: *")))
-    return o.select("origin", F.when(k == 5, F.lit(404)).otherwise(F.lit(200)).alias("http_status"), body.alias("body"))
+    return o.select("origin", F.when(k == 5, F.lit(404)).otherwise(F.lit(200)).alias("http_status"), body.alias("body"), F.expr(FETCHED).alias("fetched_at"))
 
 
 def replies(spark: SparkSession, d: str) -> DataFrame:
@@ -78,13 +93,26 @@ def replies(spark: SparkSession, d: str) -> DataFrame:
             .when(k == 6, F.lit('[{"job_title":"A","company_name":"B"}]'))
             .when(k == 7, F.lit('{"jobs":"x","job_title":"Solo","company_name":"Gamma"}'))
             .otherwise(F.lit("7")))
-    return read_table(spark, d, "pages").where(pid % 10 != 9).select(_s(pid).alias("tracked_url_id"), raw.alias("raw_content"))
+    return read_table(spark, d, "pages").select(F.concat(F.lit("s"), _s(pid)).alias("snapshot_id"), _s(pid).alias("tracked_url_id"),
+                                               raw.alias("raw_content"), F.expr(FETCHED).alias("replied_at"))
+
+
+def landed_replies(spark: SparkSession, d: str) -> DataFrame:
+    """The replies of a cycle in which some pages have none."""
+    return replies(spark, d).where(F.col("tracked_url_id").cast("long") % 10 != 9)
+
+
+def backlog_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Two replies to every snapshot: an older one, and the landed one."""
+    new = landed_replies(spark, d)
+    old = new.withColumns({"raw_content": F.lit('[{"job_title":"Old","company_name":"Old"}]'), "replied_at": F.expr(FETCHED) - F.expr("interval 1 hour")})
+    return old.unionByName(new)
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     li = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
-    pa = read_table(spark, d, "part", spread_splits=False).select("p_partkey", "p_name", "p_type", "p_size", "p_brand")
-    su = read_table(spark, d, "supplier", spread_splits=False).select("s_suppkey", "s_name")
+    pa = read_table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_size", "p_brand")
+    su = read_table(spark, d, "supplier").select("s_suppkey", "s_name")
     j = li.join(pa, li["l_partkey"] == pa["p_partkey"]).join(su, li["l_suppkey"] == su["s_suppkey"])
     return j.select(
         _s(F.col("l_suppkey")).alias("source_id"), F.col("l_shipdate").alias("added_at"),
@@ -112,16 +140,24 @@ def supplier_sources(spark: SparkSession, d: str) -> DataFrame:
 CANDIDATE_ORDER = ["added_at", "source_id", "l_orderkey", "l_linenumber", "l_partkey"]
 
 
-def jobs(spark: SparkSession, d: str) -> DataFrame:
-    """Stored history: the keep-first rows of the candidates of every third order."""
+def _first_postings(c: DataFrame) -> DataFrame:
     from jobtrail.operators.dedupe import content_key, keep_first
 
-    c = content_key(candidates(spark, d).where(F.col("l_orderkey") % 3 == 0), url_fallback=None)
-    return keep_first(c, CANDIDATE_ORDER).select(
+    return keep_first(content_key(c, url_fallback=None), CANDIDATE_ORDER).select(
         "content_hash", F.col("source_id").alias("tracked_url_id"), "job_title", "company_name", "salary",
         "tech_stack", "requirements_summary", "job_url", F.col("added_at").alias("first_seen_at"))
 
 
+def jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Stored history: the keep-first rows of all candidates."""
+    return _first_postings(candidates(spark, d))
+
+
+def known_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """An earlier state of the history, so that candidates are partly known: those of every third order."""
+    return _first_postings(candidates(spark, d).where(F.col("l_orderkey") % 3 == 0))
+
+
 def attempts(spark: SparkSession, d: str) -> DataFrame:
     e = read_table(spark, d, "events")
     return e.select(_s(F.col("user_id")).alias("source_id"), "event_id", "ts",

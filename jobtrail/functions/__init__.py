@@ -4,10 +4,11 @@ from jobtrail.functions.text import (  # noqa: F401
     JS_WS_CLASS,
     capitalize_words,
     collapse_ws,
+    cut,
+    first_items,
     html_escape,
     leading_int,
     null_if_blank,
-    prefix,
     trim_js,
 )
 from jobtrail.functions.urls import (  # noqa: F401

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from jobtrail.functions.text import first_items
+
 # The technology keywords, in match (and output) order.
 TECH_KEYWORDS = [
     "python", "javascript", "typescript", "react", "node.js", "next.js",
@@ -22,18 +24,12 @@ def display_form(keyword: str) -> str:
     return re.sub(r"\b\w", lambda m: m.group(0).upper(), keyword, flags=re.ASCII)
 
 
-def keyword_table(keywords=None) -> Column:
-    """Literal ``array<struct<kw,display>>`` broadcast inside the expression."""
-    kws = TECH_KEYWORDS if keywords is None else keywords
-    return F.array(*[F.struct(F.lit(k.lower()).alias("kw"), F.lit(display_form(k)).alias("display")) for k in kws])
-
-
-def tag_text(text: Column, keywords=None, limit: int = MAX_TAGS) -> Column:
-    """Display forms of the keywords contained in ``text`` (already lower-cased), list order, first ``limit``.
+def tag_text(text: Column, keywords=None, limit: int | None = MAX_TAGS) -> Column:
+    """Display forms of the keywords contained in ``text`` (already lower-cased), list order, first ``limit`` (None: all).
 
     One flat ``contains`` test per keyword, outside any lambda: Catalyst evaluates
     the lower-cased text once per row (a lambda would re-evaluate it per keyword).
     """
     kws = TECH_KEYWORDS if keywords is None else keywords
     hits = F.array(*[F.when(F.contains(text, F.lit(k.lower())), F.lit(display_form(k))) for k in kws])
-    return F.slice(F.filter(hits, lambda x: x.isNotNull()), 1, limit)
+    return first_items(F.filter(hits, lambda x: x.isNotNull()), limit)

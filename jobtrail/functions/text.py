@@ -35,9 +35,14 @@ def null_if_blank(col: Column | str) -> Column:
     return F.nullif(trim_js(col), F.lit(""))
 
 
-def prefix(col: Column | str, n: int) -> Column:
-    """First ``n`` characters (code points)."""
-    return F.substring(_c(col), 1, n)
+def cut(col: Column | str, n: int | None) -> Column:
+    """First ``n`` characters (code points); None: not cut."""
+    return _c(col) if n is None else F.substring(_c(col), 1, n)
+
+
+def first_items(col: Column | str, n: int | None) -> Column:
+    """First ``n`` elements of an array; None: all."""
+    return _c(col) if n is None else F.slice(_c(col), 1, n)
 
 
 def capitalize_words(col: Column | str) -> Column:

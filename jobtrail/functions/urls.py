@@ -3,7 +3,8 @@
 ``canonical_url`` follows the WHATWG URL serializer for the special schemes
 (http, https, ws, wss, ftp): scheme and host lower-cased, default port dropped,
 empty path -> ``/``, ``.``/``..`` segments resolved, a small set of characters
-percent-encoded, query and fragment kept.  Other schemes are passed through with
+and all non-ASCII ones percent-encoded, query and fragment kept (a non-ASCII host
+is lower-cased but not mapped to its ASCII form).  Other schemes are passed through with
 a lower-cased scheme.  A string that is not an absolute URL gives NULL.
 """
 
@@ -25,9 +26,13 @@ def _c(col: Column | str) -> Column:
 
 
 def _encode(col: Column, pairs) -> Column:
+    """Percent-encode the characters of ``pairs`` and the UTF-8 bytes of every non-ASCII one."""
     for src, dst in pairs:
         col = F.replace(col, F.lit(src), F.lit(dst))
-    return col
+    other = r"[^\x00-\x7f]"
+    chars = F.transform(F.split(col, ""), lambda c: F.when(
+        c.rlike(other), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")).otherwise(c))
+    return F.when(col.rlike(other), F.array_join(chars, "")).otherwise(col)
 
 
 _PATH_ENC = ((" ", "%20"), ('"', "%22"), ("<", "%3C"), (">", "%3E"), ("`", "%60"), ("{", "%7B"), ("}", "%7D"))
@@ -60,7 +65,10 @@ def _steps(col: Column):
         ("s", F.regexp_replace(F.regexp_replace(trim_js(col), r"[\t\n\r]", ""), r"^[\x00-\x20]+|[\x00-\x20]+$", "")),
         ("raw_scheme", lambda c: F.regexp_extract(c("s"), _SCHEME_RE, 1)),
         ("rest", lambda c: F.regexp_extract(c("s"), r"(?s)^[A-Za-z][A-Za-z0-9+.\-]*:(.*)$", 1)),
-        ("r", lambda c: F.regexp_replace(F.replace(c("rest"), F.lit("\\"), F.lit("/")), "^/*", "")),
+        # backslashes count as slashes in the authority and the path, not behind ? or #
+        ("head", lambda c: F.regexp_extract(c("rest"), r"^([^?#]*)", 1)),
+        ("r", lambda c: F.concat(F.regexp_replace(F.replace(c("head"), F.lit("\\"), F.lit("/")), "^/*", ""),
+                                 F.substring(c("rest"), F.length(c("head")) + 1, 1 << 30))),
         ("authority", lambda c: F.regexp_extract(c("r"), r"^([^/?#]*)", 1)),
         ("tail", lambda c: F.substring(c("r"), F.length(c("authority")) + 1, 1 << 30)),
         ("hostport", lambda c: F.regexp_extract(c("authority"), r"([^@]*)$", 1)),

@@ -19,11 +19,9 @@ from pyspark.sql import functions as F
 from jobtrail.functions.text import ts_lit
 from jobtrail.functions.urls import with_canonical_url
 from jobtrail.operators.clean import MAX_PAGE_CHARS, clean_pages
-from jobtrail.operators.common import broadcast_if, within
 from jobtrail.operators.dedupe import insert_new
 from jobtrail.operators.extract import extract_postings
 from jobtrail.operators.robots import ROBOTS_REASON, robots_gate, robots_rules
-from jobtrail.session import checkpoint_dir
 
 # Failure reasons.
 INVALID_URL = "Invalid URL"
@@ -40,14 +38,14 @@ def route_sources(sources: DataFrame) -> DataFrame:
 
 
 def cycle_pages(sources: DataFrame, snaps: DataFrame) -> DataFrame:
-    """Every source with its snapshot's metadata (left join; the HTML is not carried).
+    """Every source with the metadata of its latest snapshot (left join; the HTML is not carried).
 
-    Input contract: one snapshot per source per cycle. Exact copies are removed (combined
-    map-side) so a repeated delivery does not multiply the source's outcome.
+    The latest by ``(fetched_at, snapshot_id)``, an aggregate combined map-side: a backlog of several
+    snapshots of one source, or copies of one, still gives one row per source.
     """
-    meta = snaps.select(F.col("tracked_url_id").alias("id"), "final_url", "http_status", "error",
-                        F.lit(True).alias("has_snapshot")).dropDuplicates()
-    return (sources.join(meta, "id", "left")
+    meta = F.struct("snapshot_id", "final_url", "http_status", "error")
+    latest = snaps.groupBy(F.col("tracked_url_id").alias("id")).agg(F.max_by(meta, F.struct("fetched_at", "snapshot_id")).alias("s"))
+    return (sources.join(latest.select("id", "s.*", F.lit(True).alias("has_snapshot")), "id", "left")
                    .withColumn("has_snapshot", F.coalesce("has_snapshot", F.lit(False))))
 
 
@@ -65,13 +63,12 @@ def classify_fetch(df: DataFrame) -> DataFrame:
         "status", F.when(F.col("reason").isNull(), F.lit("success")).otherwise(F.lit("failed")))
 
 
-def source_outcomes(sources: DataFrame, snaps: DataFrame, robots: DataFrame, small_robots: bool | None = None) -> DataFrame:
-    """One row per source: id, url, added_at, route, final_url, status, reason."""
+def source_outcomes(sources: DataFrame, snaps: DataFrame, robots: DataFrame) -> DataFrame:
+    """One row per source: id, url, added_at, route, snapshot_id, final_url, status, reason."""
     src = with_canonical_url(route_sources(sources), "url", "canonical_url")
-    small = within(robots) if small_robots is None else small_robots
-    gated = robots_gate(src, robots_rules(robots), canon_col="canonical_url", small_rules=small)
+    gated = robots_gate(src, robots_rules(robots), canon_col="canonical_url")
     return classify_fetch(cycle_pages(gated, snaps)).select(
-        "id", "url", "label", "source_type", "added_at", "route", "final_url", "status", "reason")
+        "id", "url", "label", "source_type", "added_at", "route", "snapshot_id", "final_url", "status", "reason")
 
 
 def cycle_failures(outcomes: DataFrame) -> DataFrame:
@@ -80,8 +77,13 @@ def cycle_failures(outcomes: DataFrame) -> DataFrame:
 
 
 def apply_status(sources: DataFrame, outcomes: DataFrame, now: datetime) -> DataFrame:
-    """Sources after the cycle; status and ``last_scraped_at`` set for success and failure alike."""
-    o = outcomes.select(F.col("id"), F.col("status").alias("_status"))
+    """Sources after the cycle; status and ``last_scraped_at`` set for success and failure alike.
+
+    One outcome per source is enforced: a second one fails the job before anything is written.
+    """
+    once = outcomes.groupBy("id").agg(F.max("status").alias("status"), F.count("*").alias("n"))
+    status = F.when(F.col("n") == 1, F.col("status")).otherwise(F.raise_error(F.concat(F.lit("several outcomes of source "), F.col("id"))))
+    o = once.select("id", status.cast("string").alias("_status"))
     j = sources.join(o, "id", "left")
     return j.select(
         "id", "url", "label", "source_type", "added_at",
@@ -123,33 +125,22 @@ class CycleResult:
     sources_after: DataFrame
 
 
-def successful_pages(snaps: DataFrame, outcomes: DataFrame, max_chars: int = MAX_PAGE_CHARS,
-                     small_sources: bool | None = None) -> DataFrame:
-    """Snapshots of successful sources, cleaned once. The per-source side is broadcast when its
-    size is checked, so the HTML side is never shuffled; beyond the bound Spark shuffles both."""
+def successful_pages(snaps: DataFrame, outcomes: DataFrame, max_chars: int | None = MAX_PAGE_CHARS) -> DataFrame:
+    """The latest snapshots of successful sources, cleaned once. Copies of a snapshot give copies of its
+    page, which keep-first drops."""
     ok = outcomes.where(F.col("status") == "success").select(
-        F.col("id").alias("tracked_url_id"), "added_at", F.col("url").alias("tracked_url"))
-    small = within(outcomes) if small_sources is None else small_sources
-    j = snaps.join(broadcast_if(ok, small), "tracked_url_id")
+        F.col("id").alias("tracked_url_id"), "snapshot_id", "added_at", F.col("url").alias("tracked_url"))
+    j = snaps.join(ok, ["tracked_url_id", "snapshot_id"])
     j = j.withColumn("source_url", F.coalesce(F.col("final_url"), F.col("tracked_url")))
-    return clean_pages(j.select("tracked_url_id", "source_url", "added_at", "html"), max_chars=max_chars)
+    return clean_pages(j.select("tracked_url_id", "snapshot_id", "source_url", "added_at", "html"), max_chars=max_chars)
 
 
 def run_cycle(sources: DataFrame, snaps: DataFrame, robots: DataFrame, replies: DataFrame | None,
-              stored: DataFrame, cycle_id: str, now: datetime, materialize: bool = False) -> CycleResult:
+              stored: DataFrame, cycle_id: str, now: datetime) -> CycleResult:
     """The whole cycle as lazy DataFrames. The caller writes ``new_rows`` (S7) first,
-    then ``sources_after`` (S8) and the digest (S9); a replay adds nothing.
-
-    ``materialize`` writes the per-source outcomes and the keep-first candidates once to the
-    shared checkpoint folder (``spark.checkpoint.dir``): the pages, the status table and the
-    summary read the outcomes instead of re-running the robots gate, the history is probed by
-    broadcast batch keys (see ``dedupe.only_unseen``), and the lineage is cut at both points.
-    """
+    then ``sources_after`` (S8) and the digest (S9); a replay adds nothing."""
     outcomes = source_outcomes(sources, snaps, robots)
-    if materialize:
-        checkpoint_dir(sources.sparkSession)
-        outcomes = outcomes.checkpoint(eager=True)
-    pages = successful_pages(snaps, outcomes, small_sources=within(sources))  # outcomes: one row per source
+    pages = successful_pages(snaps, outcomes)
     postings = extract_postings(pages, replies)
-    new_rows = insert_new(postings, stored, PAGE_ORDER, cycle_id, now, materialize=materialize)
+    new_rows = insert_new(postings, stored, PAGE_ORDER, cycle_id, now)
     return CycleResult(outcomes, pages, postings, new_rows, apply_status(sources, outcomes, now))

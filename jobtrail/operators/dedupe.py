@@ -14,9 +14,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobtrail.functions.text import collapse_ws, null_if_blank, trim_js, ts_lit
-from jobtrail.operators.common import within
-from jobtrail.session import checkpoint_dir
+from jobtrail.functions.text import collapse_ws, cut, first_items, null_if_blank, trim_js, ts_lit
 
 MAX_SUMMARY = 1200
 MAX_RAW_TEXT = 14000
@@ -40,54 +38,38 @@ def keep_first(df: DataFrame, order: list[str], key: str = "content_hash") -> Da
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
-def only_unseen(cand: DataFrame, stored: DataFrame, key: str = "content_hash", batch_keys_small: bool = False) -> DataFrame:
+def only_unseen(cand: DataFrame, stored: DataFrame, key: str = "content_hash") -> DataFrame:
     """Candidates whose key is not stored yet (one set-based probe instead of one per posting).
 
-    Default: an anti-join; only the key column of the stored table is shuffled.
-    ``batch_keys_small=True`` (the caller proved the batch's distinct keys bounded and
-    materialized ``cand``): the batch keys are broadcast into a semi-join with the stored
-    key column, a scan with no shuffle of the history, and the keys found (no more than the
-    batch has) are broadcast into the anti-join. This is the plan for an hourly batch
-    against a history that grows without bound.
+    An anti-join that reads only the key column of the stored table; whether that column is
+    shuffled or broadcast is left to AQE's byte sizes.
     """
-    if not batch_keys_small:
-        return cand.join(stored.select(key), key, "left_anti")
-    keys = F.broadcast(cand.select(key).distinct())
-    found = stored.select(key).join(keys, key, "left_semi").distinct()
-    return cand.join(F.broadcast(found), key, "left_anti")
+    return cand.join(stored.select(key), key, "left_anti")
 
 
-def posting_rows(df: DataFrame, raw_text_col: str = "page_text") -> DataFrame:
-    """Final write shape: trims, stack <= 20, summary collapsed and <= 1200, raw text <= 14000."""
+def posting_rows(df: DataFrame, raw_text_col: str = "page_text", max_stack: int | None = MAX_STACK,
+                 max_summary: int | None = MAX_SUMMARY, max_raw_text: int | None = MAX_RAW_TEXT) -> DataFrame:
+    """Final write shape: trims, stack <= 20, summary collapsed and <= 1200, raw text <= 14000 (None: not cut)."""
     return df.select(
         "content_hash", "tracked_url_id",
         trim_js("job_title").alias("job_title"),
         trim_js("company_name").alias("company_name"),
         null_if_blank("salary").alias("salary"),
-        F.slice(F.coalesce(F.col("tech_stack"), F.array().cast("array<string>")), 1, MAX_STACK).alias("tech_stack"),
-        F.substring(collapse_ws("requirements_summary"), 1, MAX_SUMMARY).alias("requirements_summary"),
+        first_items(F.coalesce(F.col("tech_stack"), F.array().cast("array<string>")), max_stack).alias("tech_stack"),
+        cut(collapse_ws("requirements_summary"), max_summary).alias("requirements_summary"),
         F.col("job_url"),
-        F.substring(F.coalesce(F.col(raw_text_col), F.lit("")), 1, MAX_RAW_TEXT).alias("raw_text"),
+        cut(F.coalesce(F.col(raw_text_col), F.lit("")), max_raw_text).alias("raw_text"),
         *[c for c in df.columns if c in ("added_at", "pos", "cycle_id")],
     )
 
 
 def insert_new(cand: DataFrame, stored: DataFrame, order: list[str], cycle_id: str, now: datetime,
-               raw_text_col: str = "page_text", url_fallback: str | None = "source_url",
-               materialize: bool = False) -> DataFrame:
+               raw_text_col: str = "page_text", url_fallback: str | None = "source_url") -> DataFrame:
     """Key -> keep-first -> not stored -> row shape, stamped with the cycle.
 
     Replay-safe: once the result is appended, the same input yields nothing.
-    ``materialize`` checkpoints the keep-first rows (shared checkpoint folder) and, when
-    their count is within the broadcast bound, probes the history by broadcast keys.
     """
-    firsts = keep_first(content_key(cand, url_fallback), order)
-    small = False
-    if materialize:
-        checkpoint_dir(cand.sparkSession)
-        firsts = firsts.checkpoint(eager=True)
-        small = within(firsts)
-    fresh = only_unseen(firsts, stored, batch_keys_small=small)
+    fresh = only_unseen(keep_first(content_key(cand, url_fallback), order), stored)
     rows = posting_rows(fresh, raw_text_col)
     return rows.select(
         F.col("content_hash").alias("id"), "*",

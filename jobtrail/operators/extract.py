@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtrail.functions.keywords import tag_text
-from jobtrail.functions.text import capitalize_words, collapse_ws, trim_js
+from jobtrail.functions.text import capitalize_words, collapse_ws, cut, first_items, trim_js
 
 MAX_CANDIDATES = 20
 MAX_STACK = 20
@@ -58,9 +58,9 @@ def tag_keywords(df: DataFrame, text_col: str = "text", out_col: str = "tech", k
 
 
 # ---------------------------------------------------------------- X2
-def fallback_summary(text: Column) -> Column:
+def fallback_summary(text: Column, chars: int | None = FALLBACK_SUMMARY_CHARS) -> Column:
     t = collapse_ws(text)
-    return F.when(t == "", F.lit(NO_SUMMARY)).otherwise(F.substring(t, 1, FALLBACK_SUMMARY_CHARS))
+    return F.when(t == "", F.lit(NO_SUMMARY)).otherwise(cut(t, chars))
 
 
 def fallback_title(text: Column) -> Column:
@@ -100,14 +100,26 @@ def fallback_postings(pages: DataFrame, text_col: str = "page_text", url_col: st
 
 
 # ---------------------------------------------------------------- X3
+def strict_json(raw: Column) -> Column:
+    """The JSON value that ``raw`` holds and nothing besides, else NULL.
+
+    The parser stops behind the first value. Only a single value is both the one element of
+    an array put around it and the one field of an object put around it.
+    """
+    text = F.when(trim_js(raw) != "", raw)
+    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    field = F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))), "$", "map<string,variant>")
+    return F.when((F.size(items) == 1) & (F.size(field) == 1), F.get(items, F.lit(0)))
+
+
 def reply_candidates(replies: DataFrame, raw_col: str = "raw_content", out_col: str = "candidates") -> DataFrame:
     """Parse a reply and pick its candidate list by shape; NULL means "use the fallback".
 
     object with array ``jobs`` -> its elements; other object or array -> itself as
-    the single candidate; null, scalar, blank, invalid JSON -> NULL.
+    the single candidate; null, scalar, blank, invalid JSON -> NULL. Text behind the
+    value makes the JSON invalid.
     """
-    raw = F.col(raw_col)
-    v = F.try_parse_json(F.when(trim_js(raw) != "", raw))
+    v = strict_json(F.col(raw_col))
     typ = F.schema_of_variant(v)
     is_obj = typ.startswith("OBJECT")
     jobs = F.try_variant_get(v, "$.jobs", "array<variant>")
@@ -124,7 +136,8 @@ def _string_field(e: Column, name: str) -> Column:
     return F.when(F.schema_of_variant(f) == "STRING", collapse_ws(F.try_variant_get(f, "$", "string"))).otherwise(F.lit(""))
 
 
-def normalize_candidate(e: Column, source_url: Column, fb_tech: Column | None, fb_summary: Column | None) -> Column:
+def normalize_candidate(e: Column, source_url: Column, fb_tech: Column | None, fb_summary: Column | None,
+                        max_stack: int | None = MAX_STACK) -> Column:
     """One candidate -> struct(valid, fields). With ``fb_tech``/``fb_summary`` None the page
     fallbacks are not applied here (the caller applies them outside the lambda)."""
     title = _string_field(e, "job_title")
@@ -135,7 +148,7 @@ def normalize_candidate(e: Column, source_url: Column, fb_tech: Column | None, f
     raw_stack = F.coalesce(F.try_variant_get(e, "$.tech_stack", "array<variant>"), F.array().cast("array<variant>"))
     items = F.transform(raw_stack, lambda x: F.when(F.schema_of_variant(x) == "STRING",
                                                      collapse_ws(F.try_variant_get(x, "$", "string"))).otherwise(F.lit("")))
-    stack = F.slice(F.filter(items, lambda x: x != ""), 1, MAX_STACK)
+    stack = first_items(F.filter(items, lambda x: x != ""), max_stack)
     valid = F.schema_of_variant(e).startswith("OBJECT") & (title != "") & (company != "")
     return F.struct(
         valid.alias("valid"),
@@ -153,10 +166,11 @@ POSTINGS_TYPE = ("array<struct<job_title:string,company_name:string,salary:strin
 
 
 def valid_postings(cands: Column, source_url: Column, fb_tech: Column | None = None,
-                   fb_summary: Column | None = None) -> Column:
-    """Normalize every candidate, drop the invalid ones, then keep the first 20 (in that order)."""
-    norm = F.transform(cands, lambda e: normalize_candidate(e, source_url, fb_tech, fb_summary))
-    kept = F.slice(F.filter(norm, lambda p: p["valid"]), 1, MAX_CANDIDATES)
+                   fb_summary: Column | None = None, max_candidates: int | None = MAX_CANDIDATES,
+                   max_stack: int | None = MAX_STACK) -> Column:
+    """Normalize every candidate, drop the invalid ones, then keep the first 20 (in that order; None: all)."""
+    norm = F.transform(cands, lambda e: normalize_candidate(e, source_url, fb_tech, fb_summary, max_stack))
+    kept = first_items(F.filter(norm, lambda p: p["valid"]), max_candidates)
     return F.transform(kept, lambda p: F.struct(*[p[f].alias(f) for f in POSTING_FIELDS]))
 
 
@@ -169,17 +183,19 @@ def normalize_candidates(df: DataFrame, cand_col: str = "candidates", text_col:
 
 
 # ---------------------------------------------------------------- J5 + X5
-def pages_with_replies(pages: DataFrame, replies: DataFrame, key: str = "tracked_url_id") -> DataFrame:
-    """Every page with its reply; a page without one gets a NULL reply (-> fallback).
+def pages_with_replies(pages: DataFrame, replies: DataFrame, key: str = "snapshot_id") -> DataFrame:
+    """Every page with the latest reply to its snapshot; a page without one gets a NULL reply (-> fallback).
 
-    Exact copies of a reply are removed first (combined map-side), so repeated deliveries
-    neither multiply postings nor pile up on one page's task.
+    The latest is an aggregate combined map-side (ties by the text), so repeated deliveries neither
+    multiply postings nor pile up on one page's task.
     """
-    return pages.join(replies.select(key, "raw_content").dropDuplicates([key, "raw_content"]), key, "left")
+    latest = replies.groupBy(key).agg(F.max_by("raw_content", F.struct("replied_at", "raw_content")).alias("raw_content"))
+    return pages.join(latest, key, "left")
 
 
 def extract_postings(pages: DataFrame, replies: DataFrame | None = None, text_col: str = "page_text",
-                     url_col: str = "source_url", key: str = "tracked_url_id") -> DataFrame:
+                     url_col: str = "source_url", key: str = "snapshot_id", max_candidates: int | None = MAX_CANDIDATES,
+                     max_stack: int | None = MAX_STACK) -> DataFrame:
     """Postings of every page, one row each, with ``pos`` = list order within the page.
 
     Valid candidates of the reply if any, else the single fallback posting.
@@ -192,7 +208,8 @@ def extract_postings(pages: DataFrame, replies: DataFrame | None = None, text_co
     # page-level fallbacks are computed once per page, before the explode
     d = tag_keywords(d, text_col, "_fb_tech").withColumn("_fb_summary", fallback_summary(F.col(text_col)))
     d = d.withColumn("_fb", fallback_struct(F.col(text_col), F.col(url_col), F.col("_fb_tech")))
-    valid = valid_postings(F.col("candidates"), F.col(url_col))  # fallbacks applied after the explode
+    # fallbacks are applied after the explode
+    valid = valid_postings(F.col("candidates"), F.col(url_col), max_candidates=max_candidates, max_stack=max_stack)
     chosen = F.when(F.size(valid) > 0, valid).otherwise(F.array(F.col("_fb")))
     drop = [c for c in ("candidates", "raw_content", "_fb") if c in d.columns]
     e = d.select("*", F.posexplode(chosen).alias("pos", "posting")).drop(*drop).select("*", "posting.*").drop("posting")

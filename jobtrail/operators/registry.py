@@ -4,8 +4,7 @@ Registration takes a batch of submissions and returns the new sources table plus
 one outcome row per submission. The "first submission per URL wins" rule is an
 aggregate (``min(submit_no)`` per canonical URL, combined map-side) joined back on
 ``(url, submit_no)``, which is unique per row, so a URL submitted a million times
-does not land in one task. Existing URLs are found by semi-joining the table
-with the batch's URLs, so the table itself is never shuffled whole.
+does not land in one task. Spark picks the physical joins from sizes (AQE).
 """
 
 from __future__ import annotations
@@ -17,9 +16,7 @@ from pyspark.sql import functions as F
 
 from jobtrail.functions.text import null_if_blank, trim_js, ts_lit
 from jobtrail.functions.urls import with_canonical_url
-from jobtrail.operators.common import broadcast_if, within
 from jobtrail.schemas import SOURCE_TYPES
-from jobtrail.session import checkpoint_dir
 
 # Rejection reasons.
 URL_REQUIRED = "url is required"
@@ -61,28 +58,18 @@ def new_source_rows(accepted: DataFrame, now: datetime) -> DataFrame:
         F.lit("pending").alias("last_scrape_status"))
 
 
-def register_sources(sources: DataFrame, subs: DataFrame, now: datetime,
-                     materialize: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Returns ``(new_sources_table, outcomes)``; outcome = created | rejected with a reason.
-
-    The validated batch feeds three consumers (first-per-URL aggregate, the batch's URLs,
-    the outcomes); with ``materialize`` it is written once to the shared checkpoint folder
-    instead of canonicalizing every URL three times.
-    """
-    small = within(subs)  # the batch bounds its distinct URLs and the existing ones it finds
+def register_sources(sources: DataFrame, subs: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
+    """Returns ``(new_sources_table, outcomes)``; outcome = created | rejected with a reason."""
     v = validate_submissions(subs)
-    if materialize:
-        checkpoint_dir(subs.sparkSession)
-        v = v.checkpoint(eager=True)
     ok = v.where(F.col("reason").isNull())
-    firsts = ok.groupBy("canonical_url").agg(F.min("submit_no").alias("submit_no")).withColumn("_first", F.lit(True))
-    batch_urls = broadcast_if(ok.select(F.col("canonical_url").alias("url")).distinct(), small)
-    existing = sources.select("url").join(batch_urls, "url", "left_semi").select(
-        F.col("url").alias("canonical_url"), F.lit(True).alias("_exists")).distinct()
-    marked = (v.join(firsts, ["canonical_url", "submit_no"], "left")
-               .join(broadcast_if(existing, small), "canonical_url", "left"))
+    firsts = ok.groupBy("canonical_url").agg(F.min("submit_no").alias("submit_no"))
+    existing = sources.select(F.col("url").alias("canonical_url"), F.lit(True).alias("_exists")).distinct()
+    # one row per URL of the batch: its first submission, unless the URL is in the table
+    firsts = firsts.join(existing, "canonical_url", "left").where(F.col("_exists").isNull()).select(
+        "canonical_url", "submit_no", F.lit(True).alias("_first"))
+    marked = v.join(firsts, ["canonical_url", "submit_no"], "left")
     reason = F.coalesce(F.col("reason"),
-                        F.when(F.col("_first").isNull() | F.col("_exists").isNotNull(), F.lit(URL_EXISTS)))
+                        F.when(F.col("_first").isNull(), F.lit(URL_EXISTS)))
     outcomes = marked.withColumn("reason", reason).select(
         "submit_no", F.col("canonical_url").alias("url"), "label", "source_type",
         F.when(F.col("reason").isNull(), F.lit("created")).otherwise(F.lit("rejected")).alias("status"), "reason")
@@ -97,10 +84,10 @@ def remove_sources(sources: DataFrame, requests: DataFrame, id_col: str = "id")
                         F.when(F.col("_id") == "", F.lit("rejected")).otherwise(F.lit("removed")).alias("status"),
                         F.when(F.col("_id") == "", F.lit(ID_REQUIRED)).alias("reason"))
     ids = r.where(F.col("_id") != "").select(F.col("_id").alias("id")).distinct()
-    return sources.join(broadcast_if(ids, within(requests)), "id", "left_anti"), outcomes
+    return sources.join(ids, "id", "left_anti"), outcomes
 
 
 def cascade_postings(postings: DataFrame, removed_ids: DataFrame, id_col: str = "id") -> DataFrame:
     """Postings whose source was removed are dropped (FK ``on delete cascade``)."""
     ids = removed_ids.select(F.col(id_col).alias("tracked_url_id")).distinct()
-    return postings.join(broadcast_if(ids, within(removed_ids)), "tracked_url_id", "left_anti")
+    return postings.join(ids, "tracked_url_id", "left_anti")

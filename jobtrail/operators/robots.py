@@ -4,9 +4,8 @@ R1 explodes each robots body into numbered lines; whether a line belongs to the
 ``*`` group is the value of the most recent ``user-agent`` line, carried forward
 with a window over one origin's lines (bounded by one file, never by the data).
 R2 gathers each origin's rules into one array row, joins it to the URLs on the
-origin (broadcast when its size is checked, else a shuffle where AQE splits a hot
-origin), and takes the longest matching prefixes with array functions: no
-per-URL regrouping.
+origin (AQE picks the join by bytes and splits a hot origin), and takes the
+longest matching prefixes in one pass over the array: no per-URL regrouping.
 """
 
 from __future__ import annotations
@@ -16,7 +15,6 @@ from pyspark.sql import functions as F
 
 from jobtrail.functions.text import trim_js
 from jobtrail.functions.urls import url_origin, url_path, with_canonical_url
-from jobtrail.operators.common import broadcast_if, within
 
 # Fixed value: failure text when robots.txt forbids the path.
 ROBOTS_REASON = "Scrape skipped because robots.txt disallows this path for user-agent '*'"
@@ -25,23 +23,22 @@ ROBOTS_REASON = "Scrape skipped because robots.txt disallows this path for user-
 def robots_rules(robots: DataFrame) -> DataFrame:
     """(origin, line_no, kind, prefix) of the allow/disallow rules that apply to agent ``*``.
 
-    Only 2xx bodies count; any other status or a missing body means "no rules".
-    Empty rules are dropped (they never match). Exact copies of a body are removed first
-    (combined map-side, so many copies of one file do not meet in one task), and the
-    carry-forward runs per body, so two versions of one origin's file never mix lines.
+    Only the latest body of an origin counts (``max_by``, combined map-side; ties by the body), and only
+    if its status is 2xx: any other status or a missing body means "no rules". Origins are
+    canonicalized like URLs. Empty rules are dropped (they never match).
     """
-    ok = (robots.where(F.col("http_status").between(200, 299) & F.col("body").isNotNull())
-                .select("origin", "body").dropDuplicates(["origin", "body"])
-                .withColumn("body_id", F.xxhash64("body")))
-    lines = ok.select("origin", "body_id", F.posexplode(F.split("body", r"\r?\n")).alias("line_no", "raw"))
+    latest = (with_canonical_url(robots, "origin", "_url").withColumn("origin", url_origin(F.col("_url"))).where(F.col("origin").isNotNull())
+              .groupBy("origin").agg(F.max_by(F.struct("http_status", "body"), F.struct("fetched_at", "body")).alias("r")).select("origin", "r.*"))
+    ok = latest.where(F.col("http_status").between(200, 299) & F.col("body").isNotNull())
+    lines = ok.select("origin", F.posexplode(F.split("body", r"\r?\n")).alias("line_no", "raw"))
     line = trim_js(F.substring_index(F.col("raw"), "#", 1))
     colon = F.instr(line, ":")
     parsed = lines.select(
-        "origin", "body_id", "line_no",
+        "origin", "line_no",
         F.when((colon > 1), F.lower(trim_js(F.substring_index(line, ":", 1)))).alias("key"),
         trim_js(F.substring(line, colon + 1, 1 << 30)).alias("value"),
     ).where(F.col("key").isNotNull() & (F.col("key") != ""))
-    w = Window.partitionBy("origin", "body_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("origin").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     active = F.last(F.when(F.col("key") == "user-agent", F.col("value") == "*"), ignorenulls=True).over(w)
     return (parsed.withColumn("active", F.coalesce(active, F.lit(False)))
                   .where(F.col("active") & F.col("key").isin("allow", "disallow") & (F.col("value") != ""))
@@ -49,21 +46,12 @@ def robots_rules(robots: DataFrame) -> DataFrame:
 
 
 def rules_by_origin(rules: DataFrame) -> DataFrame:
-    """One row per origin with its distinct rules as an array (at most the size of its robots files).
-
-    A set, built map-side, so repeated rules across versions of a file do not pile up; the
-    gate only takes maxima, so order does not matter.
-    """
+    """One row per origin with its distinct rules as an array (at most the size of its robots file; the
+    gate only takes maxima, so order does not matter)."""
     return rules.groupBy("origin").agg(F.collect_set(F.struct("kind", "prefix")).alias("rules"))
 
 
-def _longest(rules, path, kind):
-    hits = F.filter(rules, lambda r: (r["kind"] == kind) & F.startswith(path, r["prefix"]))
-    return F.coalesce(F.array_max(F.transform(hits, lambda r: F.length(r["prefix"]))), F.lit(-1))
-
-
-def robots_gate(urls: DataFrame, rules: DataFrame, url_col: str = "url", canon_col: str | None = None,
-                small_rules: bool | None = None) -> DataFrame:
+def robots_gate(urls: DataFrame, rules: DataFrame, url_col: str = "url", canon_col: str | None = None) -> DataFrame:
     """Add ``allow_len``, ``disallow_len`` and ``robots_allowed`` to every URL row.
 
     Allowed iff no disallow rule matches or the longest allow >= the longest disallow;
@@ -74,10 +62,14 @@ def robots_gate(urls: DataFrame, rules: DataFrame, url_col: str = "url", canon_c
     canon = F.col(canon_col)
     u = urls.withColumn("_origin", url_origin(canon)).withColumn("_path", url_path(canon))
     ro = rules_by_origin(rules).withColumnRenamed("origin", "_origin")
-    # one row per origin: pass small_rules from a check of the robots table, else it is checked here
-    ro = broadcast_if(ro, within(ro) if small_rules is None else small_rules)
-    j = u.join(ro, "_origin", "left").withColumn("rules", F.coalesce("rules", F.array().cast("array<struct<kind:string,prefix:string>>")))
-    j = j.withColumn("allow_len", _longest(F.col("rules"), F.col("_path"), "allow")) \
-         .withColumn("disallow_len", _longest(F.col("rules"), F.col("_path"), "disallow"))
+    none = F.struct(F.lit(-1).alias("allow"), F.lit(-1).alias("disallow"))
+
+    def longer(best, r):  # both maxima in one pass over the rules
+        n = F.when(F.startswith(F.col("_path"), r["prefix"]), F.length(r["prefix"])).otherwise(F.lit(-1))
+        side = lambda kind: F.greatest(best[kind], F.when(r["kind"] == kind, n).otherwise(F.lit(-1))).alias(kind)
+        return F.struct(side("allow"), side("disallow"))
+
+    j = u.join(ro, "_origin", "left").withColumn("_best", F.coalesce(F.aggregate("rules", none, longer), none))
+    j = j.withColumn("allow_len", F.col("_best.allow")).withColumn("disallow_len", F.col("_best.disallow"))
     return j.withColumn("robots_allowed", (F.col("disallow_len") == -1) | (F.col("allow_len") >= F.col("disallow_len"))) \
-            .drop("_origin", "_path", "rules", "_canon")
+            .drop("_origin", "_path", "rules", "_best", "_canon")

@@ -4,7 +4,7 @@ The plan is: date filter (pushed into the parquet scan, and partition pruning on
 ``first_seen_date`` when present) -> top-N by ``first_seen_at`` (TakeOrderedAndProject,
 each task keeps N rows) -> join the <= 2000 rows with their sources -> row
 normalization -> tech and text filters. The last two run after the limit on purpose:
-a search may return fewer rows than match (``filter_first=True`` changes that).
+a search may return fewer rows than match (``filter_first=True`` moves both before it).
 """
 
 from __future__ import annotations
@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 from jobtrail.functions.text import ts_lit
 
-from jobtrail.operators.common import bounded_broadcast
-from jobtrail.session import checkpoint_dir
 from jobtrail.sources.tables import scan_postings
 
 DEFAULT_LIMIT = 500
@@ -38,16 +36,17 @@ _JS_WS = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0
 # ---------------------------------------------------------------- L2 (driver-side parameter rules)
 def clamp_limit(raw: str | None) -> int:
     """Leading integer of the text; <= 0 or none -> 500; at most 2000."""
-    m = re.match(r"([+-]?\d+)", (raw or "").lstrip(_JS_WS))
+    m = re.match(r"([+-]?[0-9]+)", (raw or "").lstrip(_JS_WS))
     n = int(m.group(1)) if m else 0
     return min(n, MAX_LIMIT) if n > 0 else DEFAULT_LIMIT
 
 
 def _parse_day(raw: str | None) -> datetime | None:
-    if not raw or not re.fullmatch(r"\d{4}-\d{2}-\d{2}", raw):
+    """``YYYY``, ``YYYY-MM`` (their first day) or ``YYYY-MM-DD``; None for anything else."""
+    if not raw or not re.fullmatch(r"[0-9]{4}(-[0-9]{2}(-[0-9]{2})?)?", raw):
         return None
     try:
-        return datetime.strptime(raw, "%Y-%m-%d")
+        return datetime.strptime((raw + "-01-01")[:10], "%Y-%m-%d")
     except ValueError:
         return None
 
@@ -106,12 +105,10 @@ def text_filter(df: DataFrame, needle: str | None) -> DataFrame:
 
 
 # ---------------------------------------------------------------- J1
-def with_source(jobs: DataFrame, sources: DataFrame, broadcast_sources: bool = True) -> DataFrame:
+def with_source(jobs: DataFrame, sources: DataFrame) -> DataFrame:
     """Embed the source as a nullable struct ``tracked_urls(url, label, source_type)`` (left join)."""
     s = sources.select(F.col("id").alias("_sid"),
                        F.struct("url", "label", "source_type").alias("tracked_urls"))
-    if broadcast_sources:
-        s = bounded_broadcast(s)
     return jobs.join(s, jobs["tracked_url_id"] == s["_sid"], "left").drop("_sid")
 
 
@@ -146,20 +143,13 @@ def newest(jobs: DataFrame, limit: int) -> DataFrame:
 def search(jobs: DataFrame, sources: DataFrame, tech: str | None = None, company_or_source: str | None = None,
            start_date: str | None = None, end_date: str | None = None, limit: str | int | None = None,
            columns: list[str] | None = None, filter_first: bool = False) -> DataFrame:
-    """The search answer, newest first. ``columns`` prunes the scan (``raw_text`` is wide)."""
+    """The search answer, newest first. ``columns`` prunes the scan (``raw_text`` is wide).
+
+    ``filter_first``: both filters run before the limit, so no match behind it is lost.
+    """
     n = clamp_limit(str(limit) if limit is not None else None)
     base = date_range(scan_postings(jobs, columns), start_date, end_date)
-    if filter_first:
-        base = tech_filter(base, tech)
-    # The top-N rows (<= MAX_LIMIT) are used twice below; materialize them once in the shared
-    # checkpoint folder so the postings are scanned and sorted once. Then broadcast their keys
-    # to cut the sources down to the ones referenced and broadcast those (<= MAX_LIMIT rows).
-    checkpoint_dir(jobs.sparkSession)
-    top = newest(base, n).checkpoint(eager=True)
-    keys = F.broadcast(top.select(F.col("tracked_url_id").alias("id")).distinct())
-    used = sources.join(keys, "id", "left_semi")
-    out = normalize_result(with_source(top, F.broadcast(used), broadcast_sources=False))
     if not filter_first:
-        out = tech_filter(out, tech)
-    out = text_filter(out, company_or_source)
-    return out.drop("first_seen_date").orderBy(F.col("first_seen_at").desc(), F.col("content_hash").asc())
+        base = newest(base, n)
+    out = text_filter(tech_filter(normalize_result(with_source(base, sources)), tech), company_or_source).drop("first_seen_date")
+    return newest(out, n) if filter_first else out.orderBy(F.col("first_seen_at").desc(), F.col("content_hash").asc())

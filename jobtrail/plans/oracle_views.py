@@ -7,7 +7,7 @@ written independently of the Spark code (FIXTURES.md section 3 and 5).
 
 from __future__ import annotations
 
-from jobtrail.functions.keywords import TECH_KEYWORDS, display_form
+from jobtrail.functions.keywords import TECH_KEYWORDS
 
 WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
@@ -20,8 +20,13 @@ def trim_js(x: str) -> str:
     return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
 
 
+# How each keyword is shown, in the order of the keyword list.
+SHOWN = ["Python", "Javascript", "Typescript", "React", "Node.Js", "Next.Js", "Postgresql", "Mysql", "Mongodb", "Redis", "Docker",
+         "Kubernetes", "Aws", "Gcp", "Azure", "Terraform", "Graphql", "Rest Api", "Java", "Go", "Rust", "C++", "C#", ".Net"]
+
+
 def kw_list() -> str:
-    items = ", ".join(f"{{'kw': '{k}', 'd': '{display_form(k)}'}}" for k in TECH_KEYWORDS)
+    items = ", ".join(f"{{'kw': '{k}', 'd': '{d}'}}" for k, d in zip(TECH_KEYWORDS, SHOWN, strict=True))
     return f"[{items}]"
 
 
@@ -59,7 +64,8 @@ select cast(page_id as varchar) as tracked_url_id, page_id,
        case when page_id % 4 = 0 then concat('https://careers.acme-', cast(page_id % 5 as varchar), '.example/jobs/', cast(page_id as varchar)) else url end as final_url,
        html, case when page_id % 17 = 0 then 503 else 200 end as http_status,
        case when page_id % 23 = 0 then 'This operation was aborted' else null end as error
-from pages where page_id % 29 <> 28""", ()),
+from pages""", ()),
+    "v_landed": ("select * from v_snapshots where page_id % 29 <> 28", ("v_snapshots",)),
     "v_robots": ("""
 select origin, case when length(origin) % 6 = 5 then 404 else 200 end as http_status,
        case length(origin) % 6
@@ -82,7 +88,7 @@ select cast(page_id as varchar) as tracked_url_id,
     when 6 then '[{"job_title":"A","company_name":"B"}]'
     when 7 then '{"jobs":"x","job_title":"Solo","company_name":"Gamma"}'
     else '7' end as raw_content
-from pages where page_id % 10 <> 9""", ()),
+from pages""", ()),
     "v_candidates": ("""
 select cast(l_suppkey as varchar) as source_id, l_shipdate as added_at, l_orderkey, l_linenumber, l_partkey,
        p_name as job_title, s_name as company_name,
@@ -101,8 +107,9 @@ from supplier""", ()),
     "v_jobs": ("""
 select content_hash, source_id as tracked_url_id, job_title, company_name, salary, tech_stack, requirements_summary, job_url, added_at as first_seen_at
 from (select c.*, row_number() over (partition by content_hash order by added_at, source_id, l_orderkey, l_linenumber, l_partkey) as rn
-      from (select * from v_keyed where l_orderkey % 3 = 0) c) d
+      from v_keyed c) d
 where rn = 1""", ("v_keyed",)),
+    "v_known_jobs": ("select distinct content_hash from v_keyed where l_orderkey % 3 = 0", ("v_keyed",)),
     "v_attempts": ("""
 select cast(user_id as varchar) as source_id, event_id, ts, case when event_type = 'error' then 'failed' else 'success' end as status
 from events""", ()),

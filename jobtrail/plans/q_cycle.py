@@ -25,20 +25,20 @@ def _ts(d):
     return f"timestamp '{d:%Y-%m-%d %H:%M:%S}'"
 
 
-def _cycle(spark, d, materialize=False):
-    return run_cycle(fixtures.tracked(spark, d), fixtures.snapshots(spark, d), fixtures.robots(spark, d),
-                     fixtures.replies(spark, d), fixtures.jobs(spark, d), CYCLE_ID, NOW, materialize=materialize)
+def _cycle(spark, d):
+    return run_cycle(fixtures.tracked(spark, d), fixtures.landed_snapshots(spark, d), fixtures.robots(spark, d),
+                     fixtures.landed_replies(spark, d), fixtures.known_jobs(spark, d), CYCLE_ID, NOW)
 
 
 def _outcomes(spark, d):
-    return source_outcomes(fixtures.tracked(spark, d), fixtures.snapshots(spark, d), fixtures.robots(spark, d))
+    return source_outcomes(fixtures.tracked(spark, d), fixtures.landed_snapshots(spark, d), fixtures.robots(spark, d))
 
 
-@query("cycle_pages", with_views("v_tracked", "v_snapshots") + """
+@query("cycle_pages", with_views("v_tracked", "v_landed") + """
 select t.id, s.tracked_url_id is not null as has_snapshot, s.final_url, s.http_status, s.error
-from v_tracked t left join v_snapshots s on s.tracked_url_id = t.id""")
+from v_tracked t left join v_landed s on s.tracked_url_id = t.id""")
 def q_cycle_pages(spark, d):
-    return cycle_pages(fixtures.tracked(spark, d), fixtures.snapshots(spark, d)).select(
+    return cycle_pages(fixtures.tracked(spark, d), fixtures.landed_snapshots(spark, d)).select(
         "id", "has_snapshot", "final_url", "http_status", "error")
 
 
@@ -53,14 +53,14 @@ select *, case when reason is null then 'success' else 'failed' end as status fr
   from (select t.*, case when t.source_type = 'linkedin' or regexp_matches(t.url, '(?i)linkedin\\.com') then 'browser' else 'static' end as route,
                g.disallow_len = -1 or g.allow_len >= g.disallow_len as robots_allowed,
                s.tracked_url_id is not null as has_snapshot, s.http_status, s.error
-        from v_tracked t join o_gate g on g.id = t.id left join v_snapshots s on s.tracked_url_id = t.id) t) x""",
-         ("v_tracked", "o_gate", "v_snapshots"))
+        from v_tracked t join o_gate g on g.id = t.id left join v_landed s on s.tracked_url_id = t.id) t) x""",
+         ("v_tracked", "o_gate", "v_landed"))
 
 
 @query("fetch_outcomes", with_views("o_status") + "select id, route, has_snapshot, http_status, status, reason from o_status")
 def q_fetch_outcomes(spark, d):
     o = _outcomes(spark, d)
-    meta = fixtures.snapshots(spark, d).select(F.col("tracked_url_id").alias("id"), "http_status")
+    meta = fixtures.landed_snapshots(spark, d).select(F.col("tracked_url_id").alias("id"), "http_status")
     return o.join(meta, "id", "left").select("id", "route", F.col("final_url").isNotNull().alias("has_snapshot"),
                                              "http_status", "status", "reason")
 
@@ -96,7 +96,7 @@ select content_hash, tracked_url_id, pos, added_at, {trim_js('job_title')} as jo
 from (select p.*, row_number() over (partition by content_hash order by added_at, tracked_url_id, pos) as rn
       from (select p.*, sha256(lower(job_title) || '|' || lower(company_name) || '|' || lower(job_url)) as content_hash
             from o_postings p where p.tracked_url_id in (select id from o_status where status = 'success')) p) x
-where rn = 1 and content_hash not in (select content_hash from v_jobs)""", ("o_postings", "o_status", "v_jobs"))
+where rn = 1 and content_hash not in (select content_hash from v_known_jobs)""", ("o_postings", "o_status", "v_known_jobs"))
 
 
 @query("run_cycle", with_views("o_cycle_new") + """
@@ -115,7 +115,7 @@ select {_ts(STARTED)} as started_at, {_ts(FINISHED)} as finished_at,
        (select count(*) from o_status where status = 'failed') as failed_count,
        (select count(*) from o_cycle_new) > 0 as digest_sent""")
 def q_cycle_summary(spark, d):
-    c = _cycle(spark, d, materialize=True)  # outcomes feed both the counts and the new rows
+    c = _cycle(spark, d)
     return cycle_summary(c.outcomes, c.new_rows, STARTED, FINISHED)
 
 
@@ -174,6 +174,39 @@ from o_digest
 union all
 select cycle_id, cast(2 as bigint) as part, null as tracked_url_id, null as pos, {_lit(dg.FOOT)} as html from o_digest group by cycle_id""")
 def q_digest_html(spark, d):
-    h = dg.digest_html(_digest_rows(spark, d), TRIGGER, materialize=True)
+    h = dg.digest_html(_digest_rows(spark, d), TRIGGER)
     return h.select("cycle_id", F.col("part").cast("long").alias("part"), "tracked_url_id",
                     F.col("pos").cast("long").alias("pos"), "html")
+
+
+# ------------------------------------------------------------------ a backlog: two visits and two replies per source
+@query("outcomes_backlog", with_views("o_status") + "select id, status, reason, cast(1 as bigint) as n from o_status")
+def q_outcomes_backlog(spark, d):
+    o = source_outcomes(fixtures.tracked(spark, d), fixtures.backlog_snapshots(spark, d), fixtures.robots(spark, d))
+    return o.groupBy("id").agg(F.max("status").alias("status"), F.max("reason").alias("reason"), F.count("*").alias("n"))
+
+
+@query("run_cycle_backlog", with_views("o_cycle_new") + "select content_hash, tracked_url_id, pos, job_title from o_cycle_new")
+def q_run_cycle_backlog(spark, d):
+    c = run_cycle(fixtures.tracked(spark, d), fixtures.backlog_snapshots(spark, d), fixtures.robots(spark, d),
+                  fixtures.backlog_replies(spark, d), fixtures.known_jobs(spark, d), CYCLE_ID, NOW)
+    return c.new_rows.select("content_hash", "tracked_url_id", F.col("pos").cast("long").alias("pos"), "job_title")
+
+
+# ------------------------------------------------------------------ a second cycle against the postings of the first
+add_view("o_keyed_pages", """
+select p.*, sha256(lower(job_title) || '|' || lower(company_name) || '|' || lower(job_url)) as content_hash
+from o_postings p where p.tracked_url_id in (select id from o_status where status = 'success')""", ("o_postings", "o_status"))
+
+
+@query("second_cycle", with_views("o_keyed_pages") + """
+select content_hash, tracked_url_id, pos, job_title from (
+  select *, row_number() over (partition by content_hash order by added_at, tracked_url_id, pos) as rn from o_keyed_pages) x
+where rn = 1 and content_hash not in (select content_hash from o_keyed_pages where page_id % 2 = 0)""")
+def q_second_cycle(spark, d):
+    sources, robots, replies = fixtures.tracked(spark, d), fixtures.robots(spark, d), fixtures.landed_replies(spark, d)
+    snaps = fixtures.landed_snapshots(spark, d)
+    none = spark.createDataFrame([], "content_hash string")
+    first = run_cycle(sources, snaps.where(F.col("page_id") % 2 == 0), robots, replies, none, "cycle-0000", STARTED)
+    second = run_cycle(sources, snaps, robots, replies, first.new_rows.select("content_hash"), CYCLE_ID, NOW)
+    return second.new_rows.select("content_hash", "tracked_url_id", F.col("pos").cast("long").alias("pos"), "job_title")

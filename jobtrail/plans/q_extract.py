@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 
 from jobtrail import fixtures
 from jobtrail.operators.clean import clean_pages
-from jobtrail.operators.common import broadcast_if, within
 from jobtrail.operators.dedupe import content_key, insert_new, keep_first, only_unseen, posting_rows
 from jobtrail.operators.extract import (SYSTEM_PROMPT, extract_postings, extraction_requests, fallback_postings,
                                         normalize_candidates, reply_candidates, tag_keywords)
-from jobtrail.plans.oracle_views import add_view, capitalize_dash, collapse, tags, trim_js, with_views
+from jobtrail.plans.oracle_views import add_view, capitalize_dash, clean_html, collapse, tags, trim_js, with_views
 from jobtrail.plans.registry import query
 
 # Fixed parameters of the registered queries.
@@ -33,9 +32,8 @@ def snapshot_pages(spark: SparkSession, d: str) -> DataFrame:
     s = fixtures.snapshots(spark, d)
     src = fixtures.tracked(spark, d)
     t = src.select(F.col("id").alias("tracked_url_id"), F.col("url").alias("tracked_url"), "added_at")
-    # the per-source side is broadcast behind a size check, so the HTML side is never shuffled
-    j = s.join(broadcast_if(t, within(src)), "tracked_url_id").withColumn("source_url", F.coalesce("final_url", "tracked_url"))
-    return clean_pages(j.select("tracked_url_id", "page_id", "source_url", "added_at", "html"))
+    j = s.join(t, "tracked_url_id").withColumn("source_url", F.coalesce("final_url", "tracked_url"))
+    return clean_pages(j.select("tracked_url_id", "snapshot_id", "page_id", "source_url", "added_at", "html"))
 
 
 # ------------------------------------------------------------------ M1
@@ -44,6 +42,19 @@ def q_clean_pages(spark, d):
     return snapshot_pages(spark, d).select("page_id", "page_text")
 
 
+# markup that never ends, nested forms, a breakout of <svg> and a marked section, put in front of every body
+NESTED = ("<div><nav>m</div>A1 <form>f1<form>f2</form>B2 </form>C3 <header>h</header>D4 <svg><title>t</title><p>E5 </p>"
+          "<![x[y]]>F6 <table><tr><td><form>q</td></tr></table>G7 ")
+NESTED_TEXT = "A1 B2 C3 D4 E5 F6 G7 "
+
+
+@query("clean_pages_nested", with_views("v_snapshots") + f"""
+select page_id, {clean_html(f"replace(html, '<body>', '<body>{NESTED_TEXT}')")} as page_text from v_snapshots""")
+def q_clean_pages_nested(spark, d):
+    pages = fixtures.snapshots(spark, d).withColumn("html", F.replace("html", F.lit("<body>"), F.lit("<body>" + NESTED)))
+    return clean_pages(pages).select("page_id", "page_text")
+
+
 # ------------------------------------------------------------------ X1
 @query("tag_keywords", with_views("v_docs") + f"select doc_id, {tags('lower(text)')} as tech from v_docs")
 def q_tag_keywords(spark, d):
@@ -102,6 +113,17 @@ def q_reply_candidates(spark, d):
                     F.coalesce(F.size("candidates").cast("long"), F.lit(0).cast("long")).alias("n_candidates"))
 
 
+@query("reply_candidates_strict", with_views("v_replies") + """
+select tracked_url_id, cast(case when i = 0 then 1 else 0 end as bigint) as n_candidates, i as variant from v_replies, range(0, 4) r(i)""")
+def q_reply_candidates_strict(spark, d):
+    # text behind the value is no JSON, whatever it is
+    ends = F.array(F.lit(""), F.lit(" trailing note"), F.lit(", 1"), F.lit("],[2"))
+    r = fixtures.replies(spark, d).select("tracked_url_id", F.posexplode(ends).alias("variant", "end"))
+    r = r.withColumn("raw_content", F.concat(F.lit('{"jobs":[{"job_title":"A"}]}'), F.col("end")))
+    return reply_candidates(r).select("tracked_url_id", F.coalesce(F.size("candidates"), F.lit(0)).cast("long").alias("n_candidates"),
+                                      F.col("variant").cast("long").alias("variant"))
+
+
 # ------------------------------------------------------------------ X4
 def _str_field(e: str, name: str) -> str:
     return (f"case when json_type({e}, '$.{name}') = 'VARCHAR' then {collapse(f'json_extract_string({e}, {chr(39)}$.{name}{chr(39)})')} "
@@ -131,7 +153,7 @@ select * from (select n.*, row_number() over (partition by tracked_url_id order
        "select tracked_url_id, pos, job_title, company_name, salary, tech, requirements_summary, job_url from o_valid")
 def q_normalize_candidates(spark, d):
     pages = snapshot_pages(spark, d)
-    r = reply_candidates(pages.join(fixtures.replies(spark, d), "tracked_url_id"))
+    r = reply_candidates(pages.join(fixtures.replies(spark, d).drop("tracked_url_id"), "snapshot_id"))
     n = normalize_candidates(r, "candidates", "page_text", "source_url", "valid_postings")
     e = n.select("tracked_url_id", F.posexplode("valid_postings").alias("pos", "p")).select("tracked_url_id", "pos", "p.*")
     return e.select("tracked_url_id", F.col("pos").cast("long").alias("pos"), "job_title", "company_name", "salary",
@@ -141,15 +163,15 @@ def q_normalize_candidates(spark, d):
 # ------------------------------------------------------------------ X5
 add_view("o_postings", """
 select tracked_url_id, page_id, added_at, source_url, page_text, pos, job_title, company_name, salary, tech, requirements_summary, job_url
-from o_valid
+from o_valid where page_id % 10 <> 9
 union all
 select tracked_url_id, page_id, added_at, source_url, page_text, 0 as pos, job_title, company_name, salary, tech, requirements_summary, job_url
-from o_fallback f where not exists (select 1 from o_valid v where v.tracked_url_id = f.tracked_url_id)""",
+from o_fallback f where not exists (select 1 from o_valid v where v.tracked_url_id = f.tracked_url_id and v.page_id % 10 <> 9)""",
          ("o_valid", "o_fallback"))
 
 
 def page_postings(spark: SparkSession, d: str) -> DataFrame:
-    return extract_postings(snapshot_pages(spark, d), fixtures.replies(spark, d))
+    return extract_postings(snapshot_pages(spark, d), fixtures.landed_replies(spark, d))
 
 
 @query("extract_postings", with_views("o_postings") +
@@ -191,12 +213,12 @@ def q_keep_first(spark, d):
 
 
 # ------------------------------------------------------------------ J2 / D3
-@query("only_unseen", with_views("v_keyed", "v_jobs") + """
+@query("only_unseen", with_views("v_keyed", "v_known_jobs") + """
 select content_hash, source_id, l_orderkey, l_linenumber, l_partkey from v_keyed k
-where not exists (select 1 from v_jobs j where j.content_hash = k.content_hash)""")
+where not exists (select 1 from v_known_jobs j where j.content_hash = k.content_hash)""")
 def q_only_unseen(spark, d):
     k = content_key(fixtures.candidates(spark, d), url_fallback=None)
-    return only_unseen(k, fixtures.jobs(spark, d)).select("content_hash", "source_id", "l_orderkey", "l_linenumber", "l_partkey")
+    return only_unseen(k, fixtures.known_jobs(spark, d)).select("content_hash", "source_id", "l_orderkey", "l_linenumber", "l_partkey")
 
 
 # ------------------------------------------------------------------ P13
@@ -216,16 +238,16 @@ def q_posting_rows(spark, d):
 
 
 # ------------------------------------------------------------------ D4
-@query("insert_new", with_views("v_keyed", "v_jobs") + f"""
+@query("insert_new", with_views("v_keyed", "v_known_jobs") + f"""
 select content_hash, source_id as tracked_url_id, job_title, company_name, nullif({trim_js('salary')}, '') as salary,
        array_to_string(tech_stack[1:20], ',') as tech, substring({collapse('requirements_summary')}, 1, 1200) as requirements_summary,
        job_url, timestamp '{NOW:%Y-%m-%d %H:%M:%S}' as first_seen_at, '{CYCLE_ID}' as cycle_id
 from (select k.*, row_number() over (partition by content_hash order by added_at, source_id, l_orderkey, l_linenumber, l_partkey) as rn
       from v_keyed k) x
-where rn = 1 and content_hash not in (select content_hash from v_jobs)""")
+where rn = 1 and content_hash not in (select content_hash from v_known_jobs)""")
 def q_insert_new(spark, d):
     c = fixtures.candidates(spark, d).withColumn("tracked_url_id", F.col("source_id")).withColumn("raw", F.lit(""))
-    n = insert_new(c, fixtures.jobs(spark, d), CAND_ORDER, CYCLE_ID, NOW, raw_text_col="raw", url_fallback=None)
+    n = insert_new(c, fixtures.known_jobs(spark, d), CAND_ORDER, CYCLE_ID, NOW, raw_text_col="raw", url_fallback=None)
     return n.select("content_hash", "tracked_url_id", "job_title", "company_name", "salary", _joined("tech_stack", "tech"),
                     "requirements_summary", "job_url", "first_seen_at", "cycle_id")
 

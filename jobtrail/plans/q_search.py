@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from jobtrail import fixtures
-from jobtrail.operators.search import (date_range, day_end, day_start, display_view, newest, normalize_result, search,
-                                       tech_filter, text_filter, with_source)
+from jobtrail.operators.search import (date_range, display_view, newest, normalize_result, search, tech_filter, text_filter,
+                                       with_source)
 from jobtrail.plans.oracle_views import with_views
 from jobtrail.plans.registry import query
 
@@ -17,8 +17,8 @@ TEXT = "label supplier#00000001"
 LIMIT = "1000"
 
 
-def _ts(d):
-    return f"timestamp '{d:%Y-%m-%d %H:%M:%S.%f}'"
+# The days of START and END as bounds, written out.
+FROM, TO = "timestamp '1994-01-01 00:00:00'", "timestamp '1996-12-31 23:59:59.999'"
 
 
 def _src(spark, d):
@@ -26,12 +26,18 @@ def _src(spark, d):
 
 
 @query("search_dates", with_views("v_jobs") +
-       f"select content_hash, first_seen_at from v_jobs where first_seen_at >= {_ts(day_start(START))} "
-       f"and first_seen_at <= {_ts(day_end(END))}")
+       f"select content_hash, first_seen_at from v_jobs where first_seen_at >= {FROM} "
+       f"and first_seen_at <= {TO}")
 def q_search_dates(spark, d):
     return date_range(fixtures.jobs(spark, d), START, END).select("content_hash", "first_seen_at")
 
 
+@query("search_short_dates", with_views("v_jobs") + """
+select content_hash from v_jobs where first_seen_at >= timestamp '1995-02-01 00:00:00' and first_seen_at <= timestamp '1996-01-01 23:59:59.999'""")
+def q_search_short_dates(spark, d):
+    return date_range(fixtures.jobs(spark, d), "1995-02", "1996").select("content_hash")
+
+
 @query("search_tech", with_views("v_jobs") +
        f"select content_hash from v_jobs where len(list_filter(tech_stack, lambda e: contains(lower(e), '{TECH}'))) > 0")
 def q_search_tech(spark, d):
@@ -86,7 +92,7 @@ def q_newest(spark, d):
 
 @query("search", with_views("v_jobs", "v_supplier_sources") + f"""
 select t.content_hash, t.first_seen_at, t.job_title, t.company_name, s.url as source_url
-from (select * from v_jobs where first_seen_at >= {_ts(day_start(START))} and first_seen_at <= {_ts(day_end(END))}
+from (select * from v_jobs where first_seen_at >= {FROM} and first_seen_at <= {TO}
       order by first_seen_at desc, content_hash limit {LIMIT}) t
 left join v_supplier_sources s on s.id = t.tracked_url_id
 where len(list_filter(t.tech_stack, lambda e: contains(lower(e), '{TECH}'))) > 0
@@ -95,3 +101,16 @@ def q_search(spark, d):
     r = search(fixtures.jobs(spark, d), fixtures.supplier_sources(spark, d), tech=TECH, company_or_source="label",
                start_date=START, end_date=END, limit=LIMIT)
     return r.select("content_hash", "first_seen_at", "job_title", "company_name", F.col("tracked_urls.url").alias("source_url"))
+
+
+@query("search_all_filters", with_views("v_jobs", "v_supplier_sources") + f"""
+select j.content_hash, j.first_seen_at, s.url as source_url
+from v_jobs j left join v_supplier_sources s on s.id = j.tracked_url_id
+where first_seen_at >= {FROM} and first_seen_at <= {TO}
+  and len(list_filter(j.tech_stack, lambda e: contains(lower(e), '{TECH}'))) > 0
+  and contains(lower(concat_ws(' ', coalesce(j.company_name, ''), coalesce(j.job_title, ''), coalesce(s.url, ''), coalesce(s.label, ''))), '{TEXT}')
+order by first_seen_at desc, content_hash limit 20""")
+def q_search_all_filters(spark, d):
+    r = search(fixtures.jobs(spark, d), fixtures.supplier_sources(spark, d), tech=TECH, company_or_source=TEXT,
+               start_date=START, end_date=END, limit="20", filter_first=True)
+    return r.select("content_hash", "first_seen_at", F.col("tracked_urls.url").alias("source_url"))

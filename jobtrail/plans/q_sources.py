@@ -7,12 +7,13 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from jobtrail import fixtures
+from jobtrail.functions.urls import with_canonical_url
 from jobtrail.operators.cycle import latest_status, route_sources
 from jobtrail.operators.registry import cascade_postings, register_sources, remove_sources, validate_submissions
 from jobtrail.operators.robots import robots_gate, robots_rules
 from jobtrail.plans.oracle_views import add_view, trim_js, with_views
 from jobtrail.plans.registry import query
-from jobtrail.sources.tables import cycle_sources, list_sources
+from jobtrail.sources.tables import cycle_sources, list_sources, read_table
 
 NOW = datetime(2025, 1, 1, 12, 0, 0)
 
@@ -97,6 +98,23 @@ def q_register_sources(spark, d):
     return outcomes.select("submit_no", "url", "label", "source_type", "status", "reason")
 
 
+@query("registered_table", with_views("o_valid_subs", "v_tracked") + f"""
+select substring(sha256(canonical_url), 1, 32) as id, canonical_url as url, label, source_type, timestamp '{NOW:%Y-%m-%d %H:%M:%S}' as added_at, 'pending' as last_scrape_status
+from (select *, row_number() over (partition by canonical_url order by submit_no) as rn from o_valid_subs where reason is null) v
+where rn = 1 and canonical_url not in (select url from v_tracked)
+union all select id, url, label, source_type, added_at, last_scrape_status from v_tracked""")
+def q_registered_table(spark, d):
+    table, _ = register_sources(fixtures.tracked(spark, d), fixtures.submissions(spark, d), NOW)
+    return table.select("id", "url", "label", "source_type", "added_at", "last_scrape_status")
+
+
+@query("canonical_urls_encoded", r"""
+select page_id, 'https://www.ex.com/stra%C3%9Fe/' || page_id || '/b%20c?q=x\y%20%C3%A9#f\%C3%BC' as canonical_url from pages""")
+def q_canonical_urls_encoded(spark, d):
+    raw = F.concat(F.lit("HTTPS:\\\\www.EX.com:443/straße\\"), F.col("page_id").cast("string"), F.lit("\\b c?q=x\\y é#f\\ü"))
+    return with_canonical_url(read_table(spark, d, "pages").select("page_id", raw.alias("url")), "url").select("page_id", "canonical_url")
+
+
 # removal requests: sources whose last recorded attempt failed (ids padded, as typed by a user)
 add_view("o_removed", """
 select distinct source_id as id from (
@@ -116,6 +134,13 @@ def q_remove_sources(spark, d):
     return remaining.select("id", "url")
 
 
+@query("remove_outcomes", with_views("o_removed") + "select id, 'removed' as status, cast(null as varchar) as reason from o_removed union all select '', 'rejected', 'id is required'")
+def q_remove_outcomes(spark, d):
+    blank = spark.createDataFrame([("  ",)], "id string")
+    _, outcomes = remove_sources(fixtures.tracked(spark, d), removal_requests(spark, d).unionByName(blank))
+    return outcomes
+
+
 @query("cascade_postings", with_views("v_jobs", "o_removed") +
        "select content_hash, tracked_url_id from v_jobs where tracked_url_id not in (select id from o_removed)")
 def q_cascade_postings(spark, d):

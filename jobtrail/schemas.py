@@ -31,7 +31,9 @@ POSTINGS = T.StructType([
 ])
 
 SNAPSHOTS = T.StructType([
+    T.StructField("snapshot_id", T.StringType(), False),
     T.StructField("tracked_url_id", T.StringType(), False),
+    T.StructField("fetched_at", TS, False),
     T.StructField("final_url", T.StringType(), True),
     T.StructField("html", T.StringType(), True),
     T.StructField("http_status", T.IntegerType(), True),
@@ -42,11 +44,13 @@ ROBOTS = T.StructType([
     T.StructField("origin", T.StringType(), False),
     T.StructField("http_status", T.IntegerType(), True),
     T.StructField("body", T.StringType(), True),
+    T.StructField("fetched_at", TS, False),
 ])
 
 REPLIES = T.StructType([
-    T.StructField("tracked_url_id", T.StringType(), False),
+    T.StructField("snapshot_id", T.StringType(), False),
     T.StructField("raw_content", T.StringType(), True),
+    T.StructField("replied_at", TS, False),
 ])
 
 SUBMISSIONS = T.StructType([

@@ -1,9 +1,8 @@
-"""SparkSession construction and shared-folder settings."""
+"""SparkSession construction."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -34,20 +33,3 @@ def build_session(master: str | None = None, app: str = "jobtrail", shuffle_part
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Only a ``local[...]`` session without one (tests, single-machine runs) gets a fresh scratch
-    folder; on a cluster a machine-local folder would be wrong, so the setting is required.
-    """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not d:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster (e.g. on HDFS or S3)")
-        d = tempfile.mkdtemp(prefix="jobtrail-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
-    return d

@@ -3,7 +3,7 @@
 Everything is plain parquet. Postings are append-only and partitioned by
 ``first_seen_date`` (the search predicate prunes partitions); the sources table
 is written as a new ``version`` partition per cycle and read at its newest
-version, so a cycle never overwrites a path it is reading.
+version, so a cycle never overwrites a path it is reading. Old versions expire.
 """
 
 from __future__ import annotations
@@ -14,60 +14,39 @@ from pyspark.sql import functions as F
 from jobtrail import schemas
 
 
-_SPLITS: dict[tuple[str, str, tuple[str, ...]], int] = {}
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given test tables, e.g. ``pages`` or ``lineitem``."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, min_partitions: int | None = None, key: str | None = None) -> DataFrame:
-    """Round-robin a scan that has fewer splits than the cluster has task slots.
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the partition folders right below ``path``, on any file system Spark reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
 
-    A file with a single row group is one split, so everything before the first
-    shuffle would run in one task. Large inputs have many splits and pass through
-    unchanged (the check only plans the scan; it runs no job). ``key`` (a path)
-    memoizes the split count for the session.
-    """
-    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    memo = (df.sparkSession.sparkContext.applicationId, key, tuple(df.inputFiles())) if key else None
-    splits = _SPLITS.get(memo) if memo else None
-    if splits is None:
-        splits = df.rdd.getNumPartitions()
-        if memo:
-            _SPLITS[memo] = splits
-    return df.repartition(n) if splits < n else df
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread_splits: bool = True) -> DataFrame:
-    """One of the given test tables, e.g. ``pages`` or ``lineitem``, spread over the task slots.
-
-    ``spread_splits=False`` for dimension tables that are only broadcast: spreading them
-    would add a shuffle and buy nothing.
-    """
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    df = read_parquet_cached_schema(spark, path)
-    return spread(df, key=path) if spread_splits else df
 
+def source_versions(spark: SparkSession, path: str) -> dict[int, str]:
+    """Versions of the sources table and the cycle that wrote each ('' for none), from the folder listing."""
+    found = {}
+    for name in _folders(spark, path):
+        if name.startswith("version="):
+            number = int(name.removeprefix("version="))
+            cycles = [c.removeprefix("cycle_id=") for c in _folders(spark, f"{path.rstrip('/')}/{name}") if c.startswith("cycle_id=")]
+            found[number] = cycles[0] if cycles else ""
+    return found
 
-_SCHEMAS: dict[tuple[str, str], object] = {}
 
+def read_sources(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """Newest version of the sources table (S1/S2 scan), or the newest one before ``before``.
 
-def read_parquet_cached_schema(spark: SparkSession, path: str) -> DataFrame:
-    """``spark.read.parquet`` that infers a path's schema once per application and then passes it,
-    sparing a footer-reading job on every later read of the same input."""
-    memo = (spark.sparkContext.applicationId, path)
-    schema = _SCHEMAS.get(memo)
-    if schema is None:
-        df = spark.read.parquet(path)
-        _SCHEMAS[memo] = df.schema
-        return df
-    return spark.read.schema(schema).parquet(path)
-
-
-def read_sources(spark: SparkSession, path: str) -> DataFrame:
-    """Newest version of the sources table (S1/S2 scan)."""
+    The version is a literal taken from the folder listing, so the scan is pruned to its partition.
+    """
     df = spark.read.parquet(path)
     if "version" not in df.columns:
         return df
-    newest = df.agg(F.max("version").alias("v"))
-    return df.join(F.broadcast(newest), df["version"] == newest["v"], "left_semi").drop("version")
+    newest = max(v for v in source_versions(spark, path) if before is None or v < before)
+    return df.where(F.col("version") == newest).drop("version", "cycle_id")
 
 
 POSTING_COLUMNS = ["id", "tracked_url_id", "job_title", "company_name", "salary", "tech_stack",
@@ -121,14 +100,21 @@ def write_postings(df: DataFrame, path: str) -> None:
        .write.mode("append").partitionBy("first_seen_date").parquet(path))
 
 
-def write_sources(df: DataFrame, path: str, version: int) -> None:
-    """Write the sources table after a cycle as a new version.
+def write_sources(df: DataFrame, path: str, cycle_id: str, keep: int = 48) -> int:
+    """Write the sources table after a cycle as a new version (S8); returns the version.
 
-    Dynamic partition overwrite replaces only ``version=<version>``: a replayed cycle rewrites
-    its own version instead of adding a second copy of it.
+    The version is the newest stored one plus 1, whoever wrote that; a replayed cycle finds its own
+    version by its ``cycle_id`` and rewrites it. Versions older than the newest ``keep`` are deleted.
     """
-    (df.withColumn("version", F.lit(version)).write.mode("overwrite")
-       .option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path))
+    spark = df.sparkSession
+    stored = source_versions(spark, path)
+    version = next((v for v, c in stored.items() if c == cycle_id), max(stored, default=0) + 1)
+    (df.withColumns({"version": F.lit(version), "cycle_id": F.lit(cycle_id)}).write.mode("overwrite")
+       .option("partitionOverwriteMode", "dynamic").partitionBy("version", "cycle_id").parquet(path))
+    for old in sorted(stored)[:-keep]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/version={old}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return version
 
 
 def write_digest(df: DataFrame, path: str) -> None:

@@ -12,14 +12,15 @@ from tests.conftest import SF_SMALL
 NOW = datetime(2025, 1, 1, 12)
 SRC = ("id string, url string, label string, source_type string, added_at timestamp_ntz, last_scraped_at timestamp_ntz, "
        "last_scrape_status string")
-SNAP = "tracked_url_id string, final_url string, html string, http_status int, error string"
-ROB = "origin string, http_status int, body string"
+SNAP = ("snapshot_id string, tracked_url_id string, fetched_at timestamp_ntz, final_url string, html string, http_status int, "
+        "error string")
+ROB = "origin string, http_status int, body string, fetched_at timestamp_ntz"
 
 
 def test_browser_route_ignores_status(spark):
     src = spark.createDataFrame([("1", "https://www.linkedin.com/jobs/1", None, "linkedin", NOW, None, "pending"),
                                  ("2", "https://acme.example/jobs", None, "company_page", NOW, None, "pending")], SRC)
-    snaps = spark.createDataFrame([("1", None, "<body>x</body>", 503, None), ("2", None, "<body>y</body>", 503, None)], SNAP)
+    snaps = spark.createDataFrame([("a", "1", NOW, None, "<body>x</body>", 503, None), ("b", "2", NOW, None, "<body>y</body>", 503, None)], SNAP)
     rob = spark.createDataFrame([], ROB)
     got = {r.id: (r.status, r.reason) for r in source_outcomes(src, snaps, rob).collect()}
     assert got == {"1": ("success", None), "2": ("failed", "Static scrape failed with status 503")}
@@ -27,8 +28,8 @@ def test_browser_route_ignores_status(spark):
 
 def test_cycle_on_fixtures(spark):
     src = fixtures.tracked(spark, SF_SMALL)
-    res = run_cycle(src, fixtures.snapshots(spark, SF_SMALL), fixtures.robots(spark, SF_SMALL),
-                    fixtures.replies(spark, SF_SMALL), fixtures.jobs(spark, SF_SMALL), "c1", NOW)
+    res = run_cycle(src, fixtures.landed_snapshots(spark, SF_SMALL), fixtures.robots(spark, SF_SMALL),
+                    fixtures.landed_replies(spark, SF_SMALL), fixtures.known_jobs(spark, SF_SMALL), "c1", NOW)
     outcomes = res.outcomes.cache()
     s = cycle_summary(outcomes, res.new_rows, NOW, NOW).first()
     n_ok = outcomes.where(F.col("status") == "success").count()
@@ -41,8 +42,8 @@ def test_cycle_on_fixtures(spark):
     assert {r.last_scraped_at for r in after.collect()} == {NOW}
     # replay against the stored rows adds nothing
     stored = res.new_rows.select("content_hash")
-    again = run_cycle(src, fixtures.snapshots(spark, SF_SMALL), fixtures.robots(spark, SF_SMALL),
-                      fixtures.replies(spark, SF_SMALL), stored, "c1", NOW)
+    again = run_cycle(src, fixtures.landed_snapshots(spark, SF_SMALL), fixtures.robots(spark, SF_SMALL),
+                      fixtures.landed_replies(spark, SF_SMALL), stored, "c1", NOW)
     assert again.new_rows.count() == 0
     outcomes.unpersist()
 

@@ -72,26 +72,3 @@ def test_result_independent_of_partitioning(spark):
     b = {tuple(r) for r in keep_first(c.repartition(13), fixtures.CANDIDATE_ORDER)
          .select("content_hash", "l_orderkey", "l_linenumber").collect()}
     assert a == b and len(a) == len({x[0] for x in a})
-
-
-def test_probe_by_broadcast_keys_equals_anti_join(spark):
-    from tests.conftest import SF_SMALL
-    from jobtrail import fixtures
-
-    c = content_key(fixtures.candidates(spark, SF_SMALL), url_fallback=None)
-    stored = fixtures.jobs(spark, SF_SMALL)
-    a = {tuple(r) for r in only_unseen(c, stored).select("content_hash", "l_orderkey", "l_linenumber", "l_partkey").collect()}
-    probe = only_unseen(c, stored, batch_keys_small=True)
-    plan = probe._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" not in plan
-    b = {tuple(r) for r in probe.select("content_hash", "l_orderkey", "l_linenumber", "l_partkey").collect()}
-    assert a == b and len(a) > 0
-
-
-def test_insert_new_materialized_matches(spark):
-    c = cands(spark, [row(str(i % 3), T0, i % 2, title=f"T{i % 5}") for i in range(20)])
-    stored = content_key(cands(spark, [row("0", T0, 0, title="T0")])).select("content_hash")
-    order = ["added_at", "tracked_url_id", "pos"]
-    a = {r.content_hash for r in insert_new(c, stored, order, "c", NOW).collect()}
-    b = {r.content_hash for r in insert_new(c, stored, order, "c", NOW, materialize=True).collect()}
-    assert a == b and len(a) == 4

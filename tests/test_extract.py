@@ -43,13 +43,15 @@ LONG = "Python page with Go " + "filler " * 20
 
 
 def run(spark, reply, text=LONG):
-    p = pages(spark, [("1", "https://acme.example/jobs", text, None)])
-    r = spark.createDataFrame([("1", reply)], "tracked_url_id string, raw_content string")
+    p = pages(spark, [("1", "https://acme.example/jobs", text, None)]).withColumn("snapshot_id", F.lit("s1"))
+    old = '[{"job_title":"Old","company_name":"Old"}]'
+    r = spark.createDataFrame([("s1", old, 1), ("s1", reply, 2), ("s1", reply, 2), ("s2", old, 3)], "snapshot_id string, raw_content string, replied_at int")
     return sorted(extract_postings(p, r).collect(), key=lambda x: x.pos)
 
 
 def test_reply_shapes_go_to_fallback(spark):
-    for reply in [None, "  ", "not json", "null", "7", '"s"', "true", '{"jobs":[]}', '[{"job_title":"A","company_name":"B"}]',
+    for reply in [None, "  ", "not json", "null", "7", '"s"', "true", '{"jobs":[{"job_title":"A","company_name":"B"}]} trailing note',
+                  '{"job_title":"A","company_name":"B"},1', '{"job_title":"A","company_name":"B"}],[1', '{"jobs":[]}', '[{"job_title":"A","company_name":"B"}]',
                   '{"job_title":5,"company_name":"A"}', '{"jobs":[null,"x",{"job_title":"","company_name":"B"}]}']:
         out = run(spark, reply)
         assert len(out) == 1 and out[0].job_title == UNKNOWN_ROLE and out[0].company_name == "Acme", reply

@@ -9,8 +9,8 @@ from jobtrail.operators.robots import robots_gate, robots_rules
 from tests.conftest import SF_MID, SF_SMALL
 
 COUNTS = {  # view: (sf0.001, sf0.01)
-    "tracked": (50, 250), "snapshots": (49, 242), "robots": (40, 97), "replies": (45, 225),
-    "candidates": (6000, 60000), "supplier_sources": (10, 100), "jobs": (1469, 15928),
+    "tracked": (50, 250), "landed_snapshots": (49, 242), "snapshots": (50, 250), "robots": (40, 97), "landed_replies": (45, 225), "replies": (50, 250),
+    "candidates": (6000, 60000), "supplier_sources": (10, 100), "jobs": (2967, 32765), "known_jobs": (1469, 15928),
     "attempts": (1000, 10000), "docs": (200, 1000), "submissions": (50, 250),
 }
 
@@ -29,7 +29,7 @@ def test_unseen_key_check_values(spark):
     keyed = content_key(fixtures.candidates(spark, SF_MID).where(F.col("l_orderkey") % 3 != 0), url_fallback=None)
     keys = keyed.select("content_hash").distinct()
     assert keys.count() == 26313
-    assert only_unseen(keys, fixtures.jobs(spark, SF_MID)).count() == 16837
+    assert only_unseen(keys, fixtures.known_jobs(spark, SF_MID)).count() == 16837
 
 
 def test_gate_check_values(spark):

@@ -1,15 +1,18 @@
 """R1, R2/J4, plus a property test against a plain restatement of the rule."""
 
+from datetime import datetime, timedelta
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from jobtrail.operators.robots import robots_gate, robots_rules
 
-ROBOTS = "origin string, http_status int, body string"
+NOW = datetime(2025, 1, 1)
+ROBOTS = "origin string, http_status int, body string, fetched_at timestamp_ntz"
 
 
 def gate(spark, body, path, status=200):
-    r = spark.createDataFrame([("https://a.example", status, body)], ROBOTS)
+    r = spark.createDataFrame([("https://A.example:443", status, body, NOW)], ROBOTS)
     u = spark.createDataFrame([("1", "https://a.example" + path)], "id string, url string")
     return robots_gate(u, robots_rules(r)).first().robots_allowed
 
@@ -26,7 +29,7 @@ def test_edge_rows(spark):
 
 
 def test_missing_origin_allows(spark):
-    r = spark.createDataFrame([("https://other.example", 200, "User-agent: *\nDisallow: /")], ROBOTS)
+    r = spark.createDataFrame([("https://other.example", 200, "User-agent: *\nDisallow: /", NOW)], ROBOTS)
     u = spark.createDataFrame([("1", "https://a.example/x")], "id string, url string")
     assert robots_gate(u, robots_rules(r)).first().robots_allowed is True
 
@@ -59,7 +62,8 @@ def test_matches_plain_restatement(spark, lines, path):
 
 
 def test_copies_and_versions_of_one_file(spark):
-    rows = [("https://a.example", 200, "User-agent: *\nDisallow: /x")] * 5 + [("https://a.example", 200, "User-agent: y\nDisallow: /")]
+    old = NOW - timedelta(days=1)
+    rows = [("https://a.example", 200, "User-agent: *\nDisallow: /x", NOW)] * 5 + [("https://a.example", 200, "User-agent: *\nDisallow: /", old)]
     r = spark.createDataFrame(rows, ROBOTS)
     rules = robots_rules(r).collect()
     assert [(x.kind, x.prefix) for x in rules] == [("disallow", "/x")]

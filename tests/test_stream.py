@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from jobtrail import fixtures
 from jobtrail.operators.cycle import run_cycle
-from jobtrail.sources.tables import write_sources
+from jobtrail.sources.tables import read_sources, source_versions, write_sources
 from jobtrail.streaming import stream_cycle
+from jobtrail.streaming.stream import process_batch
 from tests.conftest import SF_SMALL
 
 
 def test_stream_equals_batch_and_replay_is_empty(spark, scratch):
     src = fixtures.tracked(spark, SF_SMALL)
-    snaps = fixtures.snapshots(spark, SF_SMALL)
-    robots, replies = fixtures.robots(spark, SF_SMALL), fixtures.replies(spark, SF_SMALL)
-    write_sources(src, f"{scratch}/sources", version=0)
+    snaps = fixtures.landed_snapshots(spark, SF_SMALL)
+    robots, replies = fixtures.robots(spark, SF_SMALL), fixtures.landed_replies(spark, SF_SMALL)
+    write_sources(src, f"{scratch}/sources", "import")
     # land the snapshots as three files, in source order
     ordered = snaps.join(src.select(F.col("id").alias("tracked_url_id"), "added_at"), "tracked_url_id")
     bucket = F.ntile(3).over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("added_at", "tracked_url_id"))
@@ -50,12 +51,54 @@ def test_stream_equals_batch_and_replay_is_empty(spark, scratch):
     parts.unpersist()
 
 
-def test_sources_version_rewrite_is_idempotent(spark, scratch):
-    from jobtrail.sources.tables import read_sources
+def land(spark, path, rows):
+    schema = "snapshot_id string, tracked_url_id string, fetched_at timestamp_ntz, final_url string, html string, http_status int, error string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
 
+
+def test_fresh_checkpoint_backlog_and_replay(spark, scratch):
+    """Several visits in one batch keep one row per source; a stream with a fresh checkpoint goes on from the
+    stored version and digests its own postings; a replayed batch changes nothing."""
+    t = [datetime(2025, 1, 1, h) for h in range(6)]
+    src = spark.createDataFrame([("1", "https://a.example/jobs", None, "company_page", t[0], None, "pending"),
+                                 ("2", "https://b.example/jobs", None, "company_page", t[0], None, "pending")],
+                                "id string, url string, label string, source_type string, added_at timestamp_ntz, last_scraped_at timestamp_ntz, last_scrape_status string")
+    write_sources(src, f"{scratch}/sources", "import")
+    robots = spark.createDataFrame([], "origin string, http_status int, body string, fetched_at timestamp_ntz")
+    paths = (f"{scratch}/landing", f"{scratch}/sources", robots, None, f"{scratch}/postings", f"{scratch}/digest")
+
+    def go(checkpoint):
+        stream_cycle(spark, *paths, f"{scratch}/{checkpoint}").awaitTermination(300)
+        return {r.id: r.last_scrape_status for r in read_sources(spark, paths[1]).collect()}, read_sources(spark, paths[1]).count()
+
+    land(spark, paths[0], [("s1", "1", t[1], None, "<body>old visit</body>", 500, None), ("s2", "1", t[2], None, "<body>Engineer wanted</body>", 200, None),
+                           ("s3", "2", t[1], None, "<body>Writer wanted</body>", 200, None), ("s3", "2", t[1], None, "<body>Writer wanted</body>", 200, None)])
+    assert go("one") == ({"1": "success", "2": "success"}, 2)
+    n = spark.read.parquet(paths[4]).count()
+    land(spark, paths[0], [("s4", "1", t[3], None, None, 503, None), ("s5", "2", t[3], None, "<body>Another job</body>", 200, None)])
+    # a fresh checkpoint sees all four visits in one batch
+    assert go("two") == ({"1": "failed", "2": "success"}, 2)
+    postings = spark.read.parquet(paths[4])
+    digest = spark.read.parquet(paths[5])
+    assert postings.count() == n + 1 == digest.where("part = 1").count()
+    assert sorted(source_versions(spark, paths[1])) == [1, 2, 3]
+    before = sorted(map(str, read_sources(spark, paths[1]).collect()))
+    run_id = spark.read.json(f"{scratch}/two/metadata").first()["id"]
+    process_batch(spark.read.parquet(paths[0]), 0, spark, paths[1], robots, None, paths[4], paths[5], "cron", run_id)
+    assert sorted(map(str, read_sources(spark, paths[1]).collect())) == before
+    assert spark.read.parquet(paths[4]).count() == n + 1 and spark.read.parquet(paths[5]).where("part = 1").count() == n + 1
+
+
+def test_sources_versions(spark, scratch):
     src = fixtures.tracked(spark, SF_SMALL)
-    write_sources(src, f"{scratch}/s", version=0)
-    write_sources(src.limit(5), f"{scratch}/s", version=1)
-    write_sources(src.limit(5), f"{scratch}/s", version=1)  # replay of the same cycle
-    assert read_sources(spark, f"{scratch}/s").count() == 5
-    assert spark.read.parquet(f"{scratch}/s").where("version = 0").count() == src.count()
+    path = f"{scratch}/s"
+    assert write_sources(src, path, "a") == 1
+    assert write_sources(src.limit(5), path, "b") == 2
+    assert write_sources(src.limit(5), path, "b") == 2  # replay of the same cycle
+    assert read_sources(spark, path).count() == 5
+    assert read_sources(spark, path, before=2).count() == src.count()
+    plan = read_sources(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "(version#" in plan and "= 2)" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    for c in "cdef":
+        write_sources(src.limit(3), path, c, keep=3)
+    assert sorted(source_versions(spark, path)) == [3, 4, 5, 6] and read_sources(spark, path).count() == 3
