@@ -21,7 +21,7 @@ RULES = (
     ("few_words", "n_words < 20"),
     ("repeated_words", "100 * n_repeat_words > 30 * n_words"),
     ("symbols", "100 * n_symbols > 8 * word_chars"),
-    ("repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+    ("repeated_lines", "100 * n_dup_lines > 50 * n_lines"),
     ("short_words", "word_chars < 2 * n_words"),
     ("long_words", "word_chars > 25 * n_words"),
     ("capitals", "100 * n_capitals > 40 * word_chars"),
