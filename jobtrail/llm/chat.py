@@ -10,6 +10,8 @@ of canonical JSON: keys sorted at every depth, no blanks.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,22 +63,24 @@ def levels(calls: DataFrame) -> DataFrame:
     """``(conv_id, call_id, after)``, one row per call -> ``(conv_id, call_id, level)``: 0 for a call that needs no other,
     else one more than the highest level it needs. Null on or behind a cycle. Names of unknown calls are ignored.
 
-    Each round settles one level; a round's table is written to the shared folder.
+    Each round settles one level and writes the calls that were still waiting, with their open needs.
     """
     nodes = calls.select("conv_id", "call_id")
     needs = calls.select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("need"))
     needs = keep(needs.join(nodes.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left_semi"), "needs")
-    waiting = needs
-    settled = keep(nodes.join(needs, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "levels")
-    done, last, level = settled, settled, 0
-    while not last.isEmpty() and not waiting.isEmpty():
+    count = needs.groupBy("conv_id", "call_id").agg(F.count("*").alias("open"))
+    state = keep(nodes.join(count, ["conv_id", "call_id"], "left").withColumn("open", F.coalesce("open", F.lit(0))), "levels")
+    level, done = 0, []
+    while True:
+        settled, waiting = state.filter("open = 0"), state.filter("open > 0")
+        done.append(settled.select("conv_id", "call_id", F.lit(level).alias("level")))
+        n = state.agg(F.count_if(F.col("open") == 0).alias("settled"), F.count_if(F.col("open") > 0).alias("waiting")).first()
+        if not n.settled or not n.waiting:
+            return nodes.join(reduce(DataFrame.unionByName, done), ["conv_id", "call_id"], "left")
+        met = (needs.join(settled.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"])
+               .groupBy("conv_id", "call_id").agg(F.count("*").alias("met")))
+        state = keep(waiting.join(met, ["conv_id", "call_id"], "left").select("conv_id", "call_id", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open")), "levels")
         level += 1
-        met = last.select("conv_id", F.col("call_id").alias("need"))
-        left = keep(waiting.join(met, ["conv_id", "need"], "left_anti"), "needs")
-        # calls whose last open need was met in this round
-        last = keep(waiting.select("conv_id", "call_id").distinct().join(left, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)), "levels")
-        done, waiting = done.unionByName(last), left
-    return nodes.join(done, ["conv_id", "call_id"], "left")
 
 
 def link_calls(messages: DataFrame, schemas: DataFrame) -> DataFrame:
