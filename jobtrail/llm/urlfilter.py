@@ -94,7 +94,8 @@ def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     count = lambda v: F.count(F.when(F.col("verdict") == v, 1))
     seeds = ruled.filter("host <> ''").groupBy("host").agg(count("allow").alias("trust"), count("block").alias("distrust"))
     scores = propagate(host_edges(located), seeds)
-    even = 1.0 / max(1, seeds.count())
+    # what leaves the graph at hosts without onward edges is gone: the share is of what is left
+    even = (scores.agg(F.sum("distrust")).first()[0] or 0.0) / max(1, seeds.count())
     blocked = scores.filter((F.col("distrust") > MARGIN * F.col("trust")) & (F.col("distrust") > even)).select("host", F.lit("block").alias("spread"))
     open_ = ruled.filter("verdict is null").join(blocked, "host", "left")
     return ruled.filter("verdict is not null").select("page_id", "host", "path", "rule", "verdict").unionByName(
@@ -126,6 +127,6 @@ seeds AS (SELECT host, count(*) FILTER (verdict = 'allow') AS trust, count(*) FI
 r0 AS (SELECT 0 AS kind, host, trust / (SELECT sum(trust) FROM seeds) AS score FROM seeds WHERE trust > 0
     UNION ALL SELECT 1, host, distrust / (SELECT sum(distrust) FROM seeds) FROM seeds WHERE distrust > 0){steps},
 scores AS (SELECT host, coalesce(sum(score) FILTER (kind = 0), 0) AS trust, coalesce(sum(score) FILTER (kind = 1), 0) AS distrust FROM r{ROUNDS} GROUP BY host),
-blocked AS (SELECT host FROM scores WHERE distrust > {MARGIN} * trust AND distrust > 1.0::DOUBLE / (SELECT greatest(1, count(*)) FROM seeds))
+blocked AS (SELECT host FROM scores WHERE distrust > {MARGIN} * trust AND distrust > (SELECT sum(distrust) FROM scores) / (SELECT greatest(1, count(*)) FROM seeds))
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host IN (FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict FROM ruled
 """

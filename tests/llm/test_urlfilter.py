@@ -48,7 +48,7 @@ def plain(pages):
             rank = new
         scores.append(rank)
     trust, distrust = scores
-    bad = {h for h, d in distrust.items() if d > urlfilter.MARGIN * trust.get(h, 0) and d > 1 / max(1, len(hosts))}
+    bad = {h for h, d in distrust.items() if d > urlfilter.MARGIN * trust.get(h, 0) and d > sum(distrust.values()) / max(1, len(hosts))}
     return sorted(((p, h, path, r, v or ("block" if h in bad else "allow")) for p, h, path, r, v in located), key=str)
 
 
