@@ -25,14 +25,20 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also where the optimizer copies the whole expression
+    (into a pushed-down filter): a chain of projections would grow exponentially there."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _encode(col: Column, pairs) -> Column:
     """Percent-encode the characters of ``pairs`` and the UTF-8 bytes of every non-ASCII one."""
     for src, dst in pairs:
         col = F.replace(col, F.lit(src), F.lit(dst))
     other = r"[^\x00-\x7f]"
-    chars = F.transform(F.split(col, ""), lambda c: F.when(
+    chars = lambda x: F.transform(F.split(x, ""), lambda c: F.when(
         c.rlike(other), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")).otherwise(c))
-    return F.when(col.rlike(other), F.array_join(chars, "")).otherwise(col)
+    return _let(col, lambda x: F.when(x.rlike(other), F.array_join(chars(x), "")).otherwise(x))
 
 
 _PATH_ENC = ((" ", "%20"), ('"', "%22"), ("<", "%3C"), (">", "%3E"), ("`", "%60"), ("{", "%7B"), ("}", "%7D"))
@@ -107,22 +113,20 @@ def _serialize(raw_scheme: Column, rest: Column, p: Column) -> Column:
 
 
 def canonical_url(col: Column | str) -> Column:
-    """Canonical URL as a single expression (fine for a column used once; see ``with_canonical_url``)."""
-    env: dict[str, Column] = {}
-    for name, f in _steps(_c(col)):
-        env[name] = f if isinstance(f, Column) else f(env.__getitem__)
-    return _serialize(env["raw_scheme"], env["rest"], env["parts"])
+    """Canonical URL as one expression in which every intermediate string is computed once per row."""
+
+    def chain(env: dict[str, Column], steps: list) -> Column:
+        if not steps:
+            return _serialize(env["raw_scheme"], env["rest"], env["parts"])
+        (name, f), left = steps[0], steps[1:]
+        return _let(f if isinstance(f, Column) else f(env.__getitem__), lambda x: chain({**env, name: x}, left))
+
+    return chain({}, _steps(_c(col)))
 
 
 def with_canonical_url(df: DataFrame, col: str, out: str = "canonical_url") -> DataFrame:
-    """Add ``out`` = canonical URL of ``col``, one projection per step, so every intermediate
-    string is computed once per row (Catalyst keeps expensive shared expressions un-inlined)."""
-    steps = _steps(F.col(col))
-    tmp = {name: f"_cu_{name}" for name, _ in steps}
-    for name, f in steps:
-        df = df.withColumn(tmp[name], f if isinstance(f, Column) else f(lambda n: F.col(tmp[n])))
-    df = df.withColumn(out, _serialize(F.col(tmp["raw_scheme"]), F.col(tmp["rest"]), F.col(tmp["parts"])))
-    return df.drop(*tmp.values())
+    """Add ``out`` = canonical URL of ``col``."""
+    return df.withColumn(out, canonical_url(col))
 
 
 def is_absolute_url(col: Column | str) -> Column:

@@ -27,7 +27,7 @@ def robots_rules(robots: DataFrame) -> DataFrame:
     if its status is 2xx: any other status or a missing body means "no rules". Origins are
     canonicalized like URLs. Empty rules are dropped (they never match).
     """
-    latest = (with_canonical_url(robots, "origin", "_url").withColumn("origin", url_origin(F.col("_url"))).where(F.col("origin").isNotNull())
+    latest = (with_canonical_url(robots, "origin", "_url").withColumn("origin", url_origin(F.col("_url")))
               .groupBy("origin").agg(F.max_by(F.struct("http_status", "body"), F.struct("fetched_at", "body")).alias("r")).select("origin", "r.*"))
     ok = latest.where(F.col("http_status").between(200, 299) & F.col("body").isNotNull())
     lines = ok.select("origin", F.posexplode(F.split("body", r"\r?\n")).alias("line_no", "raw"))
