@@ -41,4 +41,5 @@ def test_limit_rule():
 def test_day_bounds():
     assert str(day_start("2024-05-01")) == "2024-05-01 00:00:00"
     assert str(day_end("2024-05-01")) == "2024-05-01 23:59:59.999000"
-    assert day_start("nope") is None and day_start("2024-05") is None and day_end("2024-02-30") is None
+    assert str(day_start("2024-05")) == "2024-05-01 00:00:00" and str(day_end("2024")) == "2024-01-01 23:59:59.999000"
+    assert day_start("nope") is None and day_start("2024-5") is None and day_end("2024-02-30") is None
