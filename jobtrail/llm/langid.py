@@ -2,13 +2,12 @@
 
 One model per language over characters: letters in lower case, every run of other characters
 one space. Counts of ``ORDER``-grams are gathered from every training text by Spark; lower orders
-use continuation counts (in how many contexts an n-gram occurs). Each model is kept as sorted
-arrays of hashes with the discounted probabilities and back-off weights beside them. A text gets
+use continuation counts (in how many contexts an n-gram occurs). Spark counts the n-grams and the contexts of
+every order, all of them; the tables are cut by a hash into blocks of about ``BLOCK_ROWS`` rows, sorted and broadcast
+one by one. A task looks up its distinct n-grams in one block after the other, so neither the driver nor a
+task holds more than a block, however large the model is. A text gets
 the language of lowest cross-entropy per character; it is rejected when that cross-entropy is
 far above what training texts of the language have at that length.
-
-The ``MODEL_GRAMS`` most frequent n-grams of all languages together are kept, which bounds the
-broadcast model; counts and calibration cover all training texts.
 """
 
 from __future__ import annotations
@@ -21,10 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobtrail.llm.tables import keep
-from jobtrail.llm.textkit import mix
 
 ORDER = 4
-MODEL_GRAMS = 2_000_000
+#: Bits of a character in a packed context.
+BITS = 16
+#: Rows of a model table that are collected, broadcast and looked up at once.
+BLOCK_ROWS = 1 << 20
 #: Characters handled at once; longer texts are cut before a character that is no letter.
 SEGMENT = 1 << 20
 #: A text is rejected when its cross-entropy is ``LEAST_EXCESS`` bits above the mean and its scaled excess above
@@ -34,7 +35,6 @@ LEAST_EXCESS = 0.5
 SCALE_CHARS = 400
 CACHE = 1 << 20
 
-_U = np.uint64
 _SPACE = 32
 _letters: np.ndarray | None = None
 
@@ -58,8 +58,8 @@ def _segments(text: str):
 
 
 def grams(texts: list[str | None]):
-    """Yield ``(grams, owner)`` pieces: the packed ``ORDER``-grams (16 bits a character) of the texts
-    in order, and for each the index of its text."""
+    """Yield ``(context, letter, owner)`` pieces: the ``ORDER``-grams of the texts in order, each as its packed leading
+    characters (``BITS`` a character) and its last one, and the index of its text."""
     held: list[tuple[int, str]] = []
     size = 0
     for i, text in enumerate(texts):
@@ -79,111 +79,162 @@ def _pack(held):
     letter = _is_letter(points)
     use = letter.copy()
     use[1:] |= letter[:-1] & (owner[1:] == owner[:-1])
-    code = np.where(letter, np.minimum(points, 0xFFFF), _SPACE)[use].astype(_U)
+    code = np.where(letter, np.minimum(points, 0xFFFF), _SPACE)[use].astype(np.int64)
     owner = owner[use]
     lead = ORDER - 1
     at = np.arange(len(code)) + lead * (owner + 1)
-    padded = np.full(len(code) + lead * len(held), _SPACE, _U)
+    padded = np.full(len(code) + lead * len(held), _SPACE, np.int64)
     padded[at] = code
-    g = code
+    context = np.zeros(len(code), np.int64)
     for back in range(1, ORDER):
-        g = g | (padded[at - back] << _U(16 * back))
-    return g, np.array([i for i, _ in held])[owner]
+        context |= padded[at - back] << (BITS * (back - 1))
+    return context, code, np.array([i for i, _ in held])[owner]
+
+
+def _distinct(context: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each n-gram its index among the distinct ones, and those."""
+    of, contexts = pd.factorize(context)
+    ids, keys = pd.factorize(of << 21 | letter)
+    return ids, contexts[keys >> 21], keys & 0x1FFFFF
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
-    """``(lang, text)`` -> ``(lang, gram, n)`` over all rows with a language."""
+    """``(lang, text)`` -> ``(lang, context, letter, n)`` over all rows with a language."""
 
     def run(batches):
         for b in batches:
             lang = pd.Categorical(b.column("lang").to_pylist())
-            for g, owner in grams(b.column("text").to_pylist()):
-                of = lang.codes[owner]
-                for c, name in enumerate(lang.categories):
-                    ids, distinct = pd.factorize(g[of == c])
-                    if len(distinct):
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(distinct)), pa.array(distinct.view(np.int64)), pa.array(np.bincount(ids))], ["lang", "gram", "n"])
+            for context, letter, owner in grams(b.column("text").to_pylist()):
+                ids, contexts, letters = _distinct(context, letter)
+                which, pairs = pd.factorize(ids * len(lang.categories) + lang.codes[owner])
+                gram, of = np.divmod(pairs, max(1, len(lang.categories)))
+                names = pa.array(lang.categories, pa.string()).take(pa.array(of))
+                yield pa.RecordBatch.from_arrays([names, pa.array(contexts[gram]), pa.array(letters[gram].astype(np.int32)), pa.array(np.bincount(which, minlength=len(pairs)))], ["lang", "context", "letter", "n"])
 
-    return (docs.filter("lang is not null and text is not null").select("lang", "text").mapInArrow(run, "lang string, gram long, n long")
-            .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    return (docs.filter("lang is not null and text is not null").select("lang", "text").mapInArrow(run, "lang string, context long, letter int, n long")
+            .groupBy("lang", "context", "letter").agg(F.sum("n").alias("n")))
 
 
-class Lookup:
-    """Values by key in a sorted hash array."""
+class Keys:
+    """Places of ``(context, letter)`` pairs in a sorted table of them."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        hashed = mix(keys)
-        order = np.argsort(hashed)
-        self.hashes, self.values = hashed[order], values[order].astype(np.float64)
+    def __init__(self, context: np.ndarray, letter: np.ndarray):
+        self.contexts, of = np.unique(context, return_inverse=True)
+        keys = of.astype(np.int64) << 21 | letter
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
 
-    def get(self, hashed: np.ndarray, missing: float) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(hashed), missing)
-        at = np.searchsorted(self.hashes, hashed)
-        at[at == len(self.hashes)] = 0
-        return np.where(self.hashes[at] == hashed, self.values[at], missing)
+    def find(self, context: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each pair the first row that holds it and the row behind the last (the same if none does)."""
+        if not len(self.keys):
+            return np.zeros(len(context), np.int64), np.zeros(len(context), np.int64)
+        at = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
+        key = np.where(self.contexts[at] == context, at.astype(np.int64) << 21 | letter, -1)
+        return np.searchsorted(self.keys, key), np.searchsorted(self.keys, key, side="right")
 
 
-class KneserNey:
-    """Interpolated Kneser-Ney model of one language from its ``ORDER``-gram counts."""
-
-    def __init__(self, packed: np.ndarray, counts: np.ndarray, alphabet: int):
-        self.base = 1.0 / (alphabet + 1)
-        self.orders = []
-        for order in range(ORDER, 0, -1):
-            n1, n2 = (counts == 1).sum(), (counts == 2).sum()
-            discount = min(0.9, max(0.1, n1 / (n1 + 2 * n2) if n1 else 0.1))
-            context = packed >> _U(16)
-            distinct, of = np.unique(context, return_inverse=True)
-            total = np.bincount(of, counts)
-            follow = np.bincount(of)
-            self.orders.append((order, Lookup(packed, (counts - discount) / total[of]), Lookup(distinct, discount * follow / total)))
-            # continuation counts of the next lower order
-            suffix = packed & _U((1 << (16 * (order - 1))) - 1)
-            packed, counts = np.unique(suffix, return_counts=True)
-            counts = counts.astype(np.float64)
-
-    def log2p(self, packed: np.ndarray) -> np.ndarray:
-        p = np.full(len(packed), self.base)
-        for order, seen, backoff in reversed(self.orders):
-            g = packed & _U((1 << (16 * order)) - 1)
-            p = seen.get(mix(g), 0.0) + backoff.get(mix(g >> _U(16)), 1.0) * p
-        return np.log2(p)
+class Block:
+    """A block of a model table: ``(context, letter, language)`` rows, sorted, and their values."""
+
+    def __init__(self, table: pa.Table, names: list[str], values: list[str]):
+        column = lambda c: table.column(c).to_numpy()
+        self.rows = Keys(column("context"), column("letter"))
+        self.lang = pd.Categorical(table.column("lang").to_pylist(), categories=names).codes[self.rows.order].astype(np.int32)
+        self.values = [column(v)[self.rows.order] for v in values]
+
+    def fill(self, context: np.ndarray, letter: np.ndarray, out: list[np.ndarray]) -> None:
+        """Put the values of the n-grams found here into ``out``, ``(n-grams, languages)`` each."""
+        first, end = self.rows.find(context, letter)
+        n = end - first
+        row = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        gram = np.repeat(np.arange(len(n)), n)
+        for values, target in zip(self.values, out):
+            target[gram, self.lang[row]] = values[row]
 
 
-def train(docs: DataFrame) -> dict[str, KneserNey]:
-    """One model per distinct non-null ``lang`` of ``docs (lang, text)``; languages without a letter get none."""
-    table = gram_counts(docs).orderBy(F.col("n").desc(), "lang", "gram").limit(MODEL_GRAMS).toPandas()
-    packed = table.gram.to_numpy(np.int64).view(np.uint64)
-    alphabet = len(np.unique(packed & _U(0xFFFF)))
-    return {lang: KneserNey(packed[i], table.n.to_numpy(np.float64)[i], alphabet) for lang, i in sorted(table.groupby("lang").indices.items())}
+def _blocks(table: DataFrame, names: list[str], values: list[str]) -> list:
+    """A kept ``(lang, context, letter, *values)`` table as broadcast blocks."""
+    spark = table.sparkSession
+    blocks = max(1, -(-table.count() // BLOCK_ROWS))
+    return [spark.sparkContext.broadcast(Block(table.filter(F.expr(f"pmod(xxhash64(context, letter), {blocks}) = {k}")).toArrow(), names, values)) for k in range(blocks)]
+
+
+def _load(shared) -> Block:
+    """The block of a broadcast; the worker's reference to it goes, so that one block at a time is in memory."""
+    block = shared.value
+    vars(shared).pop("_value", None)
+    return block
+
+
+class KneserNey:
+    """Interpolated Kneser-Ney models of all languages: for each order, highest first, its length, the discount of each
+    language, and blocks of the counts and of the contexts (total count and number of distinct letters)."""
+
+    def __init__(self, names: list[str], alphabet: int, orders: list[tuple]):
+        self.names, self.base, self.orders = names, 1.0 / (alphabet + 1), orders
+
+    def log2p(self, context: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """``(n-grams, languages)``."""
+        shape = len(context), len(self.names)
+        p = np.full(shape, self.base)
+        for order, discount, seen, contexts in reversed(self.orders):
+            lead = context & ((1 << (BITS * (order - 1))) - 1)
+            n, total, follow = np.zeros(shape), np.zeros(shape), np.zeros(shape)
+            for shared in seen:
+                _load(shared).fill(lead, letter, [n])
+            for shared in contexts:
+                _load(shared).fill(lead, np.zeros_like(letter), [total, follow])
+            some = np.maximum(total, 1)
+            p = np.where(total > 0, np.maximum(n - discount, 0) / some + discount * follow / some * p, p)
+        return np.log2(p)
 
 
-def cross_entropies(docs: DataFrame, models: dict[str, KneserNey], columns: list[str]) -> DataFrame:
+def train(docs: DataFrame) -> KneserNey:
+    """A model for each distinct non-null ``lang`` of ``docs (lang, text)``; languages without a letter get none."""
+    counts = keep(gram_counts(docs), "grams")
+    names, orders, alphabet = [], [], 0
+    for order in range(ORDER, 0, -1):
+        few = counts.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).collect()
+        few = {r.lang: (r.n1, r.n2) for r in few}
+        names = sorted(few)
+        if not names:
+            break
+        discount = np.array([min(0.9, max(0.1, n1 / (n1 + 2 * n2) if n1 else 0.1)) for n1, n2 in map(few.get, names)])
+        contexts = keep(counts.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("follow")).withColumn("letter", F.lit(0)), "contexts")
+        orders.append((order, discount, _blocks(counts, names, ["n"]), _blocks(contexts, names, ["total", "follow"])))
+        if order == 1:
+            alphabet = counts.select("letter").distinct().count()
+        else:  # continuation counts of the next lower order
+            suffix = F.col("context").bitwiseAND(F.lit((1 << (BITS * (order - 2))) - 1))
+            counts = keep(counts.groupBy("lang", suffix.alias("context"), "letter").agg(F.count("*").alias("n")), "grams")
+    return KneserNey(names, alphabet, orders)
+
+
+def cross_entropies(docs: DataFrame, models: KneserNey, columns: list[str]) -> DataFrame:
     """``columns`` of ``docs`` with ``chars`` (scored characters), ``lang_pred`` (lowest cross-entropy;
     ties: first by name; ``und`` without letters or models), ``entropy`` (bits per character) and
     ``score`` (its share among the languages over ``64`` characters at most)."""
-    spark = docs.sparkSession
-    names = sorted(models)
-    shared = spark.sparkContext.broadcast([models[x] for x in names])
+    names = models.names
 
     def run(batches):
-        known, table = np.zeros(0, _U), np.zeros((0, len(names)))
+        none = np.zeros(0, np.int64)
+        known, table = Keys(none, none), np.zeros((0, len(names)))
+        contexts, letters = none, none
         for b in batches:
             n = b.num_rows
             chars, sums = np.zeros(n, np.int64), np.zeros((n, len(names)))
-            for g, owner in grams(b.column("text").to_pylist()) if names else ():
-                ids, distinct = pd.factorize(g)
-                at = np.searchsorted(known, distinct)
-                fresh = distinct[(at == len(known)) | (known[np.minimum(at, len(known) - 1)] != distinct)] if len(known) else distinct
+            for context, letter, owner in grams(b.column("text").to_pylist()) if names else ():
+                ids, context, letter = _distinct(context, letter)
+                first, end = known.find(context, letter)
+                fresh = np.flatnonzero(first == end)
                 if len(fresh):
-                    if len(known) > CACHE:
-                        known, table, fresh = known[:0], table[:0], distinct
-                    both = np.concatenate([known, fresh])
-                    order = np.argsort(both)
-                    table = np.concatenate([table, np.stack([m.log2p(fresh) for m in shared.value], 1)])[order]
-                    known = both[order]
-                values = table[np.searchsorted(known, distinct)]
+                    if len(contexts) > CACHE:
+                        contexts, letters, table, fresh = none, none, table[:0], np.arange(len(context))
+                    contexts, letters = np.concatenate([contexts, context[fresh]]), np.concatenate([letters, letter[fresh]])
+                    table = np.concatenate([table, models.log2p(context[fresh], letter[fresh])])
+                    known = Keys(contexts, letters)
+                    first, _ = known.find(context, letter)
+                values = table[known.order[first]]
                 chars += np.bincount(owner, minlength=n)
                 for c in range(len(names)):
                     sums[:, c] += np.bincount(owner, values[ids, c], minlength=n)

@@ -83,3 +83,27 @@ def test_edges_and_rejection(spark):
     assert not any(by[i].rejected for i in range(60)) and by[104].lang_pred == "xx" and not by[104].rejected
     assert langid.identify(docs.limit(0), "true", ["doc_id"]).collect() == []
     assert {r.rejected for r in langid.identify(docs, "false", ["doc_id"]).collect()} == {True}
+
+
+def test_no_gram_is_cut(spark, monkeypatch):
+    """A language with more than two million distinct n-grams does not push out a rare one; blocks change nothing."""
+    rng = np.random.default_rng(7)
+    many = ["".join(map(chr, rng.integers(0x4E00, 0x9000, 40_000))) for _ in range(60)]
+    rare = "zygote quickly jumped"
+    docs = spark.createDataFrame([(i, "aa", t) for i, t in enumerate(many)] + [(100, "zz", rare)], "doc_id long, lang string, text string")
+    models = langid.train(docs)
+    few = docs.filter("doc_id = 100 or doc_id < 2")
+    got = {r.doc_id: r for r in langid.cross_entropies(few, models, ["doc_id"]).collect()}
+    assert got[0].lang_pred == "aa" and got[100].lang_pred == "zz"
+    counts = {"aa": Counter(g for t in many for g in plain_grams(t)), "zz": Counter(plain_grams(rare))}
+    assert len(counts["aa"]) > 2_000_000
+    alphabet = len({g[-1] for c in counts.values() for g in c})
+    for lang, i, text in (("zz", 100, rare), ("aa", 0, many[0])):
+        log2p = plain_model(counts[lang], alphabet)
+        assert got[i].entropy == pytest.approx(-np.mean([log2p(g) for g in plain_grams(text)]))
+    monkeypatch.setattr(langid, "BLOCK_ROWS", 1000)
+    rows = docs.filter("doc_id = 100").unionByName(spark.createDataFrame([(0, "aa", many[0][:5000])], docs.schema))
+    assert len(langid.train(rows).orders[0][2]) > 3
+    small = langid.cross_entropies(rows, langid.train(rows), ["doc_id"]).collect()
+    monkeypatch.undo()
+    assert sorted(small) == sorted(langid.cross_entropies(rows, langid.train(rows), ["doc_id"]).collect())
