@@ -4,7 +4,8 @@ Base kinds are patterns alone (``assign``, ``access``, ``hex``). Further candida
 runs and dotted tokens, are reported only when what they decode to has the structure of a
 secret: nested DER lengths that fit to the last byte in the shape of a key (``der``), length-prefixed
 SSH key fields (``ssh``), or a signed token whose header and claims are JSON and whose header names an
-algorithm (``token``).
+algorithm (``token``). A base64 key is also read from each line that begins like one, over as many lines as
+its own header states: lines may be short, indented or parted by a literal ``\\n``, and what follows the key does not count.
 
 Each text is first tested for the byte runs that its patterns need; patterns run only where they can match.
 """
@@ -32,11 +33,20 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{16,}(?![A-Za-z0-9_-])")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{40,}(?:\r?\n[A-Za-z0-9+/]{4,})*)={0,2}(?![A-Za-z0-9+/=])")
+#: Where a key may begin: at the first base64 character of a line or word, not at the letter of an escape.
+_KEY_START = re.compile(r"(?:(?<![A-Za-z0-9+/\\])|(?<=\\)(?![nrt])|(?<=\\[nrt]))(?=M[A-P]|AAAA|b3Bl)(?=[A-Za-z0-9+/]{40})")
+_LINE = re.compile(r"[A-Za-z0-9+/]+")
+_BREAK = re.compile(r"[ \t]*(?:\r\n?|\n|(?:\\+r)?\\+n)(?:[ \t]|\\+t)*")
+_PADDING = re.compile(r"={0,2}(?![A-Za-z0-9+/=])")
 _HEX_PAIRS = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
 
 #: The names of SSH key types.
 _SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 _SSH_PRIVATE = b"openssh-key-v1\x00"
+#: Fields of a public key behind its type.
+_SSH_FIELDS = dict(zip(_SSH_TYPES, (2, 4, 1, 2, 2, 2)))
+#: Bytes that some ciphers put behind the last field of a private key file.
+_SSH_TAG = 16
 
 _MAX_DEPTH = 16
 
@@ -128,15 +138,92 @@ def _confirmed(data: bytes) -> str | None:
     return "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None
 
 
+class _Lines:
+    """Base64 lines from a place of a text on, read only as far as asked for."""
+
+    def __init__(self, text: str, at: int):
+        self.text, self.parts, self.size, self.ends, self.end = text, [], 0, {}, at
+        self._add(_LINE.match(text, at))
+
+    def _add(self, line: re.Match) -> None:
+        self.parts.append(line[0])
+        self.size += len(line[0])
+        self.end = self.ends[self.size] = line.end()
+
+    def read(self, n: int) -> bytes | None:
+        """The first ``n`` bytes, or None if the lines have fewer."""
+        chars = -(-n * 4 // 3)
+        while self.size < chars:
+            gap = _BREAK.match(self.text, self.end)
+            line = gap and _LINE.match(self.text, gap.end())
+            if not line:
+                return None
+            self._add(line)
+        return base64.b64decode("".join(self.parts)[:chars] + "=" * (-chars % 4))
+
+    def end_of(self, n: int) -> int | None:
+        """Where the text of ``n`` bytes ends with its padding, or None if that is not the end of a line."""
+        end = self.ends.get(-(-n * 4 // 3))
+        padding = end is not None and _PADDING.match(self.text, end)
+        return padding.end() if padding else None
+
+    def past(self, at: int, fields: int) -> int | None:
+        """The place behind that many length-prefixed fields from byte ``at`` on."""
+        for _ in range(fields):
+            head = self.read(at + 4)
+            if head is None:
+                return None
+            at += 4 + int.from_bytes(head[at:], "big")
+        return at
+
+
+def _stated(lines: _Lines) -> list[int]:
+    """The sizes that the key which begins here may have by its own header."""
+    head = lines.read(len(_SSH_PRIVATE))
+    if head[0] == 0x30:
+        n = head[1] & 0x7F if head[1] & 0x80 else 0
+        return [2 + n + int.from_bytes(head[2: 2 + n], "big") if n else 2 + head[1]] if n <= 4 else []
+    if head == _SSH_PRIVATE:
+        at = lines.past(len(head), 3)
+        count = lines.read(at + 4) if at is not None else None
+        at = lines.past(at + 4, 2) if count and count[at:] == b"\x00\x00\x00\x01" else None
+        return [at, at + _SSH_TAG] if at is not None else []
+    size = 4 + int.from_bytes(head[:4], "big")
+    kind = lines.read(size)[4:] if size <= 4 + max(map(len, _SSH_TYPES)) else b""
+    at = lines.past(size, _SSH_FIELDS[kind]) if kind in _SSH_FIELDS else None
+    return [at] if at is not None else []
+
+
+def _keys(text: str) -> list[tuple[str, int, int]]:
+    """Spans of the base64 keys whose lines end where their header says."""
+    spans, done = [], 0
+    for m in _KEY_START.finditer(text):
+        if m.start() < done:
+            continue
+        lines = _Lines(text, m.start())
+        for size in _stated(lines):
+            data = lines.read(size)
+            end = lines.end_of(size) if data is not None else None
+            kind = _confirmed(data) if end is not None else None
+            if kind:
+                spans.append((kind, m.start(), end))
+                done = end
+                break
+    return spans
+
+
 def scan_text(text: str) -> list[tuple[str, int, int]]:
     """``(kind, start, end)`` of all spans of a text, in code points, by start and then kind."""
     spans = [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     spans += [("access", *m.span()) for m in _ACCESS.finditer(text) if len(m[0]) >= 20]
     spans += [("hex", *m.span()) for m in _HEX.finditer(text)]
     spans += [("token", *m.span()) for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
+    keys = _keys(text)
+    spans += keys
+    begun = {start for _, start, _ in keys}
     for pattern, decode in ((_BASE64, _decoded), (_HEX_PAIRS, bytes.fromhex)):
         for m in pattern.finditer(text):
-            kind = _confirmed(decode(m[0]))
+            kind = _confirmed(decode(m[0])) if m.start() not in begun else None
             if kind:
                 spans.append((kind, *m.span()))
     return sorted(set(spans), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))

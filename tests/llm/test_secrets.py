@@ -87,3 +87,45 @@ def test_redaction_and_edges(spark):
     assert got[0].spans == "clash"
     assert secrets.redact(docs.limit(0)).collect() == [] and secrets.find_secrets(docs.limit(0)).collect() == []
     assert all(not s.spans for s in secrets.find_secrets(secrets.redact(docs)).collect())
+
+
+def confirmed(text):
+    return [(k, text[a:b]) for k, a, b in secrets.scan_text(text) if k in ("der", "ssh")]
+
+
+def lines_of(data, width=64):
+    b64 = base64.b64encode(data).decode()
+    return [b64[i: i + width] for i in range(0, len(b64), width)]
+
+
+def test_keys_among_other_lines():
+    """What stands behind a key does not hide it: a word, another key."""
+    ed = der(0x30, number(0, 1), der(0x30, der(0x06, b"\x2b\x65\x70")), der(0x04, der(0x04, bytes(range(200, 232)))))
+    one, two = base64.b64encode(ed).decode(), base64.b64encode(SSH).decode()
+    assert len(one) == 64 and len(two) == 68
+    for key, kind in ((one, "der"), (two, "ssh")):
+        assert confirmed(f"key:\n{key}\nwords follow") == [(kind, key)]
+        assert confirmed(f"words\n{key}\r\n    words") == [(kind, key)]
+        assert confirmed(f"{key}\n{key}\nend") == [(kind, key)] * 2
+    assert confirmed(f"{one}\n{two}") == [("der", one), ("ssh", two)]
+    assert confirmed(f"{'QUJD' * 16}\n{one}\n{'QUJD' * 16}") == [("der", one)]
+    # more on the key's own line: no key
+    assert confirmed(f"{one}QUJD") == []
+
+
+def test_every_last_line_and_kind_of_break():
+    for extra in range(48):
+        rsa = der(0x30, number(0, 1), *(number(3**800 + i, 64) for i in range(7)), number(3**800, 64 + extra))
+        lines = lines_of(rsa)
+        for gap in ("\n", "\r\n", "\n    ", " \n\t", "\\n", "\\r\\n", "\\\\n"):
+            body = gap.join(lines)
+            assert confirmed(f"-----BEGIN RSA PRIVATE KEY-----{gap}{body}{gap}-----END RSA PRIVATE KEY-----") == [("der", body)], (extra, gap)
+    assert confirmed('{"private_key":"-----BEGIN PRIVATE KEY-----\\n' + (body := "\\n".join(lines_of(PKCS8))) + '\\n-----END"}') == [("der", body)]
+
+
+def test_private_key_file():
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    for tag in (b"", b"t" * 16):
+        data = b"openssh-key-v1\x00" + b"".join(map(field, (b"none", b"none", b""))) + b"\x00\x00\x00\x01" + field(SSH) + field(bytes(range(136))) + tag
+        body = "\n  ".join(lines_of(data, 70))
+        assert confirmed(f"{body}\nwords\n{base64.b64encode(SSH).decode()}\nwords") == [("ssh", body), ("ssh", base64.b64encode(SSH).decode())]
