@@ -5,7 +5,8 @@ text are looked up among those of the benchmark items (the shared-token seeds);
 diagonal join into maximal matches; the longest match is marked again and again, and what overlaps
 marked words is trimmed, until no unmarked match of ``min_match`` words is left. Tiles may come in any
 order, so a passage whose sentences were swapped is still covered. A text is contaminated
-by an item when tiles cover at least ``min_coverage`` of the item's words.
+by an item when tiles cover at least ``min_coverage`` of the item's words. An item of fewer than ``min_match`` words is
+one seed of its own length: a text that holds it anywhere holds it whole.
 
 The benchmark's seeds go to the tasks in blocks of at most ``BLOCK_WORDS`` words (one pass over the
 texts for each block), so what is broadcast is bounded however large the benchmark is. Texts are
@@ -49,12 +50,30 @@ class Seeds:
         self.item, self.place = join(item, np.int64)[order], join(place, np.int64)[order]
         self.hashes, self.start = np.unique(hashes[order], return_index=True)
         self.count = np.diff(np.append(self.start, len(order)))
+        #: For each length below ``min_match``: the hashes of the items of that length, and the items of each.
+        self.short = []
+        for n in np.unique(self.words[(self.words > 0) & (self.words < min_match)]):
+            items_ = np.flatnonzero(self.words == n)
+            whole = np.concatenate([tk.shingle_hashes(words[bounds[i]: bounds[i + 1]], np.array([0, n]), int(n))[0] for i in items_])
+            distinct, of = np.unique(whole, return_inverse=True)
+            self.short.append((int(n), distinct, [items_[of == k] for k in range(len(distinct))]))
 
     def matches(self, column: pa.Array) -> Iterator[tuple[int, int, int]]:
         """``(row, item, matched words)`` of every text and item that share a seed."""
-        if not len(self.hashes):
+        if not len(self.hashes) and not self.short:
             return
         words, bounds = tk.word_hashes(*tk.utf8(column), tk.PUNCTUATION)
+        for n, distinct, items in self.short:
+            runs, at = tk.shingle_hashes(words, bounds, n)
+            found = np.minimum(np.searchsorted(distinct, runs), len(distinct) - 1)
+            hit = np.flatnonzero(distinct[found] == runs)
+            rows = np.searchsorted(at, hit, side="right") - 1
+            whole = np.diff(bounds)[rows] >= n
+            for pair in np.unique(rows[whole] * len(distinct) + found[hit[whole]]):
+                for i in items[pair % len(distinct)]:
+                    yield int(pair // len(distinct)), int(i), n
+        if not len(self.hashes):
+            return
         runs, at = tk.shingle_hashes(words, bounds, self.min_match)
         found = np.searchsorted(self.hashes, runs)
         found[found == len(self.hashes)] = 0
@@ -116,7 +135,8 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, min_match: int = 5
     """``docs (doc_id, text)`` x ``benchmark (item_id, text)`` -> ``(doc_id, item_id, matched_words, item_words,
     coverage)`` for each text and item that it contains to ``min_coverage``.
 
-    Null texts, and texts or items of fewer than ``min_match`` words, match nothing. Repeated rows
+    Null texts and texts or items without a word match nothing; an item of fewer than ``min_match`` words is matched
+    as a whole, longer items match no text of fewer words than that. Repeated rows
     and repeated items are reported as often as they come in; a null id is reported as null. Empty tables
     give an empty table; further columns are ignored.
     """

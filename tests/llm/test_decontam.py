@@ -76,3 +76,17 @@ def test_reordered_passages_blocks_and_edges(spark, monkeypatch):
         assert sorted((r.doc_id for r in kept.collect()), key=str) == [2, 3, 4, 6] and kept.columns == d.columns
         assert decontam.contaminated_pairs(d.limit(0), b).collect() == [] and decontam.contaminated_pairs(d, b.limit(0)).collect() == []
         assert decontam.decontaminate(d, b.limit(0)).count() == len(docs)
+
+
+def test_short_items(spark):
+    """Items of fewer words than a seed are found whole, by every text that holds them."""
+    items = [(1, "Blue Whale"), (2, "blue whale"), (3, "42"), (4, "one two three four"), (5, "one two three four five"), (6, "..."), (7, None)]
+    docs = [(1, "a BLUE, whale and a blue whale"), (2, "whale blue"), (3, "42"), (4, "is 42 one two three four five"), (5, "one two three"), (6, "one two three four"), (7, ""), (8, None), (9, "blue")]
+    d, b = frames(spark, docs, items)
+    got = sorted((r.doc_id, r.item_id, r.matched_words, r.item_words, r.coverage) for r in decontam.contaminated_pairs(d, b).collect())
+    whole = lambda x, w: any(x[k: k + len(w)] == w for k in range(len(x) - len(w) + 1))
+    want = sorted((i, j, len(words(t)), len(words(t)), 1.0) for i, x in docs for j, t in items if words(t) and whole(words(x), words(t)))
+    assert got == want and (1, 1, 2, 2, 1.0) in got and (3, 3, 1, 1, 1.0) in got
+    assert sorted(r.doc_id for r in decontam.decontaminate(d, b).collect()) == [2, 5, 7, 8, 9]
+    short = b.filter("item_id < 4")
+    assert sorted(r.doc_id for r in decontam.decontaminate(d, short).collect()) == [2, 5, 6, 7, 8, 9]
