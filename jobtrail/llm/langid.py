@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from jobtrail.llm.tables import keep
 
 ORDER = 4
-#: Bits of a character in a packed context.
-BITS = 16
+#: Bits of a character in a packed context; every code point fits, and three fit into a long.
+BITS = 21
 #: Rows of a model table that are collected, broadcast and looked up at once.
 BLOCK_ROWS = 1 << 20
 #: Characters handled at once; longer texts are cut before a character that is no letter.
@@ -79,7 +79,7 @@ def _pack(held):
     letter = _is_letter(points)
     use = letter.copy()
     use[1:] |= letter[:-1] & (owner[1:] == owner[:-1])
-    code = np.where(letter, np.minimum(points, 0xFFFF), _SPACE)[use].astype(np.int64)
+    code = np.where(letter, points, _SPACE)[use].astype(np.int64)
     owner = owner[use]
     lead = ORDER - 1
     at = np.arange(len(code)) + lead * (owner + 1)
@@ -94,8 +94,8 @@ def _pack(held):
 def _distinct(context: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each n-gram its index among the distinct ones, and those."""
     of, contexts = pd.factorize(context)
-    ids, keys = pd.factorize(of << 21 | letter)
-    return ids, contexts[keys >> 21], keys & 0x1FFFFF
+    ids, keys = pd.factorize(of << BITS | letter)
+    return ids, contexts[keys >> BITS], keys & ((1 << BITS) - 1)
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ class Keys:
 
     def __init__(self, context: np.ndarray, letter: np.ndarray):
         self.contexts, of = np.unique(context, return_inverse=True)
-        keys = of.astype(np.int64) << 21 | letter
+        keys = of.astype(np.int64) << BITS | letter
         self.order = np.argsort(keys, kind="stable")
         self.keys = keys[self.order]
 
@@ -129,7 +129,7 @@ class Keys:
         if not len(self.keys):
             return np.zeros(len(context), np.int64), np.zeros(len(context), np.int64)
         at = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
-        key = np.where(self.contexts[at] == context, at.astype(np.int64) << 21 | letter, -1)
+        key = np.where(self.contexts[at] == context, at.astype(np.int64) << BITS | letter, -1)
         return np.searchsorted(self.keys, key), np.searchsorted(self.keys, key, side="right")
 
 

@@ -107,3 +107,18 @@ def test_no_gram_is_cut(spark, monkeypatch):
     small = langid.cross_entropies(rows, langid.train(rows), ["doc_id"]).collect()
     monkeypatch.undo()
     assert sorted(small) == sorted(langid.cross_entropies(rows, langid.train(rows), ["doc_id"]).collect())
+
+
+def test_letters_above_the_basic_plane_differ(spark):
+    rng = np.random.default_rng(3)
+    text = lambda first, n: " ".join("".join(chr(first + int(c)) for c in rng.integers(0, n, 6)) for _ in range(40))
+    scripts = {"adlam": (0x1E922, 30), "chakma": (0x11103, 30), "ext_b": (0x20000, 30)}
+    rows = [(10 * i + k, lang, text(*of)) for i, (lang, of) in enumerate(scripts.items()) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = {r.doc_id: r for r in langid.cross_entropies(docs, langid.train(docs), ["doc_id"]).collect()}
+    assert [got[i].lang_pred for i, _, _ in rows] == [lang for _, lang, _ in rows]
+    counts = {x: Counter(g for _, lang, t in rows if lang == x for g in plain_grams(t)) for x in scripts}
+    alphabet = len({g[-1] for c in counts.values() for g in c})
+    for i, lang, t in rows[::5]:
+        log2p = plain_model(counts[lang], alphabet)
+        assert got[i].entropy == pytest.approx(-np.mean([log2p(g) for g in plain_grams(t)]))
