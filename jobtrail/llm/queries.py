@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtrail.llm import chat, decontam, jaccard, langid, mixing, quality, rules, secrets, toxicity, urlfilter
+from jobtrail.llm import (chat, decontam, fim, jaccard, langid, mixing, quality, rules, secrets, simhash, toxicity, urlfilter,
+                          vectorcodes)
 from jobtrail.llm.tables import read
 
 
@@ -108,12 +109,27 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated_pairs(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.vector_codes(read(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.fill_in_middle(read(spark, sf_dir, "documents")))
+
+
 QUERIES = {f.__name__: f for f in (op1_tool_calls, op2_quality_score, op3_language_id, op4_rule_ledger, op5_ngram_jaccard, op6_secret_scan,
-                                   op7_toxicity_score, op8_source_mix, op9_url_filter, op10_decontamination)}
+                                   op7_toxicity_score, op8_source_mix, op9_url_filter, op10_decontamination,
+                                   op11_simhash, op12_vector_codes, op13_fill_in_middle)}
 
 ORACLES = {
     "op1_tool_calls": OP1_SQL,
     "op4_rule_ledger": rules.ledger_sql(),
     "op8_source_mix": mixing.mix_sql(),
     "op9_url_filter": urlfilter.judge_sql(URL_RULES),
+    "op12_vector_codes": vectorcodes.codes_sql(),
+    "op13_fill_in_middle": fim.fim_sql(),
 }
