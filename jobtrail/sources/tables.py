@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtrail import schemas
+from jobtrail.sources.landing import read_landed, stream_landed
+from jobtrail.sources.workspace import drop_folder, kept, new_folder
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,27 +73,24 @@ def scan_postings(jobs: DataFrame, columns: list[str] | None = None) -> DataFram
     return jobs.select(*cols, *[c for c in ("first_seen_date",) if c in jobs.columns and c not in cols])
 
 
-def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """Page snapshots landed by the fetcher."""
-    return spark.read.schema(schemas.SNAPSHOTS).parquet(path)
+def read_snapshots(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Page snapshots landed by the fetcher (S4); ``fmt="json"``: one record a line, see ``landing``."""
+    return read_landed(spark, path, schemas.SNAPSHOTS, fmt)
 
 
-def stream_snapshots(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Snapshots as a stream: each new parquet file is picked up once."""
-    r = spark.readStream.schema(schemas.SNAPSHOTS)
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(path)
+def stream_snapshots(spark: SparkSession, path: str, max_files_per_trigger: int | None = None, fmt: str = "parquet") -> DataFrame:
+    """Snapshots as a stream: each new file is picked up once."""
+    return stream_landed(spark, path, schemas.SNAPSHOTS, fmt, max_files_per_trigger)
 
 
-def read_robots(spark: SparkSession, path: str) -> DataFrame:
+def read_robots(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Robots bodies per origin."""
-    return spark.read.schema(schemas.ROBOTS).parquet(path)
+    return read_landed(spark, path, schemas.ROBOTS, fmt)
 
 
 def read_replies(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Model replies per snapshot, raw text."""
-    return spark.read.schema(schemas.REPLIES).format(fmt).load(path)
+    return read_landed(spark, path, schemas.REPLIES, fmt)
 
 
 def write_postings(df: DataFrame, path: str) -> None:
@@ -100,6 +99,51 @@ def write_postings(df: DataFrame, path: str) -> None:
        .write.mode("append").partitionBy("first_seen_date").parquet(path))
 
 
+def remove_postings(spark: SparkSession, path: str, gone: DataFrame) -> list[str]:
+    """U3 on the stored table: delete the postings of the sources ``gone (id)``; returns the days rewritten.
+
+    Only days that hold such a posting are read in full and overwritten (dynamic partition overwrite, committed as
+    one); the files of all other days stay as they are. The affected days are found by a scan of two narrow columns.
+    """
+    stored = spark.read.parquet(path)
+    hit = stored.join(gone.select(F.col("id").alias("tracked_url_id")), "tracked_url_id", "left_semi")
+    days = [r[0] for r in hit.select("first_seen_date").distinct().collect()]  # as many as there are days
+    if not days:
+        return []
+    folder = new_folder(spark, "remaining")
+    remaining = kept(stored.where(F.col("first_seen_date").isin(days)).join(
+        gone.select(F.col("id").alias("tracked_url_id")), "tracked_url_id", "left_anti").select(stored.columns), folder)
+    # a day of which nothing remains is not among the rows to write: its folder goes
+    left = {r[0] for r in remaining.select("first_seen_date").distinct().collect()}
+    remaining.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("first_seen_date").parquet(path)
+    for day in set(days) - left:
+        drop_folder(spark, f"{path.rstrip('/')}/first_seen_date={day}")
+    drop_folder(spark, folder)
+    return sorted(str(d) for d in days)
+
+
+def stored_days(spark: SparkSession, path: str) -> list[str]:
+    """The days of the postings table, newest first, from the folder listing."""
+    prefix = "first_seen_date="
+    return sorted((n.removeprefix(prefix) for n in _folders(spark, path) if n.startswith(prefix) and not n.startswith(prefix + "__")), reverse=True)
+
+
+def newest_postings(spark: SparkSession, path: str, limit: int, columns: list[str] | None = None) -> DataFrame:
+    """L1 over years of postings: the ``limit`` newest rows, reading days from the newest on until they hold enough.
+
+    Each step doubles the number of days looked at and counts their rows (from the files' footers); the rows of all
+    older days are never opened. Rows without a day count as oldest and are read only if all days are.
+    """
+    stored = spark.read.parquet(path)
+    days, n = stored_days(spark, path), 1
+    while n < len(days) and stored.where(F.col("first_seen_date") >= F.lit(days[n - 1]).cast("date")).count() < limit:
+        n *= 2
+    if n < len(days):
+        stored = stored.where(F.col("first_seen_date") >= F.lit(days[n - 1]).cast("date"))
+    rows = scan_postings(stored, columns)
+    return rows.orderBy(F.col("first_seen_at").desc(), F.col("content_hash").asc()).limit(limit)
+
+
 def write_sources(df: DataFrame, path: str, cycle_id: str, keep: int = 48) -> int:
     """Write the sources table after a cycle as a new version (S8); returns the version.
 
