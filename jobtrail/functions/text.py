@@ -20,6 +20,12 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also where the optimizer copies the whole expression
+    (into a pushed-down filter): a chain of projections would grow exponentially there."""
+    return F.transform(F.array(value), body)[0]
+
+
 def collapse_ws(col: Column | str) -> Column:
     """``s.replace(/\\s+/g, " ").trim()``: runs of JS whitespace -> one space, ends trimmed."""
     return F.trim(F.regexp_replace(_c(col), JS_WS_CLASS + "+", " "))

@@ -3,8 +3,8 @@
 ``canonical_url`` follows the WHATWG URL serializer for the special schemes
 (http, https, ws, wss, ftp): scheme and host lower-cased, default port dropped,
 empty path -> ``/``, ``.``/``..`` segments resolved, a small set of characters
-and all non-ASCII ones percent-encoded, query and fragment kept (a non-ASCII host
-is lower-cased but not mapped to its ASCII form).  Other schemes are passed through with
+and all non-ASCII ones percent-encoded, query and fragment kept (``with_canonical_url`` also
+maps a non-ASCII host to its ASCII form, the expression alone only lower-cases it).  Other schemes are passed through with
 a lower-cased scheme.  A string that is not an absolute URL gives NULL.
 """
 
@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobtrail.functions.text import trim_js
+from jobtrail.functions.hosts import with_ascii_hosts
+from jobtrail.functions.text import let, trim_js
 
 # The special schemes and their default ports.
 DEFAULT_PORTS = {"http": 80, "https": 443, "ws": 80, "wss": 443, "ftp": 21}
@@ -25,12 +26,6 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once, also where the optimizer copies the whole expression
-    (into a pushed-down filter): a chain of projections would grow exponentially there."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _encode(col: Column, pairs) -> Column:
     """Percent-encode the characters of ``pairs`` and the UTF-8 bytes of every non-ASCII one."""
     for src, dst in pairs:
@@ -38,7 +33,7 @@ def _encode(col: Column, pairs) -> Column:
     other = r"[^\x00-\x7f]"
     chars = lambda x: F.transform(F.split(x, ""), lambda c: F.when(
         c.rlike(other), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")).otherwise(c))
-    return _let(col, lambda x: F.when(x.rlike(other), F.array_join(chars(x), "")).otherwise(x))
+    return let(col, lambda x: F.when(x.rlike(other), F.array_join(chars(x), "")).otherwise(x))
 
 
 _PATH_ENC = ((" ", "%20"), ('"', "%22"), ("<", "%3C"), (">", "%3E"), ("`", "%60"), ("{", "%7B"), ("}", "%7D"))
@@ -119,14 +114,14 @@ def canonical_url(col: Column | str) -> Column:
         if not steps:
             return _serialize(env["raw_scheme"], env["rest"], env["parts"])
         (name, f), left = steps[0], steps[1:]
-        return _let(f if isinstance(f, Column) else f(env.__getitem__), lambda x: chain({**env, name: x}, left))
+        return let(f if isinstance(f, Column) else f(env.__getitem__), lambda x: chain({**env, name: x}, left))
 
     return chain({}, _steps(_c(col)))
 
 
 def with_canonical_url(df: DataFrame, col: str, out: str = "canonical_url") -> DataFrame:
-    """Add ``out`` = canonical URL of ``col``."""
-    return df.withColumn(out, canonical_url(col))
+    """Add ``out`` = canonical URL of ``col``, host names outside ASCII in their ASCII form."""
+    return with_ascii_hosts(df, col, "_ascii_url").withColumn(out, canonical_url("_ascii_url")).drop("_ascii_url")
 
 
 def is_absolute_url(col: Column | str) -> Column:

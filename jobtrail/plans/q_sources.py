@@ -115,6 +115,17 @@ def q_canonical_urls_encoded(spark, d):
     return with_canonical_url(read_table(spark, d, "pages").select("page_id", raw.alias("url")), "url").select("page_id", "canonical_url")
 
 
+# host names outside ASCII, as a browser writes them
+@query("canonical_urls_hosts", """
+select page_id, case page_id % 6 when 0 then 'https://www.xn--bcher-kva.example/' when 1 then 'http://u:p@xn--wgv71a119e.jp:8080/%C3%A4'
+    when 2 then 'https://xn--strae-oqa.example/?q=%C3%A9' when 3 then 'https://xn--nxasmm1c.example/' when 4 then 'https://softhyphen.example/' else 'https://plain.example/%C3%BC' end as canonical_url from pages""")
+def q_canonical_urls_hosts(spark, d):
+    urls = ["HTTPS://www.B\u00dcCHER.example:443", "http://u:p@\u65e5\u672c\u8a9e\u3002\uff2a\uff30:8080/\u00e4", " https:\\\\stra\u00dfe.example?q=\u00e9",
+            "https://\u03b2\u03cc\u03bb\u03bf\u03c2.example/", "https://soft\u00adhyphen.example", "https://plain.example/\u00fc"]
+    raw = F.element_at(F.array(*[F.lit(u) for u in urls]), (F.col("page_id") % 6 + 1).cast("int"))
+    return with_canonical_url(read_table(spark, d, "pages").select("page_id", raw.alias("url")), "url").select("page_id", "canonical_url")
+
+
 # removal requests: sources whose last recorded attempt failed (ids padded, as typed by a user)
 add_view("o_removed", """
 select distinct source_id as id from (

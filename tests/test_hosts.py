@@ -1,0 +1,31 @@
+"""Host names outside ASCII against written-out values (the URL standard's non-transitional mapping)."""
+
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+
+from jobtrail.functions.hosts import ascii_host
+from jobtrail.functions.urls import with_canonical_url
+
+
+@pytest.mark.parametrize("host,want", [
+    ("bücher.example", "xn--bcher-kva.example"), ("BÜCHER.example", "xn--bcher-kva.example"), ("bücher.example", "xn--bcher-kva.example"),
+    ("straße.de", "xn--strae-oqa.de"), ("STRAẞE.de", "xn--strae-oqa.de"), ("日本語。ＪＰ", "xn--wgv71a119e.jp"),
+    ("βόλος.gr", "xn--nxasmm1c.gr"), ("ΒΌΛΟΣ.gr", "xn--nxasmq6b.gr"), ("☃.net", "xn--n3h.net"),
+    ("a­b.com", "ab.com"), ("ｇｏ.com", "go.com"), ("他们为什么不说中文", "xn--ihqwcrb4cv8a8dqg056pqjye"),
+    ("Ångström.se", "xn--ngstrm-hua5l.se"), ("plain.example", "plain.example"), ("", ""), (None, None)])
+def test_hosts(host, want):
+    assert ascii_host(host) == want
+
+
+@given(st.text(st.characters(codec="utf-8", exclude_characters="./?#@:"), min_size=1, max_size=20))
+def test_ascii_out_and_stable(host):
+    out = ascii_host(host)
+    assert out.isascii() and ascii_host(out) == out.casefold()
+
+
+def test_urls(spark):
+    rows = ["https://bücher.example/ä?q=é#f", "http://usér@HOST.example/", "not a url é", None, "mailto:é@x", "https://ascii.example/日"]
+    got = [r.c for r in with_canonical_url(spark.createDataFrame([(i, u) for i, u in enumerate(rows)], "i int, u string"), "u", "c").orderBy("i").collect()]
+    assert got[0] == "https://xn--bcher-kva.example/%C3%A4?q=%C3%A9#f" and got[2] is None and got[3] is None
+    assert got[1].endswith("@host.example/") and got[4] == "mailto:é@x" and got[5] == "https://ascii.example/%E6%97%A5"
