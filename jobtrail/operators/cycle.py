@@ -16,12 +16,15 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobtrail.functions.text import ts_lit
+from jobtrail.functions.text import cut, ts_lit
 from jobtrail.functions.urls import with_canonical_url
 from jobtrail.operators.clean import MAX_PAGE_CHARS, clean_pages
+from jobtrail.operators.cuts import Cuts
 from jobtrail.operators.dedupe import insert_new
 from jobtrail.operators.extract import extract_postings
+from jobtrail.operators.history import KeyHistory
 from jobtrail.operators.robots import ROBOTS_REASON, robots_gate, robots_rules
+from jobtrail.sources.workspace import kept, new_folder
 
 # Failure reasons.
 INVALID_URL = "Invalid URL"
@@ -136,11 +139,20 @@ def successful_pages(snaps: DataFrame, outcomes: DataFrame, max_chars: int | Non
 
 
 def run_cycle(sources: DataFrame, snaps: DataFrame, robots: DataFrame, replies: DataFrame | None,
-              stored: DataFrame, cycle_id: str, now: datetime) -> CycleResult:
-    """The whole cycle as lazy DataFrames. The caller writes ``new_rows`` (S7) first,
-    then ``sources_after`` (S8) and the digest (S9); a replay adds nothing."""
-    outcomes = source_outcomes(sources, snaps, robots)
-    pages = successful_pages(snaps, outcomes)
-    postings = extract_postings(pages, replies)
-    new_rows = insert_new(postings, stored, PAGE_ORDER, cycle_id, now)
+              stored: DataFrame | KeyHistory, cycle_id: str, now: datetime, cuts: Cuts = Cuts(), folder: str | None = None) -> CycleResult:
+    """The whole cycle. The caller writes ``new_rows`` (S7) first, then ``sources_after`` (S8) and the
+    digest (S9); a replay adds nothing.
+
+    Outcomes and clean pages are written to ``folder`` (a new one below the shared folder by default; the caller
+    clears it), so each is computed once whatever reads it. Ranking and probing move postings without their page's
+    text; the winners fetch it from the written pages.
+    """
+    folder = folder or new_folder(sources.sparkSession, "cycle")
+    outcomes = kept(source_outcomes(sources, snaps, robots), f"{folder}/outcomes")
+    pages = kept(successful_pages(snaps, outcomes, cuts.page), f"{folder}/pages")
+    postings = extract_postings(pages, replies, cuts=cuts, keep_text=False)
+    fresh = insert_new(postings, stored, PAGE_ORDER, cycle_id, now, raw_text_col=None, cuts=cuts)
+    texts = pages.select("tracked_url_id", "snapshot_id", cut(F.coalesce("page_text", F.lit("")), cuts.raw_text).alias("raw_text"))
+    # copies of a snapshot have copies of its page
+    new_rows = fresh.join(texts, ["tracked_url_id", "snapshot_id"]).dropDuplicates(["content_hash"]).drop("snapshot_id")
     return CycleResult(outcomes, pages, postings, new_rows, apply_status(sources, outcomes, now))

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobtrail.functions.text import collapse_ws, cut, first_items, null_if_blank, trim_js, ts_lit
+from jobtrail.operators.cuts import Cuts
+from jobtrail.operators.history import KeyHistory, only_unseen_clustered
 
 MAX_SUMMARY = 1200
 MAX_RAW_TEXT = 14000
@@ -47,9 +49,12 @@ def only_unseen(cand: DataFrame, stored: DataFrame, key: str = "content_hash") -
     return cand.join(stored.select(key), key, "left_anti")
 
 
-def posting_rows(df: DataFrame, raw_text_col: str = "page_text", max_stack: int | None = MAX_STACK,
+def posting_rows(df: DataFrame, raw_text_col: str | None = "page_text", max_stack: int | None = MAX_STACK,
                  max_summary: int | None = MAX_SUMMARY, max_raw_text: int | None = MAX_RAW_TEXT) -> DataFrame:
-    """Final write shape: trims, stack <= 20, summary collapsed and <= 1200, raw text <= 14000 (None: not cut)."""
+    """Final write shape: trims, stack <= 20, summary collapsed and <= 1200, raw text <= 14000 (None: not cut).
+
+    ``raw_text_col=None``: without the raw text, for rows that get it later.
+    """
     return df.select(
         "content_hash", "tracked_url_id",
         trim_js("job_title").alias("job_title"),
@@ -58,19 +63,21 @@ def posting_rows(df: DataFrame, raw_text_col: str = "page_text", max_stack: int
         first_items(F.coalesce(F.col("tech_stack"), F.array().cast("array<string>")), max_stack).alias("tech_stack"),
         cut(collapse_ws("requirements_summary"), max_summary).alias("requirements_summary"),
         F.col("job_url"),
-        cut(F.coalesce(F.col(raw_text_col), F.lit("")), max_raw_text).alias("raw_text"),
-        *[c for c in df.columns if c in ("added_at", "pos", "cycle_id")],
+        *([] if raw_text_col is None else [cut(F.coalesce(F.col(raw_text_col), F.lit("")), max_raw_text).alias("raw_text")]),
+        *[c for c in df.columns if c in ("snapshot_id", "added_at", "pos", "cycle_id")],
     )
 
 
-def insert_new(cand: DataFrame, stored: DataFrame, order: list[str], cycle_id: str, now: datetime,
-               raw_text_col: str = "page_text", url_fallback: str | None = "source_url") -> DataFrame:
+def insert_new(cand: DataFrame, stored: DataFrame | KeyHistory, order: list[str], cycle_id: str, now: datetime,
+               raw_text_col: str | None = "page_text", url_fallback: str | None = "source_url", cuts: Cuts = Cuts()) -> DataFrame:
     """Key -> keep-first -> not stored -> row shape, stamped with the cycle.
 
-    Replay-safe: once the result is appended, the same input yields nothing.
+    ``stored``: the stored rows, or their keys in buckets, which are then probed in place. Replay-safe:
+    once the result is appended, the same input yields nothing.
     """
-    fresh = only_unseen(keep_first(content_key(cand, url_fallback), order), stored)
-    rows = posting_rows(fresh, raw_text_col)
+    firsts = keep_first(content_key(cand, url_fallback), order)
+    fresh = only_unseen_clustered(firsts, stored, unique=True) if isinstance(stored, KeyHistory) else only_unseen(firsts, stored)
+    rows = posting_rows(fresh, raw_text_col, cuts.stack, cuts.summary, cuts.raw_text)
     return rows.select(
         F.col("content_hash").alias("id"), "*",
         ts_lit(now).alias("first_seen_at"),

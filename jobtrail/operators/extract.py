@@ -7,11 +7,16 @@ except the J5 join of pages with their replies.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobtrail.functions.keywords import tag_text
-from jobtrail.functions.text import capitalize_words, collapse_ws, cut, first_items, trim_js
+from jobtrail.functions.keywords import MAX_TAGS, display_form, tag_text
+from jobtrail.functions.text import capitalize_words, collapse_ws, cut, first_items, let, trim_js
+from jobtrail.operators.cuts import Cuts
 
 MAX_CANDIDATES = 20
 MAX_STACK = 20
@@ -50,13 +55,51 @@ def _c(col):
 
 
 # ---------------------------------------------------------------- X1
-def tag_keywords(df: DataFrame, text_col: str = "text", out_col: str = "tech", keywords=None) -> DataFrame:
-    """Keywords found in ``text_col`` (case-insensitive substring), list order, first 12."""
+def tag_keywords(df: DataFrame, text_col: str = "text", out_col: str = "tech", keywords=None, limit: int | None = MAX_TAGS) -> DataFrame:
+    """Keywords found in ``text_col`` (case-insensitive substring), list order, first ``limit`` (None: all).
+
+    One test for each keyword; for lists of hundreds of words or more see ``tag_many``.
+    """
     return (df.withColumn("_lower_text", F.lower(F.col(text_col)))
-              .withColumn(out_col, tag_text(F.col("_lower_text"), keywords))
+              .withColumn(out_col, tag_text(F.col("_lower_text"), keywords, limit))
               .drop("_lower_text"))
 
 
+def tag_many(df: DataFrame, keywords: list[str], text_col: str = "text", out_col: str = "tech", limit: int | None = MAX_TAGS) -> DataFrame:
+    """``tag_keywords`` for large lists: an Aho-Corasick automaton reads each text once, however many words there are.
+
+    The list goes to the tasks with the function (its size is the caller's; 20,000 words take a few MB), the automaton
+    is built once for each task. Equal words of different case are one hit each, in list order. A null text has null tags.
+    """
+    words = [k.lower() for k in keywords]
+    shown = [display_form(k) for k in keywords]
+
+    @F.pandas_udf("array<string>")
+    def found(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        tree = ahocorasick.Automaton()
+        places: dict[str, list[int]] = {}
+        for i, w in enumerate(words):
+            places.setdefault(w, []).append(i)
+        always = places.pop("", [])  # every text contains the empty word
+        for w, at in places.items():
+            tree.add_word(w, at)
+        tree.make_automaton()
+
+        def one(text):
+            hits = set(always)
+            if places:
+                for _, at in tree.iter(text):
+                    hits.update(at)
+            return [shown[i] for i in sorted(hits)[:limit]]
+
+        for batch in texts:
+            yield batch.map(one, na_action="ignore")
+
+    return df.withColumn(out_col, found(F.lower(F.col(text_col))))
+
+
 # ---------------------------------------------------------------- X2
 def fallback_summary(text: Column, chars: int | None = FALLBACK_SUMMARY_CHARS) -> Column:
     t = collapse_ws(text)
@@ -81,21 +124,22 @@ def company_guess(source_url: Column) -> Column:
     return F.when(F.coalesce(label, F.lit("")) == "", F.lit(UNKNOWN_COMPANY)).otherwise(capitalize_words(label))
 
 
-def fallback_struct(text: Column, source_url: Column, tech: Column) -> Column:
+def fallback_struct(text: Column, source_url: Column, tech: Column, chars: int | None = FALLBACK_SUMMARY_CHARS) -> Column:
     return F.struct(
         fallback_title(text).alias("job_title"),
         company_guess(source_url).alias("company_name"),
         F.lit(None).cast("string").alias("salary"),
         tech.alias("tech_stack"),
-        fallback_summary(text).alias("requirements_summary"),
+        fallback_summary(text, chars).alias("requirements_summary"),
         source_url.alias("job_url"),
     )
 
 
-def fallback_postings(pages: DataFrame, text_col: str = "page_text", url_col: str = "source_url") -> DataFrame:
+def fallback_postings(pages: DataFrame, text_col: str = "page_text", url_col: str = "source_url", max_tags: int | None = MAX_TAGS,
+                      chars: int | None = FALLBACK_SUMMARY_CHARS) -> DataFrame:
     """One rule-based posting per page."""
-    t = tag_keywords(pages, text_col, "_tech")
-    return t.withColumn("posting", fallback_struct(F.col(text_col), F.col(url_col), F.col("_tech"))) \
+    t = tag_keywords(pages, text_col, "_tech", limit=max_tags)
+    return t.withColumn("posting", fallback_struct(F.col(text_col), F.col(url_col), F.col("_tech"), chars)) \
             .drop("_tech").select("*", "posting.*").drop("posting")
 
 
@@ -104,12 +148,57 @@ def strict_json(raw: Column) -> Column:
     """The JSON value that ``raw`` holds and nothing besides, else NULL.
 
     The parser stops behind the first value. Only a single value is both the one element of
-    an array put around it and the one field of an object put around it.
+    an array put around it and the one field of an object put around it. The text is parsed twice, whatever is
+    made of the value.
     """
     text = F.when(trim_js(raw) != "", raw)
     items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
     field = F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))), "$", "map<string,variant>")
-    return F.when((F.size(items) == 1) & (F.size(field) == 1), F.get(items, F.lit(0)))
+    return let(items, lambda i: F.when((F.size(i) == 1) & (F.size(field) == 1), F.get(i, F.lit(0))))
+
+
+def may_repeat_keys(raw: Column) -> Column:
+    """Whether a key stands twice in a reply, in one object or in several (escaped characters count as a repeat)."""
+    keys = F.regexp_extract_all(raw, F.lit(r'"((?:[^"\\]|\\.)*+)"\s*+:'), F.lit(1))
+    return raw.contains("\\u") | let(keys, lambda k: F.size(k) > F.size(F.array_distinct(k)))
+
+
+def last_keys(raw: str | None) -> str | None:
+    """The same JSON with the last one of equal keys in each object; None for what is no JSON."""
+
+    def constant(name):
+        raise ValueError(name)
+
+    try:
+        return None if raw is None else json.dumps(json.loads(raw, parse_constant=constant), ensure_ascii=False)
+    except (ValueError, RecursionError):
+        return None
+
+
+def with_last_keys(replies: DataFrame, raw_col: str = "raw_content", out_col: str = "raw_content") -> DataFrame:
+    """Replies whose objects hold every key once: the last value of a repeated key counts.
+
+    Spark's parser refuses repeated keys, so replies in which a key stands twice are written anew; all others pass as
+    they are (what the helper cannot read stays, too, and is refused by the parser).
+    """
+
+    @F.pandas_udf("string")
+    def rewritten(raw: pd.Series) -> pd.Series:
+        return raw.map(last_keys, na_action="ignore")
+
+    suspect = F.when(may_repeat_keys(F.col(raw_col)), F.col(raw_col))
+    return replies.withColumn("_once", rewritten(suspect)).withColumn(out_col, F.coalesce("_once", raw_col)).drop("_once")
+
+
+def candidate_list(raw: Column) -> Column:
+    """The candidate list of a reply by its shape, see ``reply_candidates``."""
+
+    def pick(v):
+        return let(F.schema_of_variant(v), lambda kind: let(F.try_variant_get(v, "$.jobs", "array<variant>"), lambda jobs: (
+            F.when(v.isNull() | ~(kind.startswith("OBJECT") | kind.startswith("ARRAY")), F.lit(None).cast("array<variant>"))
+             .when(kind.startswith("OBJECT") & jobs.isNotNull(), jobs).otherwise(F.array(v)))))
+
+    return let(strict_json(raw), pick)
 
 
 def reply_candidates(replies: DataFrame, raw_col: str = "raw_content", out_col: str = "candidates") -> DataFrame:
@@ -117,16 +206,9 @@ def reply_candidates(replies: DataFrame, raw_col: str = "raw_content", out_col:
 
     object with array ``jobs`` -> its elements; other object or array -> itself as
     the single candidate; null, scalar, blank, invalid JSON -> NULL. Text behind the
-    value makes the JSON invalid.
+    value makes the JSON invalid. Of equal keys in one object the last counts.
     """
-    v = strict_json(F.col(raw_col))
-    typ = F.schema_of_variant(v)
-    is_obj = typ.startswith("OBJECT")
-    jobs = F.try_variant_get(v, "$.jobs", "array<variant>")
-    cands = (F.when(v.isNull() | ~(is_obj | typ.startswith("ARRAY")), F.lit(None).cast("array<variant>"))
-              .when(is_obj & jobs.isNotNull(), jobs)
-              .otherwise(F.array(v)))
-    return replies.withColumn(out_col, cands)
+    return with_last_keys(replies, raw_col, "_reply").withColumn(out_col, candidate_list(F.col("_reply"))).drop("_reply")
 
 
 # ---------------------------------------------------------------- X4
@@ -175,10 +257,10 @@ def valid_postings(cands: Column, source_url: Column, fb_tech: Column | None = N
 
 
 def normalize_candidates(df: DataFrame, cand_col: str = "candidates", text_col: str = "page_text",
-                         url_col: str = "source_url", out_col: str = "valid_postings") -> DataFrame:
+                         url_col: str = "source_url", out_col: str = "valid_postings", cuts: Cuts = Cuts()) -> DataFrame:
     """The valid postings of every page as one array (one row per page, no shuffle)."""
-    d = tag_keywords(df, text_col, "_fb_tech").withColumn("_fb_summary", fallback_summary(F.col(text_col)))
-    kept = valid_postings(F.col(cand_col), F.col(url_col), F.col("_fb_tech"), F.col("_fb_summary"))
+    d = tag_keywords(df, text_col, "_fb_tech", limit=cuts.tags).withColumn("_fb_summary", fallback_summary(F.col(text_col), cuts.fallback))
+    kept = valid_postings(F.col(cand_col), F.col(url_col), F.col("_fb_tech"), F.col("_fb_summary"), cuts.postings, cuts.stack)
     return d.withColumn(out_col, F.coalesce(kept, F.array().cast(POSTINGS_TYPE))).drop("_fb_tech", "_fb_summary")
 
 
@@ -194,23 +276,25 @@ def pages_with_replies(pages: DataFrame, replies: DataFrame, key: str = "snapsho
 
 
 def extract_postings(pages: DataFrame, replies: DataFrame | None = None, text_col: str = "page_text",
-                     url_col: str = "source_url", key: str = "snapshot_id", max_candidates: int | None = MAX_CANDIDATES,
-                     max_stack: int | None = MAX_STACK) -> DataFrame:
+                     url_col: str = "source_url", key: str = "snapshot_id", cuts: Cuts = Cuts(), keep_text: bool = True) -> DataFrame:
     """Postings of every page, one row each, with ``pos`` = list order within the page.
 
     Valid candidates of the reply if any, else the single fallback posting.
-    ``replies=None`` means no model is configured: every page takes the fallback.
+    ``replies=None`` means no model is configured: every page takes the fallback. What the fallback takes
+    from the text is drawn up before the pages meet their replies, so without ``keep_text`` the text is in no shuffle
+    and in no row that comes out.
     """
+    # page-level fallbacks are computed once per page, before the explode
+    d = tag_keywords(pages, text_col, "_fb_tech", limit=cuts.tags).withColumn("_fb_summary", fallback_summary(F.col(text_col), cuts.fallback))
+    d = d.withColumn("_fb", fallback_struct(F.col(text_col), F.col(url_col), F.col("_fb_tech"), cuts.fallback))
+    d = d if keep_text else d.drop(text_col)
     if replies is None:
-        d = pages.withColumn("candidates", F.lit(None).cast("array<variant>"))
+        d = d.withColumn("candidates", F.lit(None).cast("array<variant>"))
     else:
-        d = reply_candidates(pages_with_replies(pages, replies, key))
-    # page-level fallbacks are computed once per page, before the explode
-    d = tag_keywords(d, text_col, "_fb_tech").withColumn("_fb_summary", fallback_summary(F.col(text_col)))
-    d = d.withColumn("_fb", fallback_struct(F.col(text_col), F.col(url_col), F.col("_fb_tech")))
+        d = reply_candidates(pages_with_replies(d, replies, key))
     # fallbacks are applied after the explode
-    valid = valid_postings(F.col("candidates"), F.col(url_col), max_candidates=max_candidates, max_stack=max_stack)
-    chosen = F.when(F.size(valid) > 0, valid).otherwise(F.array(F.col("_fb")))
+    valid = valid_postings(F.col("candidates"), F.col(url_col), max_candidates=cuts.postings, max_stack=cuts.stack)
+    chosen = let(valid, lambda v: F.when(F.size(v) > 0, v).otherwise(F.array(F.col("_fb"))))
     drop = [c for c in ("candidates", "raw_content", "_fb") if c in d.columns]
     e = d.select("*", F.posexplode(chosen).alias("pos", "posting")).drop(*drop).select("*", "posting.*").drop("posting")
     e = e.withColumns({

@@ -15,7 +15,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobtrail.functions.text import ts_lit
+from jobtrail.functions.text import JS_WS_CLASS, leading_int, ts_lit
 
 from jobtrail.sources.tables import scan_postings
 
@@ -41,6 +41,13 @@ def clamp_limit(raw: str | None) -> int:
     return min(n, MAX_LIMIT) if n > 0 else DEFAULT_LIMIT
 
 
+def limit_of(raw: Column) -> Column:
+    """``clamp_limit`` as a column: the same rule for a table of requests. NULL and text without a number give 500."""
+    n = leading_int(raw)
+    huge = raw.rlike("^" + JS_WS_CLASS + r"*\+?0*[1-9][0-9]{18,}")  # beyond 64 bits
+    return F.when(huge, F.lit(MAX_LIMIT)).when(n > 0, F.least(n, F.lit(MAX_LIMIT))).otherwise(F.lit(DEFAULT_LIMIT)).cast("long")
+
+
 def _parse_day(raw: str | None) -> datetime | None:
     """``YYYY``, ``YYYY-MM`` (their first day) or ``YYYY-MM-DD``; None for anything else."""
     if not raw or not re.fullmatch(r"[0-9]{4}(-[0-9]{2}(-[0-9]{2})?)?", raw):

@@ -9,6 +9,8 @@ from jobtrail.plans import q_extract  # noqa: F401  isort: skip
 from jobtrail.plans import q_sources  # noqa: F401  isort: skip
 from jobtrail.plans import q_search  # noqa: F401  isort: skip
 from jobtrail.plans import q_cycle  # noqa: F401  isort: skip
+from jobtrail.plans import q_history  # noqa: F401  isort: skip
+from jobtrail.plans import q_streams  # noqa: F401  isort: skip
 from jobtrail.plans.registry import ORACLES, QUERIES
 
 

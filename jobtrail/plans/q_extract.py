@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtrail import fixtures
+from jobtrail.functions.keywords import TECH_KEYWORDS
 from jobtrail.operators.clean import clean_pages
 from jobtrail.operators.dedupe import content_key, insert_new, keep_first, only_unseen, posting_rows
 from jobtrail.operators.extract import (SYSTEM_PROMPT, extract_postings, extraction_requests, fallback_postings,
-                                        normalize_candidates, reply_candidates, tag_keywords)
+                                        normalize_candidates, reply_candidates, tag_keywords, tag_many)
 from jobtrail.plans.oracle_views import add_view, capitalize_dash, clean_html, collapse, tags, trim_js, with_views
-from jobtrail.plans.registry import query
+from jobtrail.plans.registry import ORACLES, query
+from jobtrail.sources.tables import read_table
 
 # Fixed parameters of the registered queries.
 CYCLE_ID = "cycle-0001"
@@ -61,6 +63,27 @@ def q_tag_keywords(spark, d):
     return tag_keywords(fixtures.docs(spark, d), "text", "tech").select("doc_id", _joined("tech"))
 
 
+@query("tag_keywords_automaton", ORACLES["tag_keywords"])
+def q_tag_keywords_automaton(spark, d):
+    return tag_many(fixtures.docs(spark, d), TECH_KEYWORDS, "text", "tech").select("doc_id", _joined("tech"))
+
+
+# a list that grows with the data: the distinct names of all parts as keywords, searched in what refers to them
+@query("tag_part_names", """
+select l.l_orderkey, l.l_linenumber, lower(p.p_name) as named
+from lineitem l join part p on p.p_partkey = l.l_partkey where l.l_linenumber = 1""")
+def q_tag_part_names(spark, d):
+    part = read_table(spark, d, "part").select("p_partkey", "p_name")
+    names = [r[0] for r in part.select(F.lower("p_name")).distinct().orderBy(F.lower("p_name")).collect()]
+    li = read_table(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_partkey")
+    texts = li.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        "l_orderkey", "l_linenumber", F.concat(F.lit("order of <"), F.upper("p_name"), F.lit(">, urgent")).alias("text"))
+    tagged = tag_many(texts, names, "text", "tech", limit=None)
+    # the longest tag is the name itself; names within names are tags, too
+    longest = F.array_max(F.transform("tech", lambda t: F.struct(F.length(t).alias("n"), F.lower(t).alias("t"))))
+    return tagged.select("l_orderkey", "l_linenumber", longest["t"].alias("named"))
+
+
 # ------------------------------------------------------------------ X2
 add_view("o_fallback", f"""
 select tracked_url_id, page_id, added_at, source_url, page_text,
@@ -124,6 +147,20 @@ def q_reply_candidates_strict(spark, d):
                                       F.col("variant").cast("long").alias("variant"))
 
 
+# replies that repeat keys: in the reply, in a posting, and escaped
+@query("repeated_keys", """
+select tracked_url_id, 'Role ' || (page_id % 13) as job_title, case when page_id % 2 = 0 then 'New' else 'Acme' end as company_name
+from o_pages_ids""".replace("o_pages_ids", "(select cast(p.page_id as varchar) as tracked_url_id, p.page_id from pages p join events e on e.event_id = p.page_id) x"))
+def q_repeated_keys(spark, d):
+    no = F.col("page_id")
+    role = F.concat(F.lit('"job_title":"old","job_title":"Role '), (no % 13).cast("string"), F.lit('"'))
+    company = F.when(no % 2 == 0, F.lit('"company_name":"Old","company_n\\u0061me":"New"')).otherwise(F.lit('"company_name":"Acme"'))
+    raw = F.concat(F.lit('{"jobs":[{"job_title":"Gone","company_name":"Gone"}],"jobs":[{'), role, F.lit(","), company, F.lit("}]}"))
+    sent = fixtures.replies(spark, d).join(read_table(spark, d, "pages").select("page_id", F.concat(F.lit("s"), F.col("page_id").cast("string")).alias("snapshot_id")), "snapshot_id")
+    replies = sent.select("snapshot_id", raw.alias("raw_content"), "replied_at")
+    return extract_postings(snapshot_pages(spark, d), replies).select("tracked_url_id", "job_title", "company_name")
+
+
 # ------------------------------------------------------------------ X4
 def _str_field(e: str, name: str) -> str:
     return (f"case when json_type({e}, '$.{name}') = 'VARCHAR' then {collapse(f'json_extract_string({e}, {chr(39)}$.{name}{chr(39)})')} "

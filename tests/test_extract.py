@@ -92,3 +92,56 @@ def test_extraction_request_shape(spark):
     r = extraction_requests(p, "m").first()
     assert r.user_message == "Source URL: https://acme.example/\n\nPage text:\ntext"
     assert r.temperature == 0 and r.response_format == "json_object" and r.system_prompt.startswith("Extract job postings")
+
+
+def test_automaton_equals_flat_tests(spark):
+    import random
+
+    from jobtrail.functions.keywords import TECH_KEYWORDS
+    from jobtrail.operators.extract import tag_keywords, tag_many
+
+    rnd = random.Random(1)
+    many = ["".join(rnd.choice("abcde .+#") for _ in range(rnd.randrange(1, 7))) for _ in range(20_000)] + ["été", "Go", "go", ""]
+    texts = ["".join(rnd.choice("abcde .+#GOÉT") for _ in range(rnd.randrange(0, 400))) for _ in range(30)] + ["", None, "Python and Node.JS, c++/C#", "ÉTÉ"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    for words, limit in ((TECH_KEYWORDS, 12), (TECH_KEYWORDS, None), (TECH_KEYWORDS, 1)):
+        a = {r.i: r.tech for r in tag_keywords(df, keywords=words, limit=limit).collect()}
+        b = {r.i: r.tech for r in tag_many(df, words, limit=limit).collect()}
+        assert {i: x for i, x in b.items() if x is not None} == {i: x for i, x in a.items() if texts[i] is not None}
+    from jobtrail.functions.keywords import display_form
+
+    found = {r.i: r.tech for r in tag_many(df, many, limit=None).collect()}
+    for i, t in enumerate(texts):
+        assert found[i] == (None if t is None else [display_form(w) for w in many if w.lower() in t.lower()])
+
+
+def test_parser_runs_twice_whatever_reads_the_value(spark):
+    from jobtrail import fixtures
+    from jobtrail.operators.extract import extract_postings
+
+    pages = spark.createDataFrame([("s0", "text", "https://a.example")], "snapshot_id string, page_text string, source_url string")
+    replies = spark.createDataFrame([("s0", '{"jobs":[{"job_title":"A","company_name":"B"}]}', None)], "snapshot_id string, raw_content string, replied_at timestamp_ntz")
+    out = extract_postings(pages, replies)
+    assert [(r.job_title, r.company_name) for r in out.collect()] == [("A", "B")]
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert text.lower().count("parsejson") + text.count("parse_json") <= 2, text
+    narrow = extract_postings(pages, replies, keep_text=False)
+    assert "page_text" not in narrow.columns and narrow.drop("pos").collect() == out.drop("page_text", "pos").collect()
+
+
+def test_whole_texts_and_lists(spark):
+    from jobtrail.operators.cuts import WHOLE
+    from jobtrail.operators.extract import extract_postings, normalize_candidates, reply_candidates
+
+    jobs = ",".join('{"job_title":"T%d","company_name":"C","tech_stack":[%s]}' % (i, ",".join('"x%d"' % j for j in range(40))) for i in range(50))
+    words = " ".join(["python javascript typescript react node.js next.js postgresql mysql mongodb redis docker kubernetes aws gcp"] + ["w"] * 900)
+    pages = spark.createDataFrame([("s0", words, "https://a.example"), ("s1", words, "https://b.example")], "snapshot_id string, page_text string, source_url string")
+    replies = spark.createDataFrame([("s0", '{"jobs":[%s]}' % jobs, None)], "snapshot_id string, raw_content string, replied_at timestamp_ntz")
+    whole = extract_postings(pages, replies, cuts=WHOLE).collect()
+    cut = extract_postings(pages, replies).collect()
+    assert sum(r.snapshot_id == "s0" for r in whole) == 50 and sum(r.snapshot_id == "s0" for r in cut) == 20
+    assert {len(r.tech_stack) for r in whole if r.snapshot_id == "s0"} == {40} and {len(r.tech_stack) for r in cut if r.snapshot_id == "s0"} == {20}
+    (a,), (b,) = [r for r in whole if r.snapshot_id == "s1"], [r for r in cut if r.snapshot_id == "s1"]
+    assert (len(a.requirements_summary), len(b.requirements_summary), len(b.tech_stack)) == (len(words), 550, 12) and len(a.tech_stack) > 12
+    n = normalize_candidates(reply_candidates(pages.join(replies, "snapshot_id")), cuts=WHOLE).first().valid_postings
+    assert len(n) == 50 and len(n[0].requirements_summary) == len(words)
