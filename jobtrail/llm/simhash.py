@@ -80,7 +80,8 @@ def _within_one(nodes: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Links ``(a, b)`` that connect all pairs of the distinct, non-null fingerprints at most two bits apart."""
-    rows = _variants(nodes)
+    # each fingerprint becomes 64 rows: dealt over all tasks before that, however few bytes they are
+    rows = _variants(nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     shared = rows.groupBy("variant").agg(F.count("*").alias("n")).filter("n > 1")
     held = keep(rows.join(shared, "variant"), "variants")
     met = held.filter(F.col("n") <= crowd).groupBy("variant").agg(F.sort_array(F.collect_list("fingerprint")).alias("f"))
