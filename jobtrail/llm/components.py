@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobtrail.llm.tables import keep
+from jobtrail.llm.tables import forget, keep
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds: the number of rounds grows with the logarithm
     of a component's size, not with its diameter, and no round gathers a component in one
-    task. Each round is written to the shared folder. Null ends and self-loops are ignored; an
+    task. Each round is written to the shared folder and takes the place of the one before. Null ends and self-loops are ignored; an
     empty table gives an empty table.
     """
     both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -31,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = (down.join(least, "a").select(F.explode(F.array(F.col("a"), F.col("b"))).alias("a"), F.col("m").alias("b"))
                  .filter("a <> b").distinct())
-        links = keep(small, "links")
+        before, links = links, keep(small, "links")
+        forget(before)
         seen = links.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
         if seen == state:
             return links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(
