@@ -16,6 +16,8 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{16,}(?![A-Za-z0-9_-])")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{40,}(?:\r?\n[A-Za-z0-9+/]{4,})*)={0,2}(?![A-Za-z0-9+/=])")
 #: Where a key may begin: at the first base64 character of a line or word, not at the letter of an escape.
-_KEY_START = re.compile(r"(?:(?<![A-Za-z0-9+/\\])|(?<=\\)(?![nrt])|(?<=\\[nrt]))(?=M[A-P]|AAAA|b3Bl)(?=[A-Za-z0-9+/]{40})")
+_KEY_START = re.compile(r"(?:(?<![A-Za-z0-9+/\\])|(?<=\\)(?![nrt])|(?<=\\[nrt]))(?=M[A-P]|AAAA|b3Bl)(?=[A-Za-z0-9+/]{24})")
 _LINE = re.compile(r"[A-Za-z0-9+/]+")
 _BREAK = re.compile(r"[ \t]*(?:\r\n?|\n|(?:\\+r)?\\+n)(?:[ \t]|\\+t)*")
 _PADDING = re.compile(r"={0,2}(?![A-Za-z0-9+/=])")
@@ -138,73 +140,96 @@ def _confirmed(data: bytes) -> str | None:
     return "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None
 
 
-class _Lines:
-    """Base64 lines from a place of a text on, read only as far as asked for."""
+class _Run:
+    """Successive base64 lines, read once however many keys seem to begin in them."""
 
     def __init__(self, text: str, at: int):
-        self.text, self.parts, self.size, self.ends, self.end = text, [], 0, {}, at
-        self._add(_LINE.match(text, at))
-
-    def _add(self, line: re.Match) -> None:
-        self.parts.append(line[0])
-        self.size += len(line[0])
-        self.end = self.ends[self.size] = line.end()
-
-    def read(self, n: int) -> bytes | None:
-        """The first ``n`` bytes, or None if the lines have fewer."""
-        chars = -(-n * 4 // 3)
-        while self.size < chars:
-            gap = _BREAK.match(self.text, self.end)
-            line = gap and _LINE.match(self.text, gap.end())
-            if not line:
-                return None
-            self._add(line)
-        return base64.b64decode("".join(self.parts)[:chars] + "=" * (-chars % 4))
+        self.text, self.starts, self.ends = text, [], []
+        line = _LINE.match(text, at)
+        while line:
+            self.starts.append(line.start())
+            self.ends.append(line.end())
+            gap = _BREAK.match(text, line.end())
+            line = gap and _LINE.match(text, gap.end())
+        #: Base64 characters up to the end of each line.
+        self.upto = list(accumulate(e - s for s, e in zip(self.starts, self.ends)))
+        self.end = self.ends[-1]
+
+
+class _Key:
+    """What begins at a place of a run. Bytes are decoded only where they are asked for."""
+
+    def __init__(self, run: _Run, at: int):
+        i = bisect_right(run.starts, at) - 1
+        self.run, self.at = run, run.upto[i] - (run.ends[i] - at)
+
+    def read(self, a: int, b: int) -> bytes | None:
+        """Bytes ``a`` to ``b``, or None if the lines have fewer."""
+        run, first, last = self.run, self.at + a // 3 * 4, self.at - (-b * 4 // 3)
+        if last > run.upto[-1]:
+            return None
+        i, parts = bisect_right(run.upto, first), []
+        while first < last:
+            begin = run.ends[i] - (run.upto[i] - first)
+            take = min(run.upto[i], last) - first
+            parts.append(run.text[begin: begin + take])
+            first, i = first + take, i + 1
+        chars = "".join(parts)
+        return base64.b64decode(chars + "=" * (-len(chars) % 4))[a % 3: a % 3 + b - a]
 
     def end_of(self, n: int) -> int | None:
         """Where the text of ``n`` bytes ends with its padding, or None if that is not the end of a line."""
-        end = self.ends.get(-(-n * 4 // 3))
-        padding = end is not None and _PADDING.match(self.text, end)
+        run, last = self.run, self.at - (-n * 4 // 3)
+        i = bisect_left(run.upto, last)
+        if i == len(run.upto) or run.upto[i] != last:
+            return None
+        padding = _PADDING.match(run.text, run.ends[i])
         return padding.end() if padding else None
 
     def past(self, at: int, fields: int) -> int | None:
         """The place behind that many length-prefixed fields from byte ``at`` on."""
         for _ in range(fields):
-            head = self.read(at + 4)
+            head = self.read(at, at + 4)
             if head is None:
                 return None
-            at += 4 + int.from_bytes(head[at:], "big")
+            at += 4 + int.from_bytes(head, "big")
         return at
 
 
-def _stated(lines: _Lines) -> list[int]:
+def _stated(key: _Key) -> list[int]:
     """The sizes that the key which begins here may have by its own header."""
-    head = lines.read(len(_SSH_PRIVATE))
+    head = key.read(0, len(_SSH_PRIVATE))
+    if head is None:
+        return []
     if head[0] == 0x30:
         n = head[1] & 0x7F if head[1] & 0x80 else 0
-        return [2 + n + int.from_bytes(head[2: 2 + n], "big") if n else 2 + head[1]] if n <= 4 else []
+        if n > 4 or head[2 + n] not in (0x02, 0x30):  # keys begin with a number or an algorithm
+            return []
+        return [2 + n + int.from_bytes(head[2: 2 + n], "big") if n else 2 + head[1]]
     if head == _SSH_PRIVATE:
-        at = lines.past(len(head), 3)
-        count = lines.read(at + 4) if at is not None else None
-        at = lines.past(at + 4, 2) if count and count[at:] == b"\x00\x00\x00\x01" else None
+        at = key.past(len(head), 3)
+        count = key.read(at, at + 4) if at is not None else None
+        at = key.past(at + 4, 2) if count == b"\x00\x00\x00\x01" else None
         return [at, at + _SSH_TAG] if at is not None else []
     size = 4 + int.from_bytes(head[:4], "big")
-    kind = lines.read(size)[4:] if size <= 4 + max(map(len, _SSH_TYPES)) else b""
-    at = lines.past(size, _SSH_FIELDS[kind]) if kind in _SSH_FIELDS else None
+    kind = key.read(4, size) if size <= 4 + max(map(len, _SSH_TYPES)) else b""
+    at = key.past(size, _SSH_FIELDS[kind]) if kind in _SSH_FIELDS else None
     return [at] if at is not None else []
 
 
 def _keys(text: str) -> list[tuple[str, int, int]]:
-    """Spans of the base64 keys whose lines end where their header says."""
-    spans, done = [], 0
+    """Spans of the base64 keys whose lines end where their header says. A header whose size does not end at the end of a
+    line costs a look-up, so texts full of such headers take time in proportion to their length."""
+    spans, done, run = [], 0, None
     for m in _KEY_START.finditer(text):
         if m.start() < done:
             continue
-        lines = _Lines(text, m.start())
-        for size in _stated(lines):
-            data = lines.read(size)
-            end = lines.end_of(size) if data is not None else None
-            kind = _confirmed(data) if end is not None else None
+        if run is None or m.start() >= run.end:
+            run = _Run(text, m.start())
+        key = _Key(run, m.start())
+        for size in _stated(key):
+            end = key.end_of(size)
+            kind = _confirmed(key.read(0, size)) if end is not None else None
             if kind:
                 spans.append((kind, m.start(), end))
                 done = end
@@ -239,7 +264,7 @@ _DIGITS = "0123456789"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = _UPPER.lower()
 #: Byte classes and the run of them that a text must have for a pattern to match.
-_NEEDS = ((_class(":="), 1), (_class(_UPPER + _DIGITS), 20), (_class(_DIGITS + "abcdef"), 24), (_class(_UPPER + _LOWER + _DIGITS + "+/"), 40), (_class(_UPPER + _LOWER + _DIGITS + "_-."), 38))
+_NEEDS = ((_class(":="), 1), (_class(_UPPER + _DIGITS), 20), (_class(_DIGITS + "abcdef"), 24), (_class(_UPPER + _LOWER + _DIGITS + "+/"), 24), (_class(_UPPER + _LOWER + _DIGITS + "_-."), 38))
 
 
 def _may_match(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

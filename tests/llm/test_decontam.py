@@ -1,13 +1,22 @@
 import random
-import re
+import time
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import regex
 
 from jobtrail.llm import decontam
 from jobtrail.llm.tables import read
 from tests.llm.helpers import SF
 
 
+_SINGLE = r"[\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}\p{Script=Thai}\p{Script=Lao}\p{Script=Khmer}\p{Script=Myanmar}]"
+
+
 def words(text):
-    return re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (text or "").lower())
+    """Letters, marks and digits by Unicode class; one character a word where a script has no spaces."""
+    return regex.findall(rf"{_SINGLE}|(?:(?!{_SINGLE})[\p{{L}}\p{{M}}\p{{N}}])+", (text or "").lower())
 
 
 def greedy(doc, item, least):
@@ -90,3 +99,48 @@ def test_short_items(spark):
     assert sorted(r.doc_id for r in decontam.decontaminate(d, b).collect()) == [2, 5, 7, 8, 9]
     short = b.filter("item_id < 4")
     assert sorted(r.doc_id for r in decontam.decontaminate(d, short).collect()) == [2, 5, 6, 7, 8, 9]
+
+
+ITEM = "the quick brown fox jumps over the lazy dog while seven bright stars shine above our quiet harbor"
+
+
+@pytest.mark.parametrize("between", [" ", "\u00a0", " \u2014 ", "\u2014", "\u201d, \u201c", "\u3000", "\u2026"])
+def test_typographic_texts(spark, between):
+    said = between.join(ITEM.split())
+    docs = [(1, f"\u201cHe said:\u201d {said}\u2019s end"), (2, "nothing of the kind \u2014 here")]
+    got = [(r.doc_id, r.matched_words) for r in decontam.contaminated_pairs(*frames(spark, docs, [(7, ITEM)])).collect()]
+    assert got == [(1, 18)] and len(words(ITEM)) == 18
+    assert [r.doc_id for r in decontam.decontaminate(*frames(spark, docs, [(7, ITEM)])).collect()] == [2]
+
+
+def test_unspaced_scripts(spark):
+    item, thai = "\u5b66\u800c\u65f6\u4e60\u4e4b\u4e0d\u4ea6\u8bf4\u4e4e\u6709\u670b\u81ea\u8fdc\u65b9\u6765", "\u0e2a\u0e27\u0e31\u0e2a\u0e14\u0e35\u0e0a\u0e32\u0e27\u0e42\u0e25\u0e01"
+    docs = [(1, "\u5b50\u66f0\uff1a" + item[:9] + "\uff1f" + item[9:] + "\u3002"), (2, "ab" + thai + "cd"), (3, item[:3])]
+    got = {(r.doc_id, r.item_id): r.matched_words for r in decontam.contaminated_pairs(*frames(spark, docs, [(7, item), (8, thai)]), min_coverage=0.0).collect()}
+    assert got == {(d, i): n for d, t in docs for i, x in ((7, item), (8, thai)) if (n := greedy(words(t), words(x), 5))} and got[(1, 7)] == 15 and got[(2, 8)] == len(thai)
+
+
+@pytest.mark.parametrize("pairs", [1, 40, 1 << 21])
+def test_frequent_seeds_in_ranges(monkeypatch, pairs):
+    """Whatever is laid out at once, tiles are those of all places."""
+    rnd = random.Random(11)
+    monkeypatch.setattr(decontam, "_PAIRS", pairs)
+    for _ in range(25):
+        items = [(i, " ".join(rnd.choice("ab") for _ in range(rnd.randrange(5, 14)))) for i in range(3)]
+        docs = [" ".join(rnd.choice("abc") for _ in range(rnd.randrange(0, 60))) for _ in range(3)] + ["a " * 50]
+        got = {(r, items[i][0]): n for r, i, n in decontam.Seeds(items, 3).matches(pa.array(docs))}
+        assert got == {(r, i): n for r, t in enumerate(docs) for i, x in items if (n := greedy(words(t), words(x), 3))}
+
+
+def test_equal_words_stay_bounded():
+    import tracemalloc
+
+    seeds = decontam.Seeds([(i, "same " * (20 + i % 3)) for i in range(30)], 5)
+    text = pa.array(["same " * 200_000])
+    tracemalloc.start()
+    began = time.time()
+    got = list(seeds.matches(text))
+    assert sorted(n for _, _, n in got) == sorted(20 + i % 3 for i in range(30))
+    assert tracemalloc.get_traced_memory()[1] < 400e6 and time.time() - began < 120
+    tracemalloc.stop()
+    assert np.all([r == 0 for r, _, _ in got])

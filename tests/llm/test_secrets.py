@@ -129,3 +129,30 @@ def test_private_key_file():
         data = b"openssh-key-v1\x00" + b"".join(map(field, (b"none", b"none", b""))) + b"\x00\x00\x00\x01" + field(SSH) + field(bytes(range(136))) + tag
         body = "\n  ".join(lines_of(data, 70))
         assert confirmed(f"{body}\nwords\n{base64.b64encode(SSH).decode()}\nwords") == [("ssh", body), ("ssh", base64.b64encode(SSH).decode())]
+
+
+def folded(data, width):
+    text = base64.b64encode(data).decode()
+    return "\n".join(text[i: i + width] for i in range(0, len(text), width))
+
+
+def test_keys_folded_short():
+    for data, kind in ((PKCS8, "der"), (PUBLIC, "der"), (RSA, "der"), (SSH, "ssh")):
+        for width in (24, 32, 38, 64, 76):
+            text = "note\n" + folded(data, width) + "\nend"
+            assert [s for s in secrets.scan_text(text) if s[0] == kind] == [(kind, 5, len(text) - 4)], (kind, width)
+
+
+def test_hostile_headers_cost_in_proportion():
+    """Lines that each begin with a header that states far more than there is, or a little more than the line."""
+    import time
+
+    line = base64.b64encode(b"\x30\x84\x10\x00\x00\x00\x02\x01\x00" + b"\x04" * 39).decode()
+    near = base64.b64encode(b"\x30\x82\x01\x00\x02\x01\x00" + b"\x04" * 41).decode()
+    key = base64.b64encode(PKCS8).decode()
+    for one in (line, near):
+        began = time.time()
+        text = (one + "\n") * 40_000 + "\n--\n" + key
+        got = [s for s in secrets.scan_text(text) if s[0] == "der"]
+        assert got == [("der", len(text) - len(key), len(text))]
+        assert time.time() - began < 4
