@@ -19,8 +19,6 @@ from jobtrail.llm.tables import keep
 
 CALLS = "tool_calls array<struct<id:string,name:string,arguments:string,after:array<string>>>"
 RESULT = "tool_call_id string, content string"
-#: Tools for which the table of schemas is broadcast; beyond it Spark shuffles.
-BROADCAST_TOOLS = 100_000
 #: Turns that are ranked together.
 CHUNK = 1024
 
@@ -59,27 +57,44 @@ def argument_errors(value: Column, params: Column) -> Column:
             .otherwise(F.array_sort(F.concat(missing, kinds, unknown))))
 
 
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Add ``occurrence``: 1, 2, ... among the rows of one conversation and call id by ``turn`` and ``order``.
+
+    Counts per ``CHUNK`` of turns are summed up first, so an id that is used again and again is not ranked in one task.
+    """
+    chunk = F.floor(F.coalesce("turn", F.lit(0)) / CHUNK)
+    rows = rows.withColumn("chunk", chunk)
+    keys = ["conv_id", "call_id"]
+    cells = rows.groupBy(*keys, "chunk").agg(F.count("*").alias("n"))
+    before = cells.select(*keys, "chunk", (F.sum("n").over(Window.partitionBy(*keys).orderBy("chunk")) - F.col("n")).alias("before"))
+    within = F.row_number().over(Window.partitionBy(*keys, "chunk").orderBy("turn", *order))
+    return rows.withColumn("within", within).join(before, [*keys, "chunk"]).withColumn("occurrence", F.col("before") + F.col("within")).drop("chunk", "within", "before")
+
+
 def levels(calls: DataFrame) -> DataFrame:
-    """``(conv_id, call_id, after)``, one row per call -> ``(conv_id, call_id, level)``: 0 for a call that needs no other,
-    else one more than the highest level it needs. Null on or behind a cycle. Names of unknown calls are ignored.
+    """``(conv_id, call_id, occurrence, after)``, one row per call -> ``(conv_id, call_id, occurrence, level)``: 0 for a call
+    that needs no other, else one more than the highest level it needs. Null on or behind a cycle. ``after`` names
+    the first call of an id; names of unknown calls are ignored.
 
     Each round settles one level and writes the calls that were still waiting, with their open needs.
     """
-    nodes = calls.select("conv_id", "call_id")
-    needs = calls.select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("need"))
-    needs = keep(needs.join(nodes.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left_semi"), "needs")
-    count = needs.groupBy("conv_id", "call_id").agg(F.count("*").alias("open"))
-    state = keep(nodes.join(count, ["conv_id", "call_id"], "left").withColumn("open", F.coalesce("open", F.lit(0))), "levels")
+    node, need = ["conv_id", "call_id", "occurrence"], ["conv_id", "need"]
+    nodes = calls.select(*node)
+    firsts = nodes.filter("occurrence = 1").select("conv_id", F.col("call_id").alias("need"))
+    needs = calls.select(*node, F.explode(F.array_distinct("after")).alias("need"))
+    needs = keep(needs.join(firsts, need, "left_semi"), "needs")
+    count = needs.groupBy(*node).agg(F.count("*").alias("open"))
+    state = keep(nodes.join(count, node, "left").withColumn("open", F.coalesce("open", F.lit(0))), "levels")
     level, done = 0, []
     while True:
         settled, waiting = state.filter("open = 0"), state.filter("open > 0")
-        done.append(settled.select("conv_id", "call_id", F.lit(level).alias("level")))
+        done.append(settled.select(*node, F.lit(level).alias("level")))
         n = state.agg(F.count_if(F.col("open") == 0).alias("settled"), F.count_if(F.col("open") > 0).alias("waiting")).first()
         if not n.settled or not n.waiting:
-            return nodes.join(reduce(DataFrame.unionByName, done), ["conv_id", "call_id"], "left")
-        met = (needs.join(settled.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"])
-               .groupBy("conv_id", "call_id").agg(F.count("*").alias("met")))
-        state = keep(waiting.join(met, ["conv_id", "call_id"], "left").select("conv_id", "call_id", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open")), "levels")
+            return nodes.join(reduce(DataFrame.unionByName, done), node, "left")
+        met = (needs.join(settled.filter("occurrence = 1").select("conv_id", F.col("call_id").alias("need")), need)
+               .groupBy(*node).agg(F.count("*").alias("met")))
+        state = keep(waiting.join(met, node, "left").select(*node, (F.col("open") - F.coalesce("met", F.lit(0))).alias("open")), "levels")
         level += 1
 
 
@@ -87,8 +102,9 @@ def link_calls(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     """``messages (conv_id, turn, role, text)``, ``schemas (tool, param, type, required)`` -> one row per call and per
     result that no call claims: ``(conv_id, call_id, name, turn, level, position, status, errors, json)``.
 
-    * ``status``: ``ok``, ``invalid`` (errors not empty), ``no_result``, ``cycle``, or ``no_call`` for a result alone. Of calls
-      with the same id the first by turn and place counts, and so for results; repeated rows count once.
+    * ``status``: ``ok``, ``invalid`` (errors not empty), ``no_result``, ``cycle``, or ``no_call`` for a result alone. Where a
+      conversation uses an id again, its n-th call (by turn and place) is linked with its n-th result; what is over
+      on either side is reported as ``no_result`` or ``no_call``. Repeated rows count once. ``after`` means the first call of an id.
     * ``position``: place of a call among those of its conversation by level, turn and place; null for cycles and results alone.
     * ``json``: ``{"arguments", "content", "id", "name"}``, null where the status is ``no_call``.
 
@@ -96,30 +112,27 @@ def link_calls(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     tables give an empty table; further columns are ignored. A parameter of a type that is none of JSON's is an error.
     """
     messages = messages.select("conv_id", "turn", "role", "text").withColumn("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
-    first = F.struct("turn", "nth", "name", "arguments", "after")
-    calls = parse_calls(messages).groupBy("conv_id", "call_id").agg(F.min(first).alias("c")).select("conv_id", "call_id", "c.*")
-    calls = keep(calls, "calls")
-    results = parse_results(messages).groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("r")).select("conv_id", "call_id", F.col("r.turn").alias("result_turn"), "r.content", F.lit(True).alias("answered"))
-    linked = calls.withColumn("called", F.lit(True)).join(results.hint("shuffle_hash"), ["conv_id", "call_id"], "full_outer")
+    calls = keep(numbered(parse_calls(messages).distinct(), ["nth", "name", "arguments", "after"]), "calls")
+    results = numbered(parse_results(messages).distinct(), ["content"])
+    results = results.select("conv_id", "call_id", "occurrence", F.col("turn").alias("result_turn"), "content", F.lit(True).alias("answered"))
+    linked = calls.withColumn("called", F.lit(True)).join(results.hint("shuffle_hash"), ["conv_id", "call_id", "occurrence"], "full_outer")
 
     tools = schemas.groupBy("tool").agg(F.sort_array(F.collect_set(F.struct("param", "type", "required"))).alias("params"))
-    small = schemas.count() <= BROADCAST_TOOLS
-    tools = F.broadcast(tools) if small else tools
     checked = linked.join(tools, linked.name == tools.tool, "left").withColumn("value", F.try_parse_json("arguments"))
     checked = checked.withColumn("errors", argument_errors(F.col("value"), F.col("params")))
 
     depth = levels(calls)
-    placed = calls.join(depth, ["conv_id", "call_id"]).filter("level is not null").select("conv_id", "call_id", "level", "turn", "nth", F.floor(F.coalesce("turn", F.lit(0)) / CHUNK).alias("chunk"))
+    placed = calls.join(depth, ["conv_id", "call_id", "occurrence"]).filter("level is not null").select("conv_id", "call_id", "occurrence", "level", "turn", "nth", F.floor(F.coalesce("turn", F.lit(0)) / CHUNK).alias("chunk"))
     cells = placed.groupBy("conv_id", "level", "chunk").agg(F.count("*").alias("n"))
     before = cells.select("conv_id", "level", "chunk", (F.sum("n").over(Window.partitionBy("conv_id").orderBy("level", "chunk")) - F.col("n")).alias("before"))
-    within = F.row_number().over(Window.partitionBy("conv_id", "level", "chunk").orderBy("turn", "nth", "call_id"))
-    placed = placed.withColumn("within", within).join(before, ["conv_id", "level", "chunk"]).select("conv_id", "call_id", "level", (F.col("before") + F.col("within") - 1).alias("position"))
+    within = F.row_number().over(Window.partitionBy("conv_id", "level", "chunk").orderBy("turn", "nth", "call_id", "occurrence"))
+    placed = placed.withColumn("within", within).join(before, ["conv_id", "level", "chunk"]).select("conv_id", "call_id", "occurrence", "level", (F.col("before") + F.col("within") - 1).alias("position"))
 
     status = (F.when(F.col("called").isNull(), "no_call").when(F.col("position").isNull(), "cycle").when(F.size("errors") > 0, "invalid")
               .when(F.col("answered").isNull(), "no_result").otherwise("ok"))
     quoted = lambda c: F.coalesce(F.to_json(F.to_variant_object(F.array(F.col(c)))), F.lit("[null]"))
     bare = lambda c: F.expr(f"substring(q_{c}, 2, length(q_{c}) - 2)")
-    out = checked.join(placed, ["conv_id", "call_id"], "left")
+    out = checked.join(placed, ["conv_id", "call_id", "occurrence"], "left")
     out = out.withColumns({"q_content": quoted("content"), "q_call_id": quoted("call_id"), "q_name": quoted("name")})
     line = F.concat(F.lit('{"arguments":'), F.coalesce(F.to_json("value"), F.lit("null")), F.lit(',"content":'), bare("content"), F.lit(',"id":'), bare("call_id"), F.lit(',"name":'), bare("name"), F.lit("}"))
     return out.select("conv_id", "call_id", "name", F.coalesce("turn", "result_turn").alias("turn"), "level", "position", status.alias("status"),

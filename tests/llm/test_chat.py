@@ -10,7 +10,11 @@ SCHEMAS = [("f", "q", "string", True), ("f", "z", "integer", False), ("f", "b",
 def link(spark, rows):
     messages = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, json string")
     schemas = spark.createDataFrame(SCHEMAS, "tool string, param string, type string, required boolean")
-    return {(r.conv_id, r.call_id): r for r in chat.link_calls(messages, schemas).collect()}
+    found = chat.link_calls(messages, schemas).collect()
+    out = {}
+    for r in sorted(found, key=lambda r: (r.turn is not None, r.turn)):
+        out.setdefault((r.conv_id, r.call_id), []).append(r)
+    return {**{k: v[0] for k, v in out.items()}, **{(*k, i): r for k, v in out.items() for i, r in enumerate(v)}}
 
 
 def call(*calls):
@@ -32,14 +36,33 @@ def test_links_order_and_errors(spark):
     a = got["1", "a"]
     assert (a.status, a.level, a.position, a.turn) == ("ok", 0, 0, 0)
     assert a.json == '{"arguments":{"b":{"a":"é\\n\\"","y":[1,2.5,null]},"q":"x","z":1},"content":"first","id":"a","name":"f"}'
+    later = got["1", "a", 1]
+    assert (later.status, later.turn, json.loads(later.json)["content"], json.loads(later.json)["arguments"]) == ("ok", 4, "second", {"q": "later call of the same id"})
     assert (got["1", "b"].status, got["1", "b"].errors, got["1", "b"].level) == ("invalid", "type q", 1)
-    assert (got["1", "c"].errors, got["1", "c"].level, got["1", "c"].position) == ("unknown tool", 2, 3)
-    assert got["1", "d"].errors == "missing q; unknown w" and got["1", "d"].position == 1
+    assert (got["1", "c"].errors, got["1", "c"].level, got["1", "c"].position) == ("unknown tool", 2, 4)
+    assert got["1", "d"].errors == "missing q; unknown w" and (later.position, got["1", "d"].position) == (1, 2)
     assert (got["1", "zz"].status, got["1", "zz"].json, got["1", "zz"].turn) == ("no_call", None, 3)
     assert [got["2", x].status for x in "abc"] == ["cycle"] * 3 and got["2", "b"].errors == "no object"
     assert got["", "n"].status == "no_result"
 
 
+def test_ids_used_again(spark):
+    """Traffic that starts its ids anew each turn loses no call and no result."""
+    rows = []
+    for t in range(0, 6000, 3):
+        rows += [(1, t, "assistant", call(("call_0", "f", {"q": str(t)}, []), ("call_1", "f", {"q": "x"}, ["call_0"]))),
+                 (1, t + 1, "tool", json.dumps({"tool_call_id": "call_0", "content": f"r{t}"}))]
+    rows += [(1, 9000, "tool", json.dumps({"tool_call_id": "call_0", "content": "surplus"})), (2, 0, "tool", json.dumps({"tool_call_id": "call_0", "content": "other"}))]
+    got = link(spark, rows)
+    for i, t in enumerate(range(0, 6000, 3)):
+        r = got["1", "call_0", i]
+        assert (r.status, r.turn, r.level) == ("ok", t, 0) and json.loads(r.json)["content"] == f"r{t}" and json.loads(r.json)["arguments"] == {"q": str(t)}
+        assert (got["1", "call_1", i].status, got["1", "call_1", i].level) == ("no_result", 1)
+    assert (got["1", "call_0", 2000].status, got["1", "call_0", 2000].turn) == ("no_call", 9000) and got["2", "call_0"].status == "no_call"
+    positions = [r.position for k, r in got.items() if len(k) == 3 and r.position is not None]
+    assert sorted(positions) == list(range(4000))
+
+
 def test_empty(spark):
     assert link(spark, []) == {}
 
