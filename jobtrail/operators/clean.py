@@ -10,7 +10,8 @@ An element ends with its end tag or when an ancestor ends, so a page that never
 closes a ``<nav>`` or ``<form>`` loses that element only, not the rest of the page.
 Which end tags may close what follows the HTML standard's scopes: a block's end
 tag closes what is open inside it, but not through a table cell; an inline end tag
-never closes a block; ``</form>`` ends the form but not the elements open in it.
+never closes a block; ``</form>`` ends the form but not the elements open in it. Text inside a
+table but in no cell or caption stands before the table.
 
 Only this step runs in Python: a stdlib ``html.parser`` tokenizer inside an
 Arrow-batched ``pandas_udf``. Nested removed elements and unclosed tags need a
@@ -50,6 +51,8 @@ _SVG_BREAKERS = frozenset("""b big blockquote body br center code dd div dl dt e
 # A start tag on the left ends an open element on the right within the same table.
 _CELL_ENDS = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "tbody": ("tbody", "thead", "tfoot"),
               "thead": ("tbody", "thead", "tfoot"), "tfoot": ("tbody", "thead", "tfoot")}
+# What text belongs to inside a table: a cell, a caption, or else the table itself.
+_TABLE_HOLDERS = ("td", "th", "caption", "table", "template")
 _HTML_WS = " \t\n\f\r"
 # Fixed value: the ECMAScript `\s` set (same as functions.text.JS_WS_CLASS).
 _JS_WS_RUN = re.compile("[\t\n\x0b\x0c\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+")
@@ -60,6 +63,8 @@ class _PageText(HTMLParser):
         super().__init__(convert_charrefs=True)
         # open elements: (tag, whether its text is removed)
         self.stack: list[tuple[str, bool]] = []
+        # for each open table: how much of the body's text stands before it
+        self.before: list[int] = []
         self.in_body = False
         self.in_title = False
         self.head: list[str] = []
@@ -81,6 +86,15 @@ class _PageText(HTMLParser):
     def _pop_to(self, k: int) -> None:
         if k >= 0:
             del self.stack[k:]
+            del self.before[sum(t == "table" for t, _ in self.stack):]
+
+    def _add(self, data: str) -> None:
+        """Text of the body; what a table cannot hold goes before it. Blanks stay where they are."""
+        if self.before and data.strip(_HTML_WS) and self.stack[self._find(_TABLE_HOLDERS, ())][0] == "table":
+            self.body.insert(self.before[-1], data)
+            self.before[-1] += 1
+        else:
+            self.body.append(data)
 
     def handle_starttag(self, tag, attrs):
         if not self.in_body and (tag == "body" or tag not in _PRE_BODY):
@@ -96,13 +110,15 @@ class _PageText(HTMLParser):
         if tag in _VOID or tag == "form" and any(t == "form" for t, _ in self.stack) or tag in ("html", "body", "head"):
             return
         self.stack.append((tag, tag in REMOVED_ELEMENTS or bool(self.stack) and self.stack[-1][1]))
+        if tag == "table":
+            self.before.append(len(self.body))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         # the self-closing flag only counts on foreign elements
         if tag == "svg" or any(t == "svg" for t, _ in self.stack[:-1]):
             if self.stack and self.stack[-1][0] == tag:
-                self.stack.pop()
+                self._pop_to(len(self.stack) - 1)
 
     def handle_endtag(self, tag):
         if tag == "title":
@@ -122,7 +138,7 @@ class _PageText(HTMLParser):
         if self.stack and self.stack[-1][1]:
             return
         if self.in_body:
-            self.body.append(data)
+            self._add(data)
         elif self.in_title or not data.strip(_HTML_WS):
             self.head.append(data)
         else:  # text outside the head elements opens the body

@@ -73,3 +73,23 @@ def robots_gate(urls: DataFrame, rules: DataFrame, url_col: str = "url", canon_c
     j = j.withColumn("allow_len", F.col("_best.allow")).withColumn("disallow_len", F.col("_best.disallow"))
     return j.withColumn("robots_allowed", (F.col("disallow_len") == -1) | (F.col("allow_len") >= F.col("disallow_len"))) \
             .drop("_origin", "_path", "rules", "_best", "_canon")
+
+
+def robots_gate_indexed(urls: DataFrame, rules: DataFrame, id_col: str, url_col: str = "url") -> DataFrame:
+    """``robots_gate`` for origins with very many rules: each path is looked up by its own beginnings.
+
+    A path is cut to the lengths that prefixes of its origin have, and these beginnings meet the rules in an equality
+    join; a URL costs as many look-ups as there are lengths, however many rules the origin has. ``id_col`` names the
+    rows. The lengths of an origin are a set bounded by its longest prefix.
+    """
+    canon = with_canonical_url(urls, url_col, "_canon")
+    paths = canon.select(F.col(id_col).alias("_id"), url_origin(F.col("_canon")).alias("origin"), url_path(F.col("_canon")).alias("_path"))
+    distinct = rules.select("origin", "kind", "prefix").distinct()
+    lengths = distinct.groupBy("origin").agg(F.collect_set(F.length("prefix")).alias("_lengths"))
+    begun = paths.join(lengths, "origin").select("_id", "origin", "_path", F.explode(F.filter("_lengths", lambda n: n <= F.length("_path"))).alias("_n"))
+    probes = begun.select("_id", "origin", "_n", F.expr("substring(_path, 1, _n)").alias("prefix"))
+    longest = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("_n")))
+    found = probes.join(distinct, ["origin", "prefix"]).groupBy("_id").agg(longest("allow").alias("allow_len"), longest("disallow").alias("disallow_len"))
+    out = urls.join(found, F.col(id_col) == F.col("_id"), "left").drop("_id").withColumns(
+        {c: F.coalesce(c, F.lit(-1)) for c in ("allow_len", "disallow_len")})
+    return out.withColumn("robots_allowed", (F.col("disallow_len") == -1) | (F.col("allow_len") >= F.col("disallow_len")))

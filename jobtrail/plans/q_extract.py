@@ -57,6 +57,19 @@ def q_clean_pages_nested(spark, d):
     return clean_pages(pages).select("page_id", "page_text")
 
 
+# text that a table cannot hold stands before the table; what its cells hold stays
+TABLES = ("<table>T1 <tr>T2 <td>T3 <table>T4 <tr><td>T5 </td></tr>T6 </table>T7 </td></tr><b>T8 <i>T9 </i></b><caption>T10 </caption>"
+          "<form>gone</form><script>gone</script> <tbody><tr><th>T11 </th>T12 </tr></tbody></table>T13 ")
+TABLES_TEXT = "T1 T2 T8 T9 T12 T3 T4 T6 T5 T7 T10 T11 T13 "
+
+
+@query("clean_pages_tables", with_views("v_snapshots") + f"""
+select page_id, {clean_html(f"replace(html, '<body>', '<body>{TABLES_TEXT}')")} as page_text from v_snapshots""")
+def q_clean_pages_tables(spark, d):
+    pages = fixtures.snapshots(spark, d).withColumn("html", F.replace("html", F.lit("<body>"), F.lit("<body>" + TABLES)))
+    return clean_pages(pages).select("page_id", "page_text")
+
+
 # ------------------------------------------------------------------ X1
 @query("tag_keywords", with_views("v_docs") + f"select doc_id, {tags('lower(text)')} as tech from v_docs")
 def q_tag_keywords(spark, d):
@@ -68,18 +81,18 @@ def q_tag_keywords_automaton(spark, d):
     return tag_many(fixtures.docs(spark, d), TECH_KEYWORDS, "text", "tech").select("doc_id", _joined("tech"))
 
 
-# a list that grows with the data: the distinct names of all parts as keywords, searched in what refers to them
-@query("tag_part_names", """
-select l.l_orderkey, l.l_linenumber, lower(p.p_name) as named
+# keywords from a table: the part types (a closed vocabulary, however many parts there are)
+@query("tag_part_types", """
+select l.l_orderkey, l.l_linenumber, lower(p.p_type) as named
 from lineitem l join part p on p.p_partkey = l.l_partkey where l.l_linenumber = 1""")
-def q_tag_part_names(spark, d):
-    part = read_table(spark, d, "part").select("p_partkey", "p_name")
-    names = [r[0] for r in part.select(F.lower("p_name")).distinct().orderBy(F.lower("p_name")).collect()]
+def q_tag_part_types(spark, d):
+    part = read_table(spark, d, "part").select("p_partkey", "p_type")
+    names = [r[0] for r in part.select(F.lower("p_type")).distinct().orderBy(F.lower("p_type")).collect()]
     li = read_table(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_partkey")
     texts = li.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
-        "l_orderkey", "l_linenumber", F.concat(F.lit("order of <"), F.upper("p_name"), F.lit(">, urgent")).alias("text"))
+        "l_orderkey", "l_linenumber", F.concat(F.lit("order of <"), F.upper("p_type"), F.lit(">, urgent")).alias("text"))
     tagged = tag_many(texts, names, "text", "tech", limit=None)
-    # the longest tag is the name itself; names within names are tags, too
+    # the longest tag is the type itself; types within types are tags, too
     longest = F.array_max(F.transform("tech", lambda t: F.struct(F.length(t).alias("n"), F.lower(t).alias("t"))))
     return tagged.select("l_orderkey", "l_linenumber", longest["t"].alias("named"))
 

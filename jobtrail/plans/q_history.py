@@ -12,8 +12,10 @@ from jobtrail import fixtures
 from jobtrail.operators.dedupe import content_key, insert_new
 from jobtrail.operators.history import (KeyHistory, accepted, day_filters, only_unseen_clustered, only_unseen_sketched,
                                         write_day_filters)
+from jobtrail.operators.search import text_search, trigram_index, with_source
 from jobtrail.plans.oracle_views import with_views
 from jobtrail.plans.q_extract import CAND_ORDER, CYCLE_ID, NOW
+from jobtrail.plans.q_search import TEXT
 from jobtrail.plans.registry import ORACLES, query
 from jobtrail.sources.tables import newest_postings, remove_postings
 from jobtrail.sources.workspace import new_folder
@@ -98,3 +100,12 @@ select content_hash, first_seen_at from (select content_hash, date_trunc('month'
 order by first_seen_at desc, content_hash limit 2000""")
 def q_newest_stored(spark, d):
     return newest_postings(spark, stored_jobs(spark, d), 2000, ["content_hash", "first_seen_at"]).select("content_hash", "first_seen_at")
+
+
+# ------------------------------------------------------------------ P10 through a trigram index
+@query("search_text_indexed", ORACLES["search_text"])
+def q_search_text_indexed(spark, d):
+    path, index = stored_jobs(spark, d), new_folder(spark, "trigrams")
+    jobs, sources = spark.read.parquet(path), fixtures.supplier_sources(spark, d)
+    trigram_index(with_source(jobs, sources)).write.parquet(index)
+    return text_search(jobs, sources, spark.read.parquet(index), TEXT).select("content_hash")

@@ -10,9 +10,9 @@ from jobtrail import fixtures
 from jobtrail.functions.urls import with_canonical_url
 from jobtrail.operators.cycle import latest_status, route_sources
 from jobtrail.operators.registry import cascade_postings, register_sources, remove_sources, validate_submissions
-from jobtrail.operators.robots import robots_gate, robots_rules
+from jobtrail.operators.robots import robots_gate, robots_gate_indexed, robots_rules
 from jobtrail.plans.oracle_views import add_view, trim_js, with_views
-from jobtrail.plans.registry import query
+from jobtrail.plans.registry import ORACLES, query
 from jobtrail.sources.tables import cycle_sources, list_sources, read_table
 
 NOW = datetime(2025, 1, 1, 12, 0, 0)
@@ -195,3 +195,10 @@ def q_robots_gate(spark, d):
     g = robots_gate(fixtures.tracked(spark, d), robots_rules(fixtures.robots(spark, d)))
     return g.select("id", F.col("allow_len").cast("long").alias("allow_len"),
                     F.col("disallow_len").cast("long").alias("disallow_len"), "robots_allowed")
+
+
+@query("robots_gate_indexed", ORACLES["robots_gate"])
+def q_robots_gate_indexed(spark, d):
+    g = robots_gate_indexed(fixtures.tracked(spark, d), robots_rules(fixtures.robots(spark, d)), "id")
+    return g.select("id", F.col("allow_len").cast("long").alias("allow_len"),
+                    F.col("disallow_len").cast("long").alias("disallow_len"), "robots_allowed")

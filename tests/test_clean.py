@@ -37,3 +37,13 @@ def test_udf_matches_helper(spark):
     df = spark.createDataFrame([(i, h) for i, h in enumerate(html)], "page_id long, html string")
     got = {r.page_id: r.page_text for r in clean_pages(df).collect()}
     assert got == {i: page_text(h) for i, h in enumerate(html)}
+
+
+def test_text_that_a_table_cannot_hold():
+    from jobtrail.operators.clean import page_text
+    from jobtrail.plans.q_extract import TABLES, TABLES_TEXT
+
+    for html, want in ((TABLES, TABLES_TEXT.strip()), ("a <table>b <tr><td>c </td></tr>d </table>e", "a b d c e"), ("<table><tr><td>x</td></tr></table>", "x"),
+                       ("<table>  <tr> <td>x</td> </tr></table>y", "x y"), ("<table><tr><td>1 <table>2 <tr><td>3 </td>4 </tr></table></td></tr>5 </table>", "5 1 2 4 3"),
+                       ("<nav><table>gone</table></nav>kept <table>t", "kept t"), ("<table><form>gone</form>t <tr><td>c", "t c"), ("<table></table>after", "after")):
+        assert page_text("<body>" + html + "</body>").replace("  ", " ") == want, html

@@ -69,3 +69,18 @@ def test_copies_and_versions_of_one_file(spark):
     assert [(x.kind, x.prefix) for x in rules] == [("disallow", "/x")]
     u = spark.createDataFrame([("1", "https://a.example/x1"), ("2", "https://a.example/y")], "id string, url string")
     assert {x.id: x.robots_allowed for x in robots_gate(u, robots_rules(r)).collect()} == {"1": False, "2": True}
+
+
+def test_indexed_gate_equals_the_pass_over_rules(spark):
+    import random
+
+    from jobtrail.operators.robots import robots_gate, robots_gate_indexed
+
+    rnd = random.Random(3)
+    path = lambda: "/" + "".join(rnd.choice("ab/") for _ in range(rnd.randrange(0, 8)))
+    rules = [("https://a.example", i, rnd.choice(["allow", "disallow"]), path()) for i in range(400)] + [("https://b.example", 1, "disallow", "/"), ("https://b.example", 2, "disallow", "/")]
+    urls = [(i, f"https://{rnd.choice('abc')}.example{path()}?q") for i in range(300)] + [(900, None), (901, "no url"), (902, "https://a.example")]
+    r = spark.createDataFrame(rules, "origin string, line_no int, kind string, prefix string")
+    u = spark.createDataFrame(urls, "id int, url string")
+    pick = lambda d: sorted((x.id, x.allow_len, x.disallow_len, x.robots_allowed) for x in d.collect())
+    assert pick(robots_gate_indexed(u, r, "id")) == pick(robots_gate(u, r))

@@ -80,3 +80,27 @@ def test_date_filter_reaches_the_scan(spark, scratch):
     assert "raw_text" not in plan
     q = search(stored, srcs(spark), start_date="2024-05-01", columns=cols)
     assert [r.content_hash for r in q.collect()] == ["b"]
+
+
+def test_trigram_search_equals_the_filter(spark, scratch):
+    import random
+    from datetime import date
+
+    from jobtrail.operators.search import text_candidates, text_filter, text_search, trigram_index, with_source
+
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcé ") for _ in range(rnd.randrange(0, 9)))
+    jobs = spark.createDataFrame([(f"h{i}", str(i % 5), word().upper(), word(), date(2024, 1, 1 + i % 20)) for i in range(400)] + [("hx", "9", None, None, date(2024, 3, 1))],
+                                 "content_hash string, tracked_url_id string, company_name string, job_title string, first_seen_date date")
+    sources = spark.createDataFrame([(str(i), f"https://s{i}.example", None if i % 2 else "Lbl", "company_page") for i in range(5)], "id string, url string, label string, source_type string")
+    jobs.write.partitionBy("first_seen_date").parquet(f"{scratch}/p")
+    stored = spark.read.parquet(f"{scratch}/p")
+    trigram_index(with_source(stored, sources)).write.parquet(f"{scratch}/i")
+    index = spark.read.parquet(f"{scratch}/i")
+    for needle in ("abc", "ABCA", "é a", "s3.example lbl", "a https", "no such text", "ab", "", None, "aaaa"):
+        want = sorted(r.content_hash for r in text_filter(with_source(stored, sources), needle).collect())
+        assert sorted(r.content_hash for r in text_search(stored, sources, index, needle).collect()) == want, needle
+    some = text_search(stored, sources, index, "abca")
+    days = {r.first_seen_date for r in text_candidates(index, "abca").collect()}
+    filters = some._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert len(days) < 21 and all(str(d) in filters for d in days)
