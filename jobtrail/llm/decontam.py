@@ -240,7 +240,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, min_match: int = 5
 
         def run(batches, shared=shared):
             index = shared.value
-            for b in batches:
+            for b in tk.slices(batches):
                 ids = b.column("doc_id")
                 got = [(ids[r].as_py(), index.ids[i], n, int(index.words[i]), n / int(index.words[i])) for r, i, n in index.matches(b.column("text"))]
                 got = [x for x in got if x[4] >= min_coverage]
@@ -261,7 +261,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, min
 
         def run(batches, shared=shared):
             index = shared.value
-            for b in batches:
+            for b in tk.slices(batches):
                 clean = np.ones(b.num_rows, bool)
                 for r, i, n in index.matches(b.column(tested)):
                     clean[r] &= n / int(index.words[i]) < min_coverage

@@ -57,6 +57,13 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return bytes_[lo:hi], (offs - lo if len(column) else np.zeros(1, np.int64))
 
 
+def slices(batches, rows: int = 1024):
+    """Arrow batches in slices of so many rows: what is computed for one at a time stays small beside the batch."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     upper = (data >= 0x41) & (data <= 0x5A)
     return data + (upper.astype(np.uint8) << 5)
