@@ -17,17 +17,19 @@ not shuffled.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from jobtrail.llm import textkit as tk
 
 BLOCK_WORDS = 2_000_000
+#: Texts of a batch that are looked at together.
+SLICE = 1024
 #: Pairs of places (text, item) that are laid out at once; matches above which superfluous ones are dropped.
 _PAIRS = 1 << 21
 
@@ -240,32 +242,40 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, min_match: int = 5
 
         def run(batches, shared=shared):
             index = shared.value
-            for b in tk.slices(batches):
+            for b in tk.slices(batches, SLICE):
                 ids = b.column("doc_id")
                 got = [(ids[r].as_py(), index.ids[i], n, int(index.words[i]), n / int(index.words[i])) for r, i, n in index.matches(b.column("text"))]
                 got = [x for x in got if x[4] >= min_coverage]
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), [pa.int64()] * 4 + [pa.float64()])], ["doc_id", "item_id", "matched_words", "item_words", "coverage"])
 
-        out = out.unionByName(texts.mapInArrow(run, schema))
+        out = out.unionByName(texts.mapInArrow(tk.tidy(run), schema))
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, min_coverage: float = 0.6) -> DataFrame:
     """The rows of ``docs`` (all columns, any names beside ``text``) that no benchmark item contaminates. Null and empty
-    texts stay."""
-    tested = "_".join(["tested", *docs.columns])
-    out = docs.withColumn(tested, plain_words(F.col("text")))
+    texts stay. Only the text's words go to the Python workers; the rows stay where they are."""
+    out = docs
     for seeds in _blocks(benchmark, min_match):
-        shared = docs.sparkSession.sparkContext.broadcast(seeds)
+        clean = F.arrow_udf(_clean(docs.sparkSession.sparkContext.broadcast(seeds), min_coverage), "boolean")
+        out = out.filter(clean(plain_words(F.col("text"))))
+    return out
 
-        def run(batches, shared=shared):
-            index = shared.value
-            for b in tk.slices(batches):
-                clean = np.ones(b.num_rows, bool)
-                for r, i, n in index.matches(b.column(tested)):
-                    clean[r] &= n / int(index.words[i]) < min_coverage
-                yield b.filter(pa.array(clean))
-
-        out = out.mapInArrow(run, T.StructType(out.schema.fields))
-    return out.drop(tested)
+
+def _clean(shared: Broadcast, min_coverage: float) -> Callable:
+    """For each text of Arrow arrays whether no item of the seeds ``shared`` is covered."""
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        index = shared.value
+        try:
+            for text in texts:
+                clean = np.ones(len(text), bool)
+                for lo in range(0, len(text), SLICE):
+                    for r, i, n in index.matches(text.slice(lo, SLICE)):
+                        clean[lo + r] &= n / int(index.words[i]) < min_coverage
+                yield pa.array(clean)
+        finally:
+            tk.release()
+
+    return run

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from jobtrail.llm import textkit as tk
 from jobtrail.llm.tables import keep
 
 ORDER = 4
@@ -111,7 +112,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 names = pa.array(lang.categories, pa.string()).take(pa.array(of))
                 yield pa.RecordBatch.from_arrays([names, pa.array(contexts[gram]), pa.array(letters[gram].astype(np.int32)), pa.array(np.bincount(which, minlength=len(pairs)))], ["lang", "context", "letter", "n"])
 
-    return (docs.filter("lang is not null and text is not null").select("lang", "text").mapInArrow(run, "lang string, context long, letter int, n long")
+    return (docs.filter("lang is not null and text is not null").select("lang", "text").mapInArrow(tk.tidy(run), "lang string, context long, letter int, n long")
             .groupBy("lang", "context", "letter").agg(F.sum("n").alias("n")))
 
 
@@ -248,7 +249,7 @@ def cross_entropies(docs: DataFrame, models: KneserNey, columns: list[str]) -> D
                 [*columns, "chars", "lang_pred", "entropy", "score"])
 
     scores = T.StructType().add("chars", "long").add("lang_pred", "string").add("entropy", "double").add("score", "double")
-    return docs.select(*columns, "text").mapInArrow(run, T.StructType([docs.schema[x] for x in columns] + scores.fields))
+    return docs.select(*columns, "text").mapInArrow(tk.tidy(run), T.StructType([docs.schema[x] for x in columns] + scores.fields))
 
 
 def identify(docs: DataFrame, learn: str, columns: list[str]) -> DataFrame:

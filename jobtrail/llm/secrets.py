@@ -303,7 +303,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             spans = [[dict(zip(("kind", "start", "end"), s)) for s in x] for x in _scan_batch(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(spans, _SPANS)], ["doc_id", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, spans {SPANS}")
+    return docs.select("doc_id", "text").mapInArrow(tk.tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, spans {SPANS}")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -335,4 +335,4 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
                 b = b.set_column(i, b.schema.field(i), pa.array(out, texts.type))
             yield b
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    return docs.mapInArrow(tk.tidy(run), T.StructType(docs.schema.fields))

@@ -6,6 +6,9 @@ memory stays bounded by the batch and no Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 
@@ -64,6 +67,26 @@ def slices(batches, rows: int = 1024):
             yield b.slice(lo, rows)
 
 
+def release() -> None:
+    """Give freed memory back to the system. Spark keeps a worker for later stages, and allocators keep what they had."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` over the batches of a task, with ``release`` behind it."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     upper = (data >= 0x41) & (data <= 0x5A)
     return data + (upper.astype(np.uint8) << 5)
