@@ -157,7 +157,10 @@ def _blocks(table: DataFrame, names: list[str], values: list[str]) -> list:
     """A kept ``(lang, context, letter, *values)`` table as broadcast blocks."""
     spark = table.sparkSession
     blocks = max(1, -(-table.count() // BLOCK_ROWS))
-    return [spark.sparkContext.broadcast(Block(table.filter(F.expr(f"pmod(xxhash64(context, letter), {blocks}) = {k}")).toArrow(), names, values)) for k in range(blocks)]
+    if blocks > 1:  # each block reads its own files
+        table = keep(table.withColumn("block", F.expr(f"int(pmod(xxhash64(context, letter), {blocks}))")), "blocks", by="block")
+    part = lambda k: table.filter(F.col("block") == k) if blocks > 1 else table
+    return [spark.sparkContext.broadcast(Block(part(k).toArrow(), names, values)) for k in range(blocks)]
 
 
 def _load(shared) -> Block:

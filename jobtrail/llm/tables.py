@@ -26,15 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet under ``spark.checkpoint.dir`` and read it back.
 
     Cuts the lineage and computes ``df`` once for several consumers; a lost executor loses
-    nothing, because the folder is shared. ``forget`` deletes it when nothing reads it any more, ``made`` a whole group.
+    nothing, because the folder is shared. ``by`` parts the files by a column, so that a filter on it opens the files
+    of its value only. ``forget`` deletes it when nothing reads it any more, ``made`` a whole group.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.repartition(by).write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_at = path
     for paths in _open:

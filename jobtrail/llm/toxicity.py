@@ -5,8 +5,7 @@ bytes, hashed into ``BUCKETS`` embeddings. A misspelled word shares most subword
 A passage of ``PASSAGE`` words is the mean of its subword embeddings, the softmax scores passages, and
 a text is as toxic as its most toxic passage, so that long texts do not dilute a few words.
 
-Training reads at most ``SAMPLE`` texts of each label, chosen by a hash of the id; that bound is a
-parameter. Embeddings and softmax start on all passages with their text's label, then follow the most
+Training reads at most ``sample`` texts of each label (``SAMPLE`` unless given), chosen by a hash of the id. Embeddings and softmax start on all passages with their text's label, then follow the most
 toxic passage of each text. A logistic curve on the scores of sampled texts left out of that, weighted
 by the labels' true shares over all labelled rows, makes them probabilities.
 """
@@ -189,27 +188,27 @@ def train(texts: list[str], labels: np.ndarray, share: float) -> Model:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: str) -> Model:
-    """Model from the labelled rows of ``docs (doc_id, text)`` whose ``doc_id`` satisfies ``learn``."""
+def fit(docs: DataFrame, labels: DataFrame, learn: str, sample: int = SAMPLE) -> Model:
+    """Model from at most ``sample`` texts of each label among the labelled rows of ``docs (doc_id, text)`` whose ``doc_id`` satisfies ``learn``."""
     named = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter(learn)
     shares = {r.toxic: r["count"] for r in named.groupBy("toxic").count().collect()}  # two rows
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    sample = named.filter("toxic = 1").orderBy(*order).limit(SAMPLE).unionByName(named.filter("toxic = 0").orderBy(*order).limit(SAMPLE))
-    # at most 2 * SAMPLE ids: small enough to be broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").filter("text is not null").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").collect()
+    chosen = named.filter("toxic = 1").orderBy(*order).limit(sample).unionByName(named.filter("toxic = 0").orderBy(*order).limit(sample))
+    # at most 2 * sample ids: small enough to be broadcast
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text is not null").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").collect()
     if not {r.toxic for r in rows} >= {0, 1}:
         return Model(np.zeros(BUCKETS), 0.0, 0.0, -30.0 if shares.get(0) else 0.0)
     return train([r.text for r in rows], np.array([r.toxic for r in rows]), shares[1] / (shares[0] + shares[1]))
 
 
-def classify(docs: DataFrame, labels: DataFrame, learn: str) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, learn: str, sample: int = SAMPLE) -> DataFrame:
     """``docs (doc_id, text)``, ``labels (doc_id, toxic)`` -> ``(doc_id, score)``, one row for each row of ``docs``.
 
     Null labels count as absent; of several labels of a document the largest counts. A null text
     scores like an empty one. Without labels of both kinds every score is the same. Further columns of
-    either table are ignored.
+    either table are ignored. Texts are scored whole, a long one piece by piece.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, learn))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, learn, sample))
 
     def run(batches):
         for b in batches:

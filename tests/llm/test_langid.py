@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from jobtrail.llm import langid, queries
-from jobtrail.llm.tables import read
+from jobtrail.llm.tables import keep, read
 
 
 def plain_grams(text):
@@ -122,3 +122,19 @@ def test_letters_above_the_basic_plane_differ(spark):
     for i, lang, t in rows[::5]:
         log2p = plain_model(counts[lang], alphabet)
         assert got[i].entropy == pytest.approx(-np.mean([log2p(g) for g in plain_grams(t)]))
+
+
+def test_blocks_read_their_own_files(spark, monkeypatch):
+    rows = [(1, "xx", "plain words of a short text"), (2, "yy", "und ein anderer kurzer Satz")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    whole = langid.train(docs)
+    monkeypatch.setattr(langid, "BLOCK_ROWS", 10)
+    written = []
+    monkeypatch.setattr(langid, "keep", lambda df, name, by=None: written.append((name, by, keep(df, name, by))) or written[-1][2])
+    parted = langid.train(docs)
+    _, by, table = next(w for w in written if w[0] == "blocks")
+    assert by == "block" and len(parted.orders[0][2]) > 3 and table.inputFiles() and all("block=" in f for f in table.inputFiles())
+    plan = table.filter("block = 1")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(block" in plan
+    context, letter, _ = next(langid.grams([r[2] for r in rows]))
+    assert np.array_equal(whole.log2p(context, letter), parted.log2p(context, letter))

@@ -58,3 +58,12 @@ def test_edges(spark):
     assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
     assert len({r.score for r in toxicity.classify(docs, labels.limit(0), "true").collect()}) == 1
     assert toxicity.classify(docs.limit(0), labels, "true").collect() == []
+
+
+def test_sample_bounds_each_label(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "doc_id long, toxic int")
+    seen = {}
+    monkeypatch.setattr(toxicity, "train", lambda texts, y, share: seen.update(n=np.bincount(y).tolist(), share=share))
+    toxicity.fit(docs, labels, "true", sample=7)
+    assert seen == {"n": [7, 7], "share": 0.25}
