@@ -47,3 +47,25 @@ def test_text_that_a_table_cannot_hold():
                        ("<table>  <tr> <td>x</td> </tr></table>y", "x y"), ("<table><tr><td>1 <table>2 <tr><td>3 </td>4 </tr></table></td></tr>5 </table>", "5 1 2 4 3"),
                        ("<nav><table>gone</table></nav>kept <table>t", "kept t"), ("<table><form>gone</form>t <tr><td>c", "t c"), ("<table></table>after", "after")):
         assert page_text("<body>" + html + "</body>").replace("  ", " ") == want, html
+
+
+def test_pages_are_cleaned_in_slices(spark):
+    import pyarrow as pa
+
+    from jobtrail.operators.clean import SLICE_ROWS, _texts
+
+    html = [None if i % 7 == 0 else f"<nav>m</nav><p>page {i} \u4e2d</p>" for i in range(3 * SLICE_ROWS + 5)]
+    taken = []
+
+    def batches():
+        for part in (html[:SLICE_ROWS + 1], [], html[SLICE_ROWS + 1:]):
+            taken.append(len(part))
+            yield pa.array(part, pa.string())
+
+    out = _texts(batches(), 8)
+    first = next(out)
+    assert len(first) <= SLICE_ROWS and len(taken) == 1  # the texts leave before the next batch is read
+    parts = [first, *out]
+    assert max(map(len, parts)) <= SLICE_ROWS and [t for a in parts for t in a.to_pylist()] == [page_text(h, 8) for h in html]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(html)], "page_id long, html string").coalesce(1)
+    assert {r.page_id: r.page_text for r in clean_pages(df).collect()} == {i: page_text(h) for i, h in enumerate(html)}
