@@ -27,8 +27,10 @@ ORDER = 4
 BITS = 21
 #: Rows of a model table that are collected, broadcast and looked up at once.
 BLOCK_ROWS = 1 << 20
-#: Characters handled at once; longer texts are cut before a character that is no letter.
+#: Longer texts are cut before a character that is no letter.
 SEGMENT = 1 << 20
+#: Characters gathered before their n-grams are formed; a longer segment is handled alone.
+PIECE = 1 << 18
 #: A text is rejected when its cross-entropy is ``LEAST_EXCESS`` bits above the mean and its scaled excess above
 #: ``SLACK`` times the 99.9th percentile.
 SLACK = 3.0
@@ -67,7 +69,7 @@ def grams(texts: list[str | None]):
         for s in _segments((text or "").lower()):
             held.append((i, s))
             size += len(s)
-            if size >= SEGMENT:
+            if size >= PIECE:
                 yield _pack(held)
                 held, size = [], 0
     if held:
@@ -103,7 +105,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     """``(lang, text)`` -> ``(lang, context, letter, n)`` over all rows with a language."""
 
     def run(batches):
-        for b in batches:
+        for b in tk.slices(batches):
             lang = pd.Categorical(b.column("lang").to_pylist())
             for context, letter, owner in grams(b.column("text").to_pylist()):
                 ids, contexts, letters = _distinct(context, letter)
@@ -224,7 +226,7 @@ def cross_entropies(docs: DataFrame, models: KneserNey, columns: list[str]) -> D
         none = np.zeros(0, np.int64)
         known, table = Keys(none, none), np.zeros((0, len(names)))
         contexts, letters = none, none
-        for b in batches:
+        for b in tk.slices(batches):
             n = b.num_rows
             chars, sums = np.zeros(n, np.int64), np.zeros((n, len(names)))
             for context, letter, owner in grams(b.column("text").to_pylist()) if names else ():

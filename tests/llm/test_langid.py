@@ -138,3 +138,13 @@ def test_blocks_read_their_own_files(spark, monkeypatch):
     assert "PartitionFilters: [isnotnull(block" in plan
     context, letter, _ = next(langid.grams([r[2] for r in rows]))
     assert np.array_equal(whole.log2p(context, letter), parted.log2p(context, letter))
+
+
+def test_texts_are_counted_in_small_pieces(monkeypatch):
+    texts = ["word " * 40, None, "", "x" * 500, "été 12 b"] * 20
+    whole = list(langid.grams(texts))
+    assert len(whole) == 1
+    monkeypatch.setattr(langid, "PIECE", 300)
+    parts = list(langid.grams(texts))
+    assert max(len(p[0]) for p in parts) <= 300 + 500 and len(parts) > 10
+    assert all((np.concatenate([p[i] for p in parts]) == whole[0][i]).all() for i in range(3))
