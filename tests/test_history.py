@@ -172,3 +172,20 @@ def test_newest_reads_the_newest_days(spark, scratch):
         assert [r.content_hash for r in out.collect()] == [r.content_hash for r in every.collect()]
         bounds = re.findall(r"first_seen_date#\d+ >= (\d{4}-\d\d-\d\d)", plan(out))
         assert sum(not bounds or x >= bounds[0] for x in stored_days(spark, path)) <= most
+
+
+def test_remaining_postings_are_written_once(spark, scratch, monkeypatch):
+    from jobtrail.sources import tables, workspace
+
+    rows = spark.range(60).select(F.sha2(F.col("id").cast("string"), 256).alias("content_hash"), (F.col("id") % 4).cast("string").alias("tracked_url_id"),
+                                  F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(int(id % 3))").alias("first_seen_at"))
+    write_postings(rows, scratch + "/p")
+    before = sorted(r[0] for r in spark.read.parquet(scratch + "/p").where("tracked_url_id <> '1'").select("content_hash").collect())
+
+    def none(*a):
+        raise AssertionError("an intermediate copy")
+
+    monkeypatch.setattr(workspace, "kept", none)
+    monkeypatch.setattr(tables, "kept", none, raising=False)
+    assert len(remove_postings(spark, scratch + "/p", spark.createDataFrame([("1",)], "id string"))) == 3
+    assert sorted(r[0] for r in spark.read.parquet(scratch + "/p").select("content_hash").collect()) == before
