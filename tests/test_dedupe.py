@@ -72,3 +72,36 @@ def test_result_independent_of_partitioning(spark):
     b = {tuple(r) for r in keep_first(c.repartition(13), fixtures.CANDIDATE_ORDER)
          .select("content_hash", "l_orderkey", "l_linenumber").collect()}
     assert a == b and len(a) == len({x[0] for x in a})
+
+
+def test_insert_new_moves_the_key_as_bytes(spark):
+    import re
+
+    from jobtrail import fixtures
+    from tests.conftest import SF_SMALL
+
+    c = fixtures.candidates(spark, SF_SMALL).withColumn("tracked_url_id", F.col("source_id"))
+    key = content_key(c, url_fallback=None).agg(F.min("content_hash")).first()[0]
+    # only the very digits of a key are that key
+    stored = spark.createDataFrame([(key,), (key.upper(),), ("no digits",), (None,), (key[:-1],)], "content_hash string")
+    new = insert_new(c, stored, fixtures.CANDIDATE_ORDER, "c1", NOW, raw_text_col=None, url_fallback=None)
+    want = {r[0] for r in content_key(c, url_fallback=None).select("content_hash").distinct().collect()} - {key}
+    got = [r[0] for r in new.select("content_hash").collect()]
+    assert len(got) == len(want) and set(got) == want
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    moved = re.findall(r"Exchange hashpartitioning\(([a-z_]+)", plan)
+    assert "content_hash" not in moved and moved.count("_key") == 2  # one of the candidates, one of the stored keys
+
+
+def test_first_offers_equal_the_first_candidates(spark):
+    from jobtrail import fixtures
+    from tests.conftest import SF_SMALL
+
+    want = keep_first(content_key(fixtures.candidates(spark, SF_SMALL), url_fallback=None), fixtures.CANDIDATE_ORDER)
+    cols = ["content_hash", "job_title", "company_name", "salary", "tech_stack", "requirements_summary", "job_url"]
+    got = fixtures.jobs(spark, SF_SMALL)
+    assert sorted(map(str, got.select("tracked_url_id", *cols).collect())) == sorted(map(str, want.select(F.col("source_id").alias("tracked_url_id"), *cols).collect()))
+    # neither the hash nor what is made of an offer is in a shuffle
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Window ["):]
+    assert "sha2" not in below and "split(" not in below
