@@ -113,37 +113,38 @@ def text_filter(df: DataFrame, needle: str | None) -> DataFrame:
 
 # ---------------------------------------------------------------- P10 over a long history
 def trigram_index(jobs: DataFrame) -> DataFrame:
-    """``jobs`` with their sources (J1) -> ``(trigram, content_hash, first_seen_date)``: every run of three characters of
-    the haystack, once a posting. Write it next to the postings, appended with them."""
+    """``jobs`` with their sources (J1) -> ``(content_hash, first_seen_date, trigrams)``: the distinct runs of three
+    characters of the haystack, one row a posting. Write it next to the postings, appended with them."""
     hs = haystack(F.col("company_name"), F.col("job_title"), F.col("tracked_urls.url"), F.col("tracked_urls.label"))
     cut_ = F.expr("array_distinct(transform(sequence(1, greatest(1, length(_hs) - 2)), i -> substring(_hs, i, 3)))")
-    return jobs.select("content_hash", "first_seen_date", hs.alias("_hs")).select(F.explode(cut_).alias("trigram"), "content_hash", "first_seen_date")
+    return jobs.select("content_hash", "first_seen_date", hs.alias("_hs")).select("content_hash", "first_seen_date", cut_.alias("trigrams"))
 
 
-def text_candidates(index: DataFrame, needle: str, lists: int = 3) -> DataFrame | None:
-    """``(content_hash, first_seen_date)`` of the postings that hold the needle's ``lists`` rarest trigrams (none is missed).
+def text_candidates(index: DataFrame, needle: str) -> DataFrame | None:
+    """``(content_hash, first_seen_date)`` of the postings that hold all trigrams of the needle (none is missed).
 
-    How often each occurs is counted first, so only the shortest lists are read and intersected. None for a needle of
-    fewer than three characters, which no trigram narrows down.
+    How many postings hold each is counted first, so the rarest is tested first and most rows end there; nothing is
+    shuffled. None for a needle of fewer than three characters, which no trigram narrows down.
     """
     n = _needle(needle)
     grams = sorted({n[i: i + 3] for i in range(len(n) - 2)})
     if not grams:
         return None
-    counts = {r[0]: r[1] for r in index.where(F.col("trigram").isin(grams)).groupBy("trigram").count().collect()}  # one row a trigram of the needle
-    rarest = sorted(grams, key=lambda g: (counts.get(g, 0), g))[:lists]
-    return (index.where(F.col("trigram").isin(rarest)).groupBy("content_hash", "first_seen_date")
-                 .agg(F.countDistinct("trigram").alias("n")).where(F.col("n") == len(rarest)).drop("n"))
+    holds = [F.array_contains("trigrams", g) for g in grams]
+    counts = index.agg(*[F.count_if(h).alias(f"n{i}") for i, h in enumerate(holds)]).first()  # one row
+    for i in sorted(range(len(grams)), key=lambda i: (counts[i], grams[i])):
+        index = index.where(holds[i])
+    return index.select("content_hash", "first_seen_date")
 
 
-def text_search(jobs: DataFrame, sources: DataFrame, index: DataFrame, needle: str, lists: int = 3) -> DataFrame:
+def text_search(jobs: DataFrame, sources: DataFrame, index: DataFrame, needle: str) -> DataFrame:
     """``text_filter`` over a stored history with a trigram index: of ``jobs``, partitioned by day, only days with a
     candidate are read, and only candidates meet their sources and the exact test. The days are pruned by literals."""
-    found = text_candidates(index, needle, lists)
+    found = text_candidates(index, needle)
     if found is not None:
         days = [r[0] for r in found.select("first_seen_date").distinct().collect()]  # as many as there are days
         jobs = jobs.where(F.col("first_seen_date").isin(days)) if days else jobs.limit(0)
-        jobs = jobs.join(found.select("content_hash", "first_seen_date"), ["content_hash", "first_seen_date"], "left_semi")
+        jobs = jobs.join(found, ["content_hash", "first_seen_date"], "left_semi")
     return text_filter(with_source(jobs, sources), needle)
 
 

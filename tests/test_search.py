@@ -104,3 +104,15 @@ def test_trigram_search_equals_the_filter(spark, scratch):
     days = {r.first_seen_date for r in text_candidates(index, "abca").collect()}
     filters = some._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
     assert len(days) < 21 and all(str(d) in filters for d in days)
+
+
+def test_trigram_candidates_need_no_shuffle(spark):
+    from jobtrail.operators.search import text_candidates, trigram_index, with_source
+
+    rows = jobs(spark, [j("a", datetime(2024, 1, 1)), j("b", datetime(2024, 6, 1))]).withColumn("first_seen_date", F.to_date("first_seen_at"))
+    index = trigram_index(with_source(rows, srcs(spark)))
+    assert index.columns == ["content_hash", "first_seen_date", "trigrams"] and index.count() == 2  # one row a posting
+    index = index.localCheckpoint()
+    found = text_candidates(index, "no such words")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 0
+    assert text_candidates(index, "http").count() == 2
