@@ -1,6 +1,7 @@
 """The stages in a row, each held against what it must keep."""
 
 import math
+import re
 from collections import Counter
 
 import duckdb
@@ -51,6 +52,34 @@ def test_keep_one_of_repeated_rows(spark):
     assert jaccard.keep_one(docs.limit(0)).collect() == []
 
 
+def test_no_copy_of_the_texts_on_the_way(spark, monkeypatch, tmp_path):
+    """What these stages write beside their result holds keys and figures only: it grows with the rows, not with the texts."""
+    written = []
+    for module in (corpus_pipeline, langid, jaccard):
+        monkeypatch.setattr(module, "keep", lambda df, name, *a, f=module.keep, **b: (written.append((name, df.schema.simpleString())), f(df, name, *a, **b))[1])
+    docs = read(spark, SF, "documents")
+    for name, stage in corpus_pipeline.STAGES[:2]:
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    assert {"language-scores", "first-links"} <= {name for name, _ in written}
+    assert [x for x in written if re.search(r"\b(text|row):", x[1])] == []
+
+
+def test_language_of_repeated_rows(spark):
+    """Rows go or stay by their text alone, as often as they come, with or without an id or a language."""
+    docs = read(spark, SF, "documents").filter("lang is not null").limit(40)
+    odd = [(None, None, None), (-1, None, None), (-2, None, ""), (-3, "xx", "12 34"), (-3, "xx", "12 34"), (-4, None, "\u0416" * 400), (None, "xx", "\u0416" * 400)]
+    more = spark.createDataFrame(odd, "doc_id long, lang string, text string")
+    good = docs.select(F.col("doc_id").cast("long"), "lang", "text").cache()
+    twice = good.filter("doc_id % 2 = 0").withColumn("doc_id", F.lit(None).cast("long")).withColumn("lang", F.lit(None).cast("string"))
+    rows = good.unionByName(good).unionByName(twice).unionByName(more)
+    rejected = langid.identify(rows, "lang is not null", ["doc_id", "lang", "text"])
+    want = rejected.filter("not rejected").select("doc_id", "lang", "text").collect()
+    got = corpus_pipeline.language_id(spark, rows, SF).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, want)) and len(got) >= 80
+    assert not {-1, -2, -3} & {r.doc_id for r in got}
+
+
 def test_empty_documents(spark, tmp_path):
     docs = read(spark, SF, "documents").limit(0)
     for name, stage in corpus_pipeline.STAGES:
