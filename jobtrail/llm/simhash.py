@@ -83,7 +83,8 @@ def links(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
     # each fingerprint becomes 64 rows: dealt over all tasks before that, however few bytes they are
     rows = _variants(nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     shared = rows.groupBy("variant").agg(F.count("*").alias("n")).filter("n > 1")
-    held = keep(rows.join(shared, "variant"), "variants")
+    # Spark takes the 64 rows of a fingerprint for one and would broadcast them all: both sides are sorted instead
+    held = keep(rows.hint("merge").join(shared, "variant"), "variants")
     met = held.filter(F.col("n") <= crowd).groupBy("variant").agg(F.sort_array(F.collect_list("fingerprint")).alias("f"))
     pairs = met.select(F.explode(F.expr("flatten(transform(f, (x, i) -> transform(slice(f, i + 2, size(f)), y -> struct(x as a, y as b))))")).alias("p")).select("p.*")
     pairs = pairs.filter(f"bit_count(a ^ b) <= {RADIUS}")

@@ -110,3 +110,25 @@ def test_nulls_repeats_clashes_and_empty(spark):
     got = sorted((str(r.doc_id), r.component_id, r.fingerprint == "0" * 16) for r in simhash.near_duplicates(docs).collect())
     assert got == [("4", 4, False), ("5", 4, False), ("5", 4, False), ("5", 5, False), ("7", 7, True), ("8", 7, True), ("None", None, False)]
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_variants_are_not_broadcast(spark, monkeypatch):
+    """The exploded rows look small to Spark; whatever their number, they stay out of the driver."""
+    plans = {}
+
+    def kept(df, name, by=None):
+        df.collect()
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return df
+
+    monkeypatch.setattr(simhash, "keep", kept)
+    rnd = random.Random(11)
+    prints = list({rnd.getrandbits(63) for _ in range(2000)}) + [5, 7]
+    nodes = spark.createDataFrame([(f,) for f in prints], "fingerprint long")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        assert [tuple(r) for r in simhash.links(nodes).distinct().collect()] == [(5, 7)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "SortMergeJoin" in plans["variants"] and "Broadcast" not in plans["variants"]
